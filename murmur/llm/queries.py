@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op5_packing": "op5_packing",
     "op7_url_filters": "op7_url_filters",
     "op8_mixing": "op8_mixing",
 }

@@ -25,7 +25,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+INVERSE = pow(_BASE, -1, 1 << 64)
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -66,7 +66,7 @@ def chunks(ids: pa.Array, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarr
     bufs = text.buffers()
     offsets = np.frombuffer(bufs[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
     data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
-    ids = np.asarray(ids)
+    ids = np.asarray(ids.to_pylist(), dtype=object) if ids.null_count else np.asarray(ids)
     lo = 0
     while lo < len(text):
         hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1
@@ -101,7 +101,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(len(data), _INVERSE)[starts]
+    h = (total[ends] - total[starts]) * powers(len(data), INVERSE)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
