@@ -5,9 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_secrets": "op1_secrets",
     "op5_packing": "op5_packing",
     "op7_url_filters": "op7_url_filters",
     "op8_mixing": "op8_mixing",
+    "op10_licenses": "op10_licenses",
 }
 
 
