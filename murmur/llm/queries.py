@@ -6,9 +6,11 @@ from importlib import import_module
 
 _MODULES = {
     "op1_secrets": "op1_secrets",
+    "op3_near_vectors": "op3_near_vectors",
     "op5_packing": "op5_packing",
     "op7_url_filters": "op7_url_filters",
     "op8_mixing": "op8_mixing",
+    "op9_topk": "op9_topk",
     "op10_licenses": "op10_licenses",
 }
 
