@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op1_secrets": "op1_secrets",
+    "op2_language": "op2_language",
     "op3_near_vectors": "op3_near_vectors",
     "op5_packing": "op5_packing",
     "op7_url_filters": "op7_url_filters",
