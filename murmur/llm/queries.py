@@ -8,6 +8,7 @@ _MODULES = {
     "op1_secrets": "op1_secrets",
     "op2_language": "op2_language",
     "op3_near_vectors": "op3_near_vectors",
+    "op4_substrings": "op4_substrings",
     "op5_packing": "op5_packing",
     "op7_url_filters": "op7_url_filters",
     "op8_mixing": "op8_mixing",
