@@ -10,6 +10,7 @@ _MODULES = {
     "op3_near_vectors": "op3_near_vectors",
     "op4_substrings": "op4_substrings",
     "op5_packing": "op5_packing",
+    "op6_jaccard": "op6_jaccard",
     "op7_url_filters": "op7_url_filters",
     "op8_mixing": "op8_mixing",
     "op9_topk": "op9_topk",
