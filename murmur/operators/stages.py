@@ -62,7 +62,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def run_stage(inputs: DataFrame, path: str, schema: str, on: str, work, redo: bool = False, dry_run: bool = False) -> DataFrame:
+def run_stage(inputs: DataFrame, path: str, schema: str, on: str | list[str], work, redo: bool = False, dry_run: bool = False) -> DataFrame:
     """Runs ``work`` on the pending inputs and appends; dry_run only returns what would run."""
     spark = inputs.sparkSession
     todo = pending(inputs, read_or_empty(spark, path, schema), on, redo)

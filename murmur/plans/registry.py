@@ -572,7 +572,7 @@ def chunk_size(spark, d):
     return B.table(spark, d, "part").select("p_partkey", M.chunk_seconds(F.col("p_retailprice") / 20).alias("seconds"))
 
 
-@query("""select p_partkey, cast(least(greatest(floor(greatest(p_size * 2 * 0.7 - 5.0 - 4.0, 0.0) * 1024 * 1024 / 128.0 / 1024) * 1024, 4096), 131072) as bigint) as tokens from part""")
+@query("""select p_partkey, cast(least(greatest(floor(greatest(greatest(p_size * 2 * 0.70::double - 2.0::double, 2.0::double) - 5.0::double, 0.5::double) * 1024 / (5.0::double / 0.55::double * 0.25::double) * 1024), 4096), 131072) // 1024 * 1024 as bigint) as tokens from part""")
 def context_length(spark, d):
     return B.table(spark, d, "part").select("p_partkey", M.context_length(F.col("p_size") * 2, F.lit(5.0)).alias("tokens"))
 
