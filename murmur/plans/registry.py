@@ -250,7 +250,7 @@ def chunk_bounds(spark, d):
 @query()
 def apply_silence_breaks(spark, d):
     s = B.segments(spark, d)
-    w = s.where("seg_idx % 3 = 0").select("doc_id", F.col("end").alias("t0"), (F.col("end") + 1_000_000).alias("t1"))
+    w = s.where("speaker = 'click'").select("doc_id", F.col("end").alias("t0"), (F.col("end") + 1_000_000).alias("t1"))
     return splits.apply_silence_breaks(s, w).select("doc_id", "seg_idx", "start", "end")
 
 
@@ -348,11 +348,11 @@ def dedup_keep_longest(spark, d):
     return V.keep_longest(s, comps, "label", "i").select("label", "i", "component")
 
 
-@query(f"""with {B.LINES}, kept as (select doc_id, para_idx // 3 as para, para_idx, line from lines where para_idx % 2 = 0),
+@query(f"""with {B.LINES}, kept as (select doc_id, para_idx // 3 as para, para_idx, line from lines where line <> ''),
 p as (select doc_id, para, string_agg(line, ' ' order by para_idx) as t from kept group by doc_id, para)
 select doc_id, string_agg(t, chr(10) || chr(10) order by para) as text from p group by doc_id""")
 def regroup_paragraphs(spark, d):
-    t = B.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("sent_idx", "text")).where("sent_idx % 2 = 0")
+    t = B.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("sent_idx", "text")).where("text <> ''")
     return D.regroup(t.withColumn("para_idx", F.floor(F.col("sent_idx") / 3)))
 
 
@@ -476,9 +476,9 @@ def normalize_punct(spark, d):
 
 
 @query(f"""select doc_id, len(s) as n, s[1] as first, s[len(s)] as last from (select doc_id, string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9"])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as s
-from documents where {B.ASCII_EN})""")
+from documents where text is not null)""")
 def sentence_split(spark, d):
-    s = B.english(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    s = B.texts(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.element_at("s", 1).alias("first"), F.element_at("s", -1).alias("last"))
 
 
@@ -486,9 +486,9 @@ _low = "|".join(R.LOWER_STARTERS)
 
 
 @query(f"""select doc_id, len(s) as n from (select doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([A-Z0-9"])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+(({_low})\\b)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as s
-from documents where {B.ASCII_EN})""")
+from documents where text is not null)""")
 def sentence_split_v2(spark, d):
-    s = B.english(spark, d).select("doc_id", T.sentences_v2(F.col("text")).alias("s"))
+    s = B.texts(spark, d).select("doc_id", T.sentences_v2(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"))
 
 
@@ -496,16 +496,16 @@ _DIS = "(?i)(^|[^a-zA-Z\\-])(uh+|um+|ah+|mm+|hmm+|eh|er)($|[^a-zA-Z\\-])"
 
 
 @query(f"""select doc_id, regexp_replace(m2, '\\s*' || chr(2) || '\\s*,?', ' ', 'g') as out from (
-select doc_id, regexp_replace(regexp_replace(text, '{_DIS}', '\\1' || chr(2) || '\\3', 'g'), '{_DIS}', '\\1' || chr(2) || '\\3', 'g') as m2 from documents where {B.ASCII_EN})""")
+select doc_id, regexp_replace(regexp_replace(text, '{_DIS}', '\\1' || chr(2) || '\\3', 'g'), '{_DIS}', '\\1' || chr(2) || '\\3', 'g') as m2 from documents where text is not null)""")
 def strip_disfluency(spark, d):
-    return B.english(spark, d).select("doc_id", T.strip_disfluencies(F.col("text")).alias("out"))
+    return B.texts(spark, d).select("doc_id", T.strip_disfluencies(F.col("text")).alias("out"))
 
 
 @query("""select doc_id, count(*) filter (where prev is null or w <> prev) as words from (select doc_id, w, lag(w) over (partition by doc_id order by i) as prev from (
   select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as w from (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as ws from documents
-  where lang = 'en' and regexp_full_match(text, '[\\x00-\\x7F]*')))) group by doc_id""")
+  where text is not null))) group by doc_id""")
 def stutter_dedup(spark, d):
-    t = B.english(spark, d).select("doc_id", T.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")).alias("t")).where("t <> ''")
+    t = B.texts(spark, d).select("doc_id", T.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")).alias("t")).where("t <> ''")
     return t.select("doc_id", F.size(F.split(T.dedup_stutter(F.col("t")), " ")).cast("long").alias("words"))
 
 
