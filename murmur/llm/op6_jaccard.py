@@ -10,13 +10,13 @@ A document's set holds its distinct word shingles.  Documents link when
 3. *Prefixes.*  Linked sets share a shingle among their first ``n - ceil(t n) + 1``.  Posting lists with a
    single set are dropped.
 4. *Candidates.*  Short lists give their pairs, filtered by length and by position (shingles that one prefix
-   has and the other lacks bound the overlap).  Long lists first give each member's pair with one pivot;
-   after components are known, only pairs between different components are left, and a list that has become
-   one component gives none.  So a large group of near copies costs a multiple of its size, not its square.
-5. *Verification.*  The partners of a document are gathered (large gatherings in parts), their
-   ordered sets form a prefix tree, and the document's set walks it once: shared beginnings
-   share their partial overlap, and a subtree is left as soon as the lengths that remain cannot reach
-   the required overlap.
+   has and the other lacks bound the overlap).  Long lists are not expanded into pairs: the documents that they
+   connect form groups, cut into bands of length and blocks.
+5. *Prefix trees.*  The ordered sets of a gathering (the partners of a document, or a block) form a prefix tree, and
+   its probes walk the tree together: shared beginnings share their partial overlap, and a probe leaves a
+   subtree as soon as the lengths that remain cannot reach the required overlap, or all of it is connected with the
+   probe.  Only links that connect something new are returned, so a large group of near copies gives no more links
+   than it has members.
 6. *Components* of the links (Spark joins, see ``common.components``).
 
 Defined cases: no text or no words: an empty set, linked with nothing, n_shingles 0, own component;
@@ -44,7 +44,7 @@ FREQUENT = 16
 MAX_FREQUENT = 200_000
 #: Lists up to this length give their pairs at once.
 SHORT = 16
-#: Partners in one prefix tree.
+#: Sets in one prefix tree.
 PART = 512
 
 
@@ -190,70 +190,136 @@ class PrefixTree:
             node[5] = min(own + [c[5] for c in node[3]], default=1 << 60)
             node[6] = max(own + [c[6] for c in node[3]], default=0)
 
-    def partners(self, s: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-        """(index of a set, overlap) for all sets that meet the threshold with s (ascending)."""
-        out, todo = [], [(self.root, 0)]
-        n = len(s)
+    def uniform(self, label: np.ndarray) -> dict[int, int]:
+        """By node (its id): the label of all sets below, or -1. label: by index of the sets as given."""
+        out, walk, todo = {}, [], [self.root]
         while todo:
-            node, have = todo.pop()
+            node = todo.pop()
+            walk.append(node)
+            todo += node[3]
+        for node in reversed(walk):
+            seen = {int(label[self.order[i]]) for i in node[4]} | {out[id(c)] for c in node[3]}
+            out[id(node)] = seen.pop() if len(seen) == 1 else -1
+        return out
+
+    def join(self, probes: list[np.ndarray], probe_label: np.ndarray, label: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+        """Links (probe, set) that join different labels: enough to connect all that is linked.
+
+        All probes walk the tree together, so a shared beginning is compared once with each.  A probe leaves a
+        subtree when its sets cannot reach the threshold any more, or all have its label.
+        """
+        n = np.asarray([len(s) for s in probes], dtype=np.int64)
+        flat = np.concatenate(self.sets)
+        mine = np.concatenate(probes)
+        known = np.intersect1d(flat, mine)
+        has = np.zeros((len(known) + 1, len(probes)), dtype=bool)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            hit = known[at] == mine
+            has[at[hit], np.repeat(np.arange(len(probes)), n)[hit]] = True
+            rows = [np.where(known[i] == s, i, len(known)) for s in self.sets for i in [np.minimum(np.searchsorted(known, s), len(known) - 1)]]
+        else:
+            return []
+        canon = np.arange(int(max(label.max(), probe_label.max())) + 1)
+        same = self.uniform(label)
+        out, todo = [], [(self.root, np.arange(len(probes)), np.zeros(len(probes), dtype=np.int64))]
+        while todo:
+            node, active, have = todo.pop()
             if node[2] > node[1]:
-                seg = self.sets[node[0]][node[1] : node[2]]
-                at = np.minimum(np.searchsorted(s, seg), n - 1)
-                have += int((s[at] == seg).sum())
-            # The best any set below can reach: all that remains of it, or of s, is common.
-            best = min(have + node[6] - node[2], n)
-            least = max(node[5], best)
-            if 100 * best < threshold * (n + least - best):
+                have = have + has[rows[node[0]][node[1] : node[2]]][:, active].sum(0)
+            # The best any set below can reach: all that remains of it, or of the probe, is common.
+            best = np.minimum(have + node[6] - node[2], n[active])
+            least = np.maximum(node[5], best)
+            ok = 100 * best >= threshold * (n[active] + least - best)
+            one = same[id(node)]
+            if one >= 0:
+                ok &= canon[probe_label[active]] != canon[one]
+            active, have = active[ok], have[ok]
+            if not len(active):
                 continue
             for i in node[4]:
-                m = len(self.sets[i])
-                if 100 * have >= threshold * (n + m - have):
-                    out.append((self.order[i], have))
-            todo += [(c, have) for c in node[3]]
+                m, j = len(self.sets[i]), self.order[i]
+                for k in active[100 * have >= threshold * (n[active] + m - have)].tolist():
+                    x, y = canon[probe_label[k]], canon[label[j]]
+                    if x != y:
+                        out.append((k, j))
+                        canon[canon == max(x, y)] = min(x, y)
+            todo += [(c, active, have) for c in node[3]]
         return out
 
 
-def _verify(order, k: int, threshold: int):
+PROBE, MEMBER, BOTH = 0, 1, 2
+
+
+def _join(order, k: int, threshold: int):
+    """Links of one gathering: the probes against a tree of the members."""
+
     def run(b: pd.DataFrame) -> pd.DataFrame:
         o = order.value
-        ids, sets = b["key"].to_numpy(), []
+        b = b.drop_duplicates(["key", "role"]).reset_index(drop=True)
+        sets = []
         for _, data, offsets in chunks(pa.array(range(len(b))), pa.array(b["text"].tolist(), pa.string())):
             sets += [o.tree_keys(s) for s in shingle_sets(data, offsets, k)]
-        hub = b["hub"].iloc[0]
-        own = [i for i in range(len(b)) if ids[i] == hub]
-        rest = [i for i in range(len(b)) if ids[i] != hub]
+        role, keys = b["role"].to_numpy(), b["key"].to_numpy()
+        probe, member = np.flatnonzero(role != MEMBER), np.flatnonzero(role != PROBE)
         found = []
-        if own and rest:
-            tree = PrefixTree([sets[i] for i in rest])
-            found = [(hub, ids[rest[j]]) for j, _ in tree.partners(sets[own[0]], threshold)]
+        if len(probe) and len(member):
+            _, label = np.unique(keys, return_inverse=True)
+            links = PrefixTree([sets[i] for i in member]).join([sets[i] for i in probe], label[probe], label[member], threshold)
+            found = [(keys[probe[x]], keys[member[y]]) for x, y in links]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, order, scratch: Scratch, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link, written."""
-    size = pairs.groupBy("a").agg(F.count("*").alias("m")).select(F.col("a").alias("hub"), F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+def hub_gatherings(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(kind, g, i, j, role, key): each document a with its partners b, many partners in parts."""
+    size = pairs.groupBy("a").agg(F.count("*").alias("m")).select(F.col("a").alias("g"), F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     size = scratch.write(size, "hubs")
-    members = pairs.join(size, pairs.a == size.hub).select("hub", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("key"))
-    hubs = size.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("key"))
-    need = scratch.write(members.unionByName(hubs), "gatherings")
-    texts = docs.select(F.col("doc_id").alias("key"), "text")
-    rows = need.join(texts, "key").select("hub", "part", "key", "text")
-    out = scratch.write(rows.groupBy("hub", "part").applyInPandas(_verify(order, k, threshold), "a long, b long"), "links")
-    scratch.drop(size, need)
-    return out
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    members = pairs.join(size, pairs.a == size.g).select("g", part.alias("i"), F.lit(MEMBER).alias("role"), F.col("b").alias("key"))
+    hubs = size.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(PROBE).alias("role"), F.col("g").alias("key"))
+    return members.unionByName(hubs).select(F.lit(0).alias("kind"), "g", "i", F.lit(0).alias("j"), "role", "key")
+
+
+def list_gatherings(long_: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    """(kind, g, i, j, role, key): documents that long lists connect, in bands of length and blocks.
+
+    Sets in one long list get one group g (components over lists).  Linked sets have nearly equal lengths, so a
+    band of lengths meets itself and the next.  A large band is cut into blocks, and each
+    pair of blocks is a gathering: a document goes to as many as there are blocks, and no list is
+    expanded into pairs.
+    """
+    centre = long_.groupBy("token").agg(F.min("key").alias("b"))
+    group = components(long_.join(centre, "token").select(F.col("key").alias("a"), "b"), scratch)
+    band = F.floor(F.log("n") / F.lit(np.log(100 / threshold).item())).cast("int")
+    rows = long_.select("key", "n").distinct().join(group, F.col("key") == F.col("node")).select("key", F.col("component").alias("g"), band.alias("band"))
+    rows = scratch.write(rows, "bands")
+    size = rows.groupBy("g", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
+    size = scratch.write(size, "band-sizes")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    r = rows.join(size, ["g", "band"]).withColumn("block", block)
+    above = size.select("g", (F.col("band") - 1).alias("band"), F.col("blocks").alias("upper"))
+    below = size.select("g", (F.col("band") + 1).alias("band"), F.col("blocks").alias("lower"))
+    number = lambda a, b: (a.cast("long") * F.lit(1 << 31) + b)  # noqa: E731  blocks of two sides
+    # Within a band: block x probes the blocks from its own on.
+    up_to = r.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    from_ = r.withColumn("y", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    inside = from_.select("g", (2 * F.col("band")).alias("i"), number(F.col("block"), F.col("y")).alias("j"), F.when(F.col("y") == F.col("block"), BOTH).otherwise(PROBE).alias("role"), "key")
+    inside = inside.unionByName(
+        up_to.where("x < block").select("g", (2 * F.col("band")).alias("i"), number(F.col("x"), F.col("block")).alias("j"), F.lit(MEMBER).alias("role"), "key")
+    )
+    # Between a band (probes) and the next (members).
+    low = r.join(above, ["g", "band"]).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("upper") - 1)))
+    low = low.select("g", (2 * F.col("band") + 1).alias("i"), number(F.col("block"), F.col("y")).alias("j"), F.lit(PROBE).alias("role"), "key")
+    high = r.join(below, ["g", "band"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("lower") - 1)))
+    high = high.select("g", (2 * F.col("band") - 1).alias("i"), number(F.col("x"), F.col("block")).alias("j"), F.lit(MEMBER).alias("role"), "key")
+    return inside.unionByName(low).unionByName(high).select(F.lit(1).alias("kind"), "g", "i", "j", "role", "key")
 
 
 # ---------------------------------------------------------------- operator
 
 
-def _possible(x: str, y: str, threshold: int):
-    """Length filter of two sizes."""
-    small, large = F.least(x, y), F.greatest(x, y)
-    return 100 * small >= threshold * large
-
-
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -276,38 +342,22 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRES
     meets = scratch.write(meets.distinct(), "meets")
     short, long_ = meets.where(f"c <= {SHORT}"), meets.where(f"c > {SHORT}")
 
-    # Pairs of short lists, the smaller set first.
+    # Pairs of short lists, the smaller set first.  A pair that also shares a long list is found there; for any other,
+    # c counts all that the prefixes share up to pa and pb.
     x = short.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     y = short.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    near = x.join(y, "token").where((F.struct("na", "a") < F.struct("nb", "b")) & _possible("na", "nb", threshold))
+    near = x.join(y, "token").where((F.struct("na", "a") < F.struct("nb", "b")) & (100 * F.col("na") >= threshold * F.col("nb")))
     near = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    in_long = long_.select(F.col("key").alias("a"), F.lit(True).alias("more")).distinct()
-    # If no shingle of a's prefix has a long list, c counts all that the prefixes share up to pa and pb.
     best = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    near = near.join(in_long, "a", "left").where(F.col("more").isNotNull() | (100 * best >= threshold * (F.col("na") + F.col("nb") - best))).select("a", "b")
-
-    # Long lists: a pivot for each.
-    pivot = long_.groupBy("token").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n")).alias("p")).select("token", F.col("p.key").alias("a"), F.col("p.n").alias("na"))
-    pivot = scratch.write(pivot, "pivots")
-    star = long_.join(pivot, "token").where("key <> a").where(_possible("n", "na", threshold)).select("a", F.col("key").alias("b"))
-    first = scratch.write(near.union(star).distinct(), "pairs")
-    links = verify(first, docs, order, scratch, k, threshold)
+    near = scratch.write(near.where(100 * best >= threshold * (F.col("na") + F.col("nb") - best)).select("a", "b"), "pairs")
 
+    gathered = hub_gatherings(near, scratch)
     if long_.limit(1).count():
-        comp = scratch.write(components(links, scratch), "components")
-        marked = long_.join(comp, long_.key == comp.node, "left").select("token", "key", "n", F.coalesce("component", "key").alias("comp"))
-        marked = scratch.write(marked, "marked")
-        groups = marked.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        main = groups.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
-        main = scratch.write(main, "main")
-        open_ = scratch.write(marked.join(main, "token"), "open")
-        minor = open_.where("comp <> main").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        other = open_.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        left = minor.join(other, "token").where("ca <> cb").where(_possible("na", "nb", threshold))
-        left = left.select(F.when(F.struct("na", "a") < F.struct("nb", "b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("p")).select("p.a", "p.b").distinct()
-        done = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        second = scratch.write(left.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(verify(second, docs, order, scratch, k, threshold))
+        gathered = gathered.unionByName(list_gatherings(long_, scratch, threshold))
+    gathered = scratch.write(gathered, "gatherings")
+    texts = docs.select(F.col("doc_id").alias("key"), "text")
+    rows = gathered.join(texts, "key").select("kind", "g", "i", "j", "role", "key", "text")
+    links = scratch.write(rows.groupBy("kind", "g", "i", "j").applyInPandas(_join(order, k, threshold), "a long, b long"), "links")
 
     comp = scratch.write(components(links, scratch), "components")
     named = classes.join(comp, classes.rep == comp.node, "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))

@@ -290,20 +290,27 @@ def test_nothing_to_pack(spark):
 # ---------------------------------------------------------------- Jaccard
 
 
-def test_tree_equals_plain_intersections():
+def test_tree_connects_what_is_linked():
     r = np.random.default_rng(0)
-    for _ in range(60):
+    for _ in range(80):
         base = np.unique(r.integers(0, 200, r.integers(1, 60)).astype(np.uint64))
-        sets = [np.unique(np.concatenate([base[r.random(len(base)) > r.choice([0, 0.03, 0.2])], r.integers(0, 200, r.integers(0, 4)).astype(np.uint64)])) for _ in range(20)]
+        sets = [np.unique(np.concatenate([base[r.random(len(base)) > r.choice([0, 0.03, 0.2])], r.integers(0, 200, r.integers(0, 4)).astype(np.uint64)])) for _ in range(24)]
         sets = [s for s in sets if len(s)]
-        if sets:
-            for limit in (50, 85, 100):
+        for limit in (50, 85, 100):
+            cut = len(sets) // 3
+            for probes, members in (([*range(len(sets))], [*range(len(sets))]), ([*range(cut)], [*range(cut, len(sets))])):
+                if not probes or not members:
+                    continue
                 want = []
-                for i, s in enumerate(sets):
-                    o = len(np.intersect1d(s, base))
-                    if 100 * o >= limit * (len(s) + len(base) - o):
-                        want.append((i, o))
-                assert sorted(O6.PrefixTree(sets).partners(base, limit)) == want
+                for i in probes:
+                    for j in members:
+                        o = len(np.intersect1d(sets[i], sets[j]))
+                        if i != j and 100 * o >= limit * (len(sets[i]) + len(sets[j]) - o):
+                            want.append((i, j))
+                got = O6.PrefixTree([sets[j] for j in members]).join([sets[i] for i in probes], np.asarray(probes), np.asarray(members), limit)
+                got = [(probes[x], members[y]) for x, y in got]
+                assert set(got) <= set(want) and len(got) < len(sets)
+                assert group(range(len(sets)), got) == group(range(len(sets)), want)
 
 
 def shingles(text):
@@ -324,7 +331,7 @@ def check_jaccard(spark, texts, ids=None):
 
 @pytest.mark.parametrize("short", [16, 2])
 def test_jaccard_equals_brute_force(spark, monkeypatch, short):
-    """short 2 sends nearly all lists through pivots and the second round."""
+    """short 2 sends nearly all lists through groups and blocks."""
     monkeypatch.setattr(O6, "SHORT", short)
     monkeypatch.setattr(O6, "FREQUENT", 4)
     monkeypatch.setattr(O6, "PART", 7)
