@@ -116,6 +116,8 @@ def matches(docs: DataFrame, scratch: Scratch, templates=TEMPLATES, threshold: f
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "licenses")
     found = matches(docs, scratch, templates, threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    # Written, so that both sides of the join are plain exchanges: a text with very many copies can be split.
+    found = scratch.write(found, "labels")
     rows = base(docs, phrases).join(found, "key", "left")
     none = F.array().cast("array<string>")
     return rows.select(
