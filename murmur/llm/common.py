@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch of texts; Spark's own default of 10,000 rows bounds no bytes of long texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches between the JVM and the Python workers, for plans made from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder.
 
@@ -61,6 +71,25 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Bits of the map that thins rows before a join: 2**23 bits are 1 MB, whatever the number of keys.
+MAP_BITS = 23
+
+
+def thinned(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows without most of those whose key is not among keys: a semi-join's reducer of fixed size.
+
+    Keys are hashed into a bit map of fixed size, kept as at most 2**(MAP_BITS - 6) rows of 64 bits and broadcast.  Rows
+    whose bit is not set leave before the exchange; the join that follows decides.  With very many keys all
+    bits are set and nothing leaves, so the result never depends on it.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    word = F.floor(F.col("_place") / 64).cast("int")
+    bits = keys.select(place.alias("_place")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    out = rows.withColumn("_place", place).withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return out.where(F.col("_bits").bitwiseAND(bit) != 0).select(rows.columns)
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): smallest node reachable over links (a, b), for nodes that have a link.
 

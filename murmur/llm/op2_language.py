@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import table
+from murmur.llm.common import table, text_batches
 from murmur.llm.words import chunks
 
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 600
@@ -209,14 +209,15 @@ def model(texts: list[tuple[str, str]]) -> Model:
     return _models[key]
 
 
-def _predict(texts: list[tuple[str, str]]):
+def _predict(texts: list[tuple[str, str]], keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(texts)
         names = np.asarray([*m.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            rest = batch.drop_columns(["_text"])
+            text = batch.column(batch.schema.get_field_index("text"))
+            rest = batch if keep_text else batch.drop_columns(["text"])
             pred, score = [], []
-            for _, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(batch.schema.get_field_index("_text"))):
+            for _, data, offsets in chunks(pa.array(range(batch.num_rows)), text):
                 cp, docs, some = normalise(*code_points(data, offsets))
                 if not m.languages:
                     pred.append(np.zeros(len(some), dtype=int))
@@ -240,14 +241,15 @@ def _predict(texts: list[tuple[str, str]]):
 
 def identify(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """docs with _lang_pred and _score."""
+    text_batches(docs.sparkSession)
     texts = samples(docs) if texts is None else texts
     fields = docs.schema.simpleString()[len("struct<") : -1]
-    return docs.withColumn("_text", F.col("text")).mapInArrow(_predict(texts), f"{fields},_lang_pred:string,_score:double")
+    return docs.mapInArrow(_predict(texts, True), f"{fields},_lang_pred:string,_score:double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents")
     texts = samples(docs)
-    rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("_text"))
-    out = rows.mapInArrow(_predict(texts), "doc_id long, held_out boolean, lang_pred string, score double")
-    return out
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return rows.mapInArrow(_predict(texts, False), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Scratch, table
+from murmur.llm.common import Scratch, table, text_batches
 from murmur.llm.words import chunks, mix, powers, split, window_hashes, within, word_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -199,6 +199,7 @@ def _apply(window: int, digest: bool):
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the kept words joined by one space (or their SHA-256)."""
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
     spans = repeated_spans(docs, scratch, window, anchor)
     per = spans.groupBy("key").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))

@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Scratch, table
+from murmur.llm.common import Scratch, table, text_batches
 from murmur.llm.words import INVERSE, chunks, mix, powers
 
 CAPACITY = 2048
 END_ID = 0
 MARKER, MARKER_ID = "<|endoftext|>", 50256
 #: Bound of a worker's cache of pretokens.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 # ---------------------------------------------------------------- tokens
 
@@ -365,6 +365,7 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    text_batches(docs.sparkSession)
     cut = Scratch(docs.sparkSession, "pack").write(pieces(docs, capacity), "pieces")
     return pack_pieces(cut, capacity)
 
