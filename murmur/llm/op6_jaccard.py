@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Scratch, components, table
+from murmur.llm.common import Scratch, components, table, text_batches, thinned
 from murmur.llm.words import LOWER, chunks, mix, split, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 4, 85
@@ -46,6 +46,8 @@ MAX_FREQUENT = 200_000
 SHORT = 16
 #: Sets in one prefix tree.
 PART = 512
+#: Shingles in one block, so that blocks of long documents have fewer of them.
+WEIGHT = 400_000
 
 
 def prefix_length(n: np.ndarray | int, threshold: int = THRESHOLD):
@@ -62,10 +64,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
         if b - a >= k:
             yield np.unique(s[a : b - k + 1])
         elif b > a:
-            x = np.uint64(b - a)
+            x = np.asarray([b - a], dtype=np.uint64)
             for w in h[a:b]:
-                x = mix(np.asarray([x * np.uint64(0x9E3779B97F4A7C15) + w]))[0]
-            yield np.asarray([x], dtype=np.uint64)
+                x = mix(x * np.uint64(0x9E3779B97F4A7C15) + w)
+            yield x
         else:
             yield s[:0]
 
@@ -293,9 +295,10 @@ def list_gatherings(long_: DataFrame, scratch: Scratch, threshold: int) -> DataF
     centre = long_.groupBy("token").agg(F.min("key").alias("b"))
     group = components(long_.join(centre, "token").select(F.col("key").alias("a"), "b"), scratch)
     band = F.floor(F.log("n") / F.lit(np.log(100 / threshold).item())).cast("int")
-    rows = long_.select("key", "n").distinct().join(group, F.col("key") == F.col("node")).select("key", F.col("component").alias("g"), band.alias("band"))
+    rows = long_.select("key", "n").distinct().join(group, F.col("key") == F.col("node")).select("key", "n", F.col("component").alias("g"), band.alias("band"))
     rows = scratch.write(rows, "bands")
-    size = rows.groupBy("g", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / WEIGHT)).cast("int")
+    size = rows.groupBy("g", "band").agg(blocks.alias("blocks"))
     size = scratch.write(size, "band-sizes")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     r = rows.join(size, ["g", "band"]).withColumn("block", block)
@@ -323,6 +326,7 @@ def list_gatherings(long_: DataFrame, scratch: Scratch, threshold: int) -> DataF
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    text_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -356,7 +360,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRES
         gathered = gathered.unionByName(list_gatherings(long_, scratch, threshold))
     gathered = scratch.write(gathered, "gatherings")
     texts = docs.select(F.col("doc_id").alias("key"), "text")
-    rows = gathered.join(texts, "key").select("kind", "g", "i", "j", "role", "key", "text")
+    rows = gathered.join(thinned(texts, "key", gathered), "key").select("kind", "g", "i", "j", "role", "key", "text")
     links = scratch.write(rows.groupBy("kind", "g", "i", "j").applyInPandas(_join(order, k, threshold), "a long, b long"), "links")
 
     comp = scratch.write(components(links, scratch), "components")

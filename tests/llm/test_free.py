@@ -68,6 +68,19 @@ def test_components(spark):
     assert got == group(ids, [p for p in links if p[0] != p[1]])
 
 
+@pytest.mark.parametrize("bits", [7, 23])
+def test_thinned_keeps_every_key(spark, monkeypatch, bits):
+    from murmur.llm import common
+
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    rows = spark.range(3000).withColumnRenamed("id", "k").withColumn("_word_count", F.lit(1))
+    keys = spark.range(0, 3000, 50).withColumnRenamed("id", "k")
+    out = common.thinned(rows, "k", keys)
+    assert out.columns == rows.columns and out.join(keys, "k").count() == 60
+    assert out.count() == 60 or bits == 7
+    assert common.thinned(rows, "k", keys.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- language
 
 
