@@ -5,7 +5,10 @@ Native: DataFrame functions only.
 *Base*: places where the words of a phrase stand consecutively, counted in a normal form in which
 each word has a space on both sides, so that neighbouring places do not share one.
 
-*Join*: a block is a line.  A template's label goes to every text with a block that holds at
+*Join*: a block is a line, or a run of words across line breaks: runs have twice the words of the longest
+template and start every so many words as that template has, so that any span of its length lies inside one.
+Runs are formed only in texts with a line break that hold, as a whole, enough words of some template; in other
+texts no run can meet one that no line meets.  A template's label goes to every text with a block that holds at
 least ``THRESHOLD`` of the template's distinct words.  Tokens are ordered by their frequency over
 all blocks, rarest first, and only words of templates matter:
 
@@ -23,6 +26,7 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +85,19 @@ def base(docs: DataFrame, phrases=PHRASES) -> DataFrame:
     )
 
 
+def runs(docs: DataFrame, sets: list[tuple[str, list[str]]], need: list[int], span: int) -> DataFrame:
+    """(key, line, tokens) of the runs of words across line breaks, with their template words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, s in sets for w in s})])
+    split = docs.where(F.contains(text, F.lit("\n"))).select(F.md5(text).alias("key"), words(text).alias("words"))
+    whole = F.array_intersect("words", vocabulary)
+    enough = [F.size(F.array_intersect("held", F.array(*map(F.lit, s)))) >= k for (_, s), k in zip(sets, need)]
+    some = split.select("key", "words", whole.alias("held")).where(reduce(lambda a, b: a | b, enough))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words"), F.lit(1)) - 1, F.lit(span))
+    tokens = F.transform(starts, lambda i: F.array_intersect(F.slice("words", i + 1, F.lit(2 * span)), vocabulary))
+    return some.select("key", F.posexplode(tokens).alias("line", "tokens")).where(F.size("tokens") >= min(need))
+
+
 def matches(docs: DataFrame, scratch: Scratch, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, label, share) of every text with a block that meets a template."""
     spark = docs.sparkSession
@@ -92,7 +109,7 @@ def matches(docs: DataFrame, scratch: Scratch, templates=TEMPLATES, threshold: f
     held = F.array_intersect(words(F.col("block")), F.array(*map(F.lit, vocabulary)))
     # A block with too few characters for the words it needs is not split at all.
     blocks = block.where(F.length("block") >= 2 * min(need) - 1).select("key", "line", held.alias("tokens")).where(F.size("tokens") >= min(need))
-    blocks = scratch.write(blocks, "blocks")
+    blocks = scratch.write(blocks.unionByName(runs(docs, sets, need, max(len(t.split()) for _, t in templates))), "blocks")
     freq = blocks.select(F.explode("tokens").alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in freq.collect()}  # at most the words of the templates
     order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))

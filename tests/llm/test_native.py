@@ -137,6 +137,22 @@ def test_licences(spark):
     assert got == Counter((r["doc_id"], *plain_licence(r["text"])) for r in docs.collect())
 
 
+def test_licences_across_line_breaks(spark):
+    heads = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "apache-2": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
+    }
+    # Before the notice stand 0 to 60 words, so that it begins at every place of a run; one word a line; and words too far apart.
+    texts = [("line\n" * n + h, label) for label, h in heads.items() for n in (0, 1, 22, 23, 24, 45, 46, 60)] + [("\n".join(h.split()), label) for label, h in heads.items()]
+    texts += [("\n".join((w + " pad" * 60) for w in heads["mit"].split()), ""), ("\n\n", ""), ("\n".join(heads["mit"].split()[:9]), "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in O10.scan(docs).collect()}
+    assert [rows[i]["labels"] for i in range(len(texts))] == [label for _, label in texts]
+    assert all(rows[i]["score"] >= 0.8 for i, (_, label) in enumerate(texts) if label)
+
+
 @pytest.mark.parametrize("name", ["op1_secrets", "op3_near_vectors", "op4_substrings", "op6_jaccard", "op7_url_filters", "op8_mixing", "op9_topk", "op10_licenses"])
 def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
