@@ -2,7 +2,9 @@
 
 Each source has a repetition rate: target weight times total rows over rows of the source.  A
 document is emitted k times, where k inverts the Poisson distribution with that mean at a uniform
-number that is a hash of (seed, doc_id), so a rerun or a lost executor gives the same rows.  The
+number that is a hash of (seed, doc_id), so a rerun or a lost executor gives the same rows.  A rate
+above ``PART_RATE`` is cut into equal parts, each inverted at a hash of its own: the sum of independent
+Poisson counts is a Poisson count with the sum of their means.  The
 copies are then ordered over the whole corpus by a hash of (seed, doc_id, copy): a range
 exchange, no single task.
 
@@ -11,22 +13,19 @@ small sources and lowers large ones while the expected size stays that of the in
 
 Defined cases: a null source is a source of its own; a null doc_id hashes as the text ``null``;
 rows that repeat hash alike and get the same count; a source without a weight gets rate 0; an
-empty table gives no rows.  ``MAX_RATE`` is the largest rate that the inversion accepts (a larger
-one raises an error, it is not cut).
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.common import Scratch, maybe_broadcast, table
 
 SEED = 17
-#: exp(-MAX_RATE) must stay a normal double.
-MAX_RATE = 600.0
+#: exp(-PART_RATE) must stay a normal double.
+PART_RATE = 600.0
 
 
 def uniform(key: Column) -> Column:
@@ -34,20 +33,30 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_quantile(u: Column, rate: Column, terms: int) -> Column:
+def poisson_quantile(u: Column, rate: Column, terms: int | Column) -> Column:
     """Smallest k with P(X <= k) > u, by summing terms of the distribution in order."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"), u.alias("u"))  # u is computed once
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)),
         start,
         lambda s, i: F.when(
-            u >= s["c"],
-            F.struct((s["p"] * rate / i).alias("p"), (s["c"] + s["p"] * rate / i).alias("c"), i.alias("k")),
+            s["u"] >= s["c"],
+            F.struct((s["p"] * rate / i).alias("p"), (s["c"] + s["p"] * rate / i).alias("c"), i.alias("k"), s["u"].alias("u")),
         ).otherwise(s),
         lambda s: s["k"],
     )
 
 
+def poisson_count(key: Column, rate: Column) -> Column:
+    """A Poisson count with any mean, by the hash of key."""
+    parts = F.greatest(F.ceil(rate / PART_RATE), F.lit(1)).cast("int")
+    part = rate / parts
+    terms = (part + 12 * F.sqrt(part) + 30).cast("int")
+    first = poisson_quantile(uniform(key), part, terms)
+    more = F.transform(F.sequence(F.lit(2), parts), lambda i: poisson_quantile(uniform(F.concat(key, F.lit("#"), i.cast("string"))), part, terms))
+    return F.when(parts == 1, first).otherwise(first + F.aggregate(more, F.lit(0), lambda a, x: a + x))
+
+
 def rates(docs: DataFrame, scratch: Scratch, weights: dict | None = None, power: float = 0.5) -> DataFrame:
     """(source, rate), written: weights may be given by source, else rows ** power."""
     n = docs.groupBy("source").agg(F.count("*").alias("n"))
@@ -67,16 +76,11 @@ def replicate(docs: DataFrame, weights: dict | None = None, power: float = 0.5,
     """All columns of docs, with _copy (from 1), _copies and _key, globally ordered by _key."""
     spark = docs.sparkSession
     r = rates(docs, Scratch(spark, "mix"), weights, power)
-    n, top = r.agg(F.count("*"), F.max("rate")).first()
-    top = top or 0.0
-    if top > MAX_RATE:
-        raise ValueError(f"a source would be repeated {top:.0f} times; the largest rate is {MAX_RATE:.0f}")
-    terms = int(top + 12 * math.sqrt(top) + 30)
+    n = r.count()
     r = maybe_broadcast(r.select(F.col("source").alias("_source"), "rate"), n, 64)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     out = docs.join(r, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    k = poisson_quantile(uniform(F.concat(F.lit(f"{seed}:"), ident)), F.col("rate"), terms)
-    out = out.withColumn("_copies", k).where("_copies > 0")
+    out = out.withColumn("_copies", poisson_count(F.concat(F.lit(f"{seed}:"), ident), F.col("rate"))).where("_copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("rate")
     out = out.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), F.col("_copy").cast("string"))))
     return out.orderBy("_key", "doc_id", "_copy")

@@ -108,6 +108,21 @@ def test_poisson_counts(spark):
         assert abs(m - rate) < 0.05 * rate + 0.02 and abs(v - rate) < 0.1 * rate + 0.02
 
 
+def test_a_tiny_source_beside_a_large_corpus(spark):
+    """One row with rate 1,000,001 / (1 + 1,000) = 999 or more, and rows of one source that many sources make rare."""
+    docs = spark.range(1_000_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "big").alias("source"))
+    n = {r["source"]: r["count"] for r in O8.replicate(docs).groupBy("source").count().collect()}
+    rate = 1_000_001 / 1001
+    assert abs(n[None] - rate) < 6 * math.sqrt(rate) and abs(n["big"] - 1_000_000 * rate / 1000) < 6000
+
+
+def test_poisson_counts_of_any_rate(spark):
+    keys = spark.range(2000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("k"))
+    for rate in (599.0, 601.0, 1255.0, 5000.0):
+        m, v = keys.select(O8.poisson_count(F.col("k"), F.lit(rate)).alias("n")).agg(F.avg("n"), F.var_pop("n")).first()
+        assert abs(m - rate) < 6 * math.sqrt(rate / 2000) and abs(v - rate) < 0.2 * rate
+
+
 def plain_licence(text):
     low = re.sub("[A-Z]", lambda x: x[0].lower(), text or "")
     gap = "[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
