@@ -124,19 +124,32 @@ def strip_disfluencies(c: Column) -> Column:
     return _sub(c, R.DISFLUENCY, " ")
 
 
+def _until_stable(c: Column, pattern: str, to: str) -> Column:
+    """The replacement repeated until nothing changes.
+
+    Each round that changes something takes a word away, so the words bound the rounds; those after the last change only pass the text on.
+    """
+
+    def rounds(x: Column) -> Column:
+        start = F.struct(x.alias("t"), F.lit(True).alias("more"))
+        again = lambda s: let(_sub(s["t"], pattern, to), lambda y: F.struct(y.alias("t"), (y != s["t"]).alias("more")))
+        return F.aggregate(F.sequence(F.lit(0), word_count(x)), start, lambda s, _: F.when(s["more"], again(s)).otherwise(s), lambda s: s["t"])
+
+    return let(c, rounds)
+
+
 def dedup_stutter(c: Column) -> Column:
-    """Runs of equal words, in either case, keep the first; twice, as one collapse can make another."""
-    once = lambda x: _sub(x, r"\b((?:\w|')+)(?:\s+\1\b)+", "$1")
-    return once(once(c))
+    """Runs of equal words, in either case, keep the first; to the fixpoint, as one collapse can make another."""
+    return _until_stable(c, r"\b((?:\w|')+)(?:\s+\1\b)+", "$1")
 
 
 def letter_stutter(c: Column) -> Column:
     return _sub(c, *R.LETTER_STUTTER)
 
 
-def phrase_stutter(c: Column, rounds: int = 3) -> Column:
-    """Repeated phrases of two to four words keep the first; each round can halve a run."""
-    return reduce(lambda x, _: _sub(x, *R.PHRASE_STUTTER), range(rounds), c)
+def phrase_stutter(c: Column) -> Column:
+    """Repeated phrases of two to four words keep the first, however often they are said."""
+    return _until_stable(c, *R.PHRASE_STUTTER)
 
 
 def its_stutter(c: Column) -> Column:

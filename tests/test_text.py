@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,28 @@ def test_functions(spark, f, text, want):
     assert apply(spark, f, text) == want
 
 
+def fixpoint(pattern, text):
+    while (new := re.sub(pattern, r"\1", text, flags=re.IGNORECASE)) != text:
+        text = new
+    return text
+
+
+def test_stutters_to_the_fixpoint(spark):
+    """As the reference: one collapse after another until nothing changes."""
+    phrases = ["Thank you", "one two three", "go on and on", "a b c d"]
+    texts = [f"x {' '.join([p] * n)} y" for p in phrases for n in (2, 9, 40, 59, 200)] + ["", "no repeats here", "thank  you thank you\nthank you " * 12, None]
+    words = ["a a'b a'b'c a'b'c'd a'b'c'd'e a'b'c'd'e'f a'b'c'd'e'f'g", "The the " * 40, "", None]
+    for f, pattern, ts in ((T.phrase_stutter, r"\b(\w+(?:\s+\w+){1,3})\s+\1\b", texts), (T.dedup_stutter, r"\b((?:\w|')+)\s+\1\b", texts + words)):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "i int, t string")
+        got = [r["o"] for r in df.select("i", f(F.col("t")).alias("o")).orderBy("i").collect()]
+        assert got == [t if t is None else fixpoint(pattern, t) for t in ts]
+
+
+def test_denoise2_collapses_long_runs(spark):
+    docs = spark.createDataFrame([(1, "[0:45] We bake bread " + "thank you " * 40 + "with salt.")], "doc_id long, text string")
+    assert D.denoise2(docs).first()["text"].lower().count("thank you") == 1
+
+
 def test_nulls_stay_null(spark):
     for f in (T.slugify, T.content, T.normalize_units, T.strip_disfluencies, T.sentences):
         assert spark.createDataFrame([(None,)], "t string").select(f(F.col("t")).alias("o")).first()["o"] is None
