@@ -13,6 +13,10 @@ from murmur.llm import op1_secrets, op2_language, op5_packing, op6_jaccard, op8_
 from murmur.llm.common import Scratch, table
 
 
+#: Near duplicates of the pipeline: words in a shingle and least similarity in per cent; ``op6_jaccard`` has its own.
+SHINGLE, THRESHOLD = 5, 80
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language go."""
     return op2_language.identify(docs).where(F.col("_lang_pred") != op2_language.UNKNOWN).select(docs.columns)
@@ -20,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays; a row without an id takes no part."""
-    found = Scratch(spark, "pipeline").write(op6_jaccard.jaccard_components(docs), "components")
+    found = Scratch(spark, "pipeline").write(op6_jaccard.jaccard_components(docs, SHINGLE, THRESHOLD), "components")
     kept = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = Scratch(spark, "pipeline").write(kept, "kept")
     out = docs.join(kept, "doc_id")

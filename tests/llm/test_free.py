@@ -391,3 +391,16 @@ def test_pipeline(spark, sf_dir):
     n = Counter(r["doc_id"] for r in seen["mix_sources"].collect())
     packed = Counter(r["doc_id"] for r in seen["best_fit_packing"].where("piece = 0").collect())
     assert n == packed
+
+
+def test_pipeline_near_duplicates(spark, sf_dir):
+    """Five words and 80 %: copies of 400 words with 72 to 96 more go, with 104 more they stay."""
+    import corpus_pipeline as P
+
+    docs, kept = [], set()
+    for i, more in enumerate((72, 84, 96, 104)):
+        t = " ".join(f"w{i}x{j}" for j in range(400))
+        docs += [(2 * i, t, "en", "src0", len(t)), (2 * i + 1, t + "".join(f" v{i}x{j}" for j in range(more)), "en", "src0", len(t))]
+        kept |= {2 * i} | ({2 * i + 1} if more > 99 else set())
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in P.near_duplicates(spark, docs, sf_dir).collect()} == kept
