@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is set (tests)."""
+    """The folder that all executors share; one of our own only where none is set and all runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "murmur-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -48,6 +52,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[int, str] = {}
+        if _blocks:
+            _blocks[-1].append(self)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -58,12 +64,32 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
             path = self._paths.pop(id(df), None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def drop_all(self) -> None:
+        self._paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_blocks: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """The scratch tables that are made inside go at the end of the block: its result must have been written by then."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for s in _blocks.pop():
+            s.drop_all()
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -71,23 +97,51 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Bits of the map that thins rows before a join: 2**23 bits are 1 MB, whatever the number of keys.
 MAP_BITS = 23
 
 
-def thinned(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """rows without most of those whose key is not among keys: a semi-join's reducer of fixed size.
+def divided(rows: DataFrame, keys: list[str], marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that are surely not among marks, the rest): a reducer of fixed size before a join on keys.
 
-    Keys are hashed into a bit map of fixed size, kept as at most 2**(MAP_BITS - 6) rows of 64 bits and broadcast.  Rows
-    whose bit is not set leave before the exchange; the join that follows decides.  With very many keys all
-    bits are set and nothing leaves, so the result never depends on it.
+    The keys of marks are hashed into a bit map of fixed size, kept as at most 2**(MAP_BITS - 6) rows of 64 bits and
+    broadcast.  Rows whose bit is not set need no exchange; the join that follows decides about the others.  With very
+    many keys all bits are set and every row is among the rest, so the result never depends on it.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS))
-    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
-    word = F.floor(F.col("_place") / 64).cast("int")
-    bits = keys.select(place.alias("_place")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    out = rows.withColumn("_place", place).withColumn("_word", word).join(F.broadcast(bits), "_word")
-    return out.where(F.col("_bits").bitwiseAND(bit) != 0).select(rows.columns)
+    at, word, bits = fresh(rows, "_place"), fresh(rows, "_word"), fresh(rows, "_bits")
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << MAP_BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` % 64 as int))")
+    number = lambda c: F.floor(F.col(c) / 64).cast("int")
+    set_ = marks.select(place.alias(at)).groupBy(number(at).alias(word)).agg(F.bit_or(bit(at)).alias(bits))
+    out = rows.withColumn(at, place).withColumn(word, number(at)).join(F.broadcast(set_), word, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(at)) != 0, F.lit(False))
+    return out.where(~hit).select(rows.columns), out.where(hit).select(rows.columns)
+
+
+def thinned(rows: DataFrame, keys: str | list[str], among: DataFrame) -> DataFrame:
+    """rows without most of those whose keys are not in among."""
+    return divided(rows, [keys] if isinstance(keys, str) else keys, among)[1]
+
+
+def keyed(docs: DataFrame, did: str = "did", th: str = "th") -> DataFrame:
+    """docs with the key of a row: (did, th), its id (0 for null) and a hash of its text and of whether it has an id.
+
+    Rows share a key only if they have the same id and text (but for a 64-bit chance among the rows of one id).
+    """
+    return docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn(th, F.xxhash64("text", F.col("doc_id").isNull()))
+
+
+def texts_of(docs: DataFrame, among: DataFrame) -> DataFrame:
+    """(did, th, text) of the rows (did, th, text) whose key is in among, each key once however often its row repeats."""
+    return thinned(docs, ["did", "th"], among).select("did", "th", "text").dropDuplicates(["did", "th"])
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -101,16 +155,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while True:
+    while state[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        # The least neighbours are written, so that both sides of the joins are plain exchanges: the root of a large component can be split.
+        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         )
         new = scratch.write(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
-        scratch.drop(e)
+        scratch.drop(e, low, large, least)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from murmur.llm.common import table, text_batches
 from murmur.llm.words import chunks
@@ -209,7 +210,7 @@ def model(texts: list[tuple[str, str]]) -> Model:
     return _models[key]
 
 
-def _predict(texts: list[tuple[str, str]], keep_text: bool):
+def _predict(texts: list[tuple[str, str]], keep_text: bool, added: tuple[str, str] = ("_lang_pred", "_score")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(texts)
         names = np.asarray([*m.languages, UNKNOWN], dtype=object)
@@ -233,18 +234,18 @@ def _predict(texts: list[tuple[str, str]], keep_text: bool):
             which = np.concatenate(pred) if pred else np.zeros(0, dtype=int)
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(names[which], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())],
-                names=[*rest.schema.names, "_lang_pred", "_score"],
+                names=[*rest.schema.names, *added],
             )
 
     return run
 
 
-def identify(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """docs with _lang_pred and _score."""
+def identify(docs: DataFrame, texts: list[tuple[str, str]] | None = None, names: tuple[str, str] = ("_lang_pred", "_score")) -> DataFrame:
+    """docs with two more columns of the names given: the predicted language and the score."""
     text_batches(docs.sparkSession)
     texts = samples(docs) if texts is None else texts
-    fields = docs.schema.simpleString()[len("struct<") : -1]
-    return docs.mapInArrow(_predict(texts, True), f"{fields},_lang_pred:string,_score:double")
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.mapInArrow(_predict(texts, True, names), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,15 @@ under such a window goes.  The graph is far larger than the corpus, so it is nev
 * *Verification by source coordinates.*  Where sequences branch, one occurrence of each is looked up in its
   document at its coordinates, and its edges are compared one by one (anchor and edge hash, 128 bits).
 
+A sequence is named by its first and last edge and its length: it has no more edges than an edge has words, so these two
+windows cover all of its words.  Hashes are those of ``words``, which no text can be built to cancel.
+
 Each removal is a span of coordinates; the spans of a document meet its text in one join.
 
 Defined cases: a null text has no words; a text shorter than a window loses nothing; rows that repeat
-count as occurrences, so they lose all windows; a null doc_id is replaced by a hash of the text inside and stays null
-outside (rows with equal doc_id must hold equal texts); other columns are ignored; an empty
-table gives no rows.
+count as occurrences, so they lose all windows; rows of one doc_id with different texts are documents of their own, and so
+are rows without doc_id; ties (equal windows) are all removed, none is kept as the first; very long texts are read whole; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,20 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Scratch, table, text_batches
-from murmur.llm.words import chunks, mix, powers, split, window_hashes, within, word_hashes
+from murmur.llm.common import Scratch, keyed, table, text_batches, texts_of
+from murmur.llm.words import chain, chunks, mix, split, window_hashes, within, word_hashes
 
 WINDOW, ANCHOR = 35, 8
-_BASE = 0xA0761D6478BD642F | 1
-_INV = pow(_BASE, -1, 1 << 64)
 _SEGMENT = 1 << 23
-
-
-def row_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+_KEY = ["did", "th"]
 
 
 def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
@@ -81,88 +79,86 @@ def paths(h: np.ndarray, word_off: np.ndarray, window: int, anchor: int):
     ends = np.append(np.flatnonzero(new | stop), n)
     end = ends[np.searchsorted(ends, first, "right")]
     count = end - first
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)) * powers(len(h), _BASE), out=total[1:])
-    sequence = mix((total[first + count + window - 1] - total[first]) * powers(len(h), _INV)[first] + count.astype(np.uint64))
+    edge = window_hashes(h, window, 11)
+    sequence = mix(chain(edge[first], edge[first + count - 1]) + count.astype(np.uint64))
     doc = np.searchsorted(word_off, first, "right") - 1
     return doc, first - word_off[doc], count, grams[at[first]], sequence
 
 
-PATHS = "anchor long, sequence long, key long, start int, edges int"
+PATHS = "anchor long, sequence long, did long, th long, start int, edges int"
 
 
 def _paths(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, data, offsets in chunks(batch.column(0), batch.column(1)):
+            did, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for rows, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(2)):
                 starts, ends, word_off = split(data, offsets)
                 found = paths(word_hashes(data, starts, ends), word_off, window, anchor)
                 if found is not None:
                     doc, start, count, a, s = found
-                    cols = [pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(keys[doc].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["anchor", "sequence", "key", "start", "edges"])
+                    at = rows[doc]
+                    cols = [a.view(np.int64), s.view(np.int64), did[at], th[at], start.astype(np.int32), count.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["anchor", "sequence", "did", "th", "start", "edges"])
 
     return run
 
 
-EDGES = "anchor long, edge long, key long, at int, n int"
+EDGES = "anchor long, edge long, did long, th long, at int, n int"
 
 
 def _edges(window: int):
-    """From rows (key, text, spans) to the edges under the spans."""
+    """From rows (did, th, text, spans) to the edges under the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2)
+            spans = batch.column(3)
             flat = spans.flatten()
             sizes = np.diff(np.asarray(spans.offsets)) if len(spans) else np.zeros(0, int)
             field = {f: np.asarray(flat.field(i)) for i, f in enumerate(("start", "edges", "anchor", "n"))}
             first = np.concatenate([[0], np.cumsum(sizes)])
             done = 0
-            keys = np.asarray(batch.column(0))
-            for keys_, data, offsets in chunks(batch.column(0), batch.column(1)):
+            did, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for rows, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(2)):
                 starts, ends, word_off = split(data, offsets)
                 edge = window_hashes(word_hashes(data, starts, ends), window, 11)
-                lo, hi = first[done], first[done + len(keys_)]
-                owner = np.repeat(np.arange(len(keys_)), sizes[done : done + len(keys_)])
+                lo, hi = first[done], first[done + len(rows)]
+                owner = np.repeat(np.arange(len(rows)), sizes[done : done + len(rows)])
                 count = field["edges"][lo:hi].astype(np.int64)
                 begin = field["start"][lo:hi].astype(np.int64)
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 at = np.repeat(begin, count) + step
                 where = np.repeat(word_off[owner], count) + at
-                cols = [
-                    pa.array(np.repeat(field["anchor"][lo:hi], count)), pa.array(edge[where].view(np.int64)),
-                    pa.array(np.repeat(keys[done : done + len(keys_)][owner], count)), pa.array(at.astype(np.int32)),
-                    pa.array(np.repeat(field["n"][lo:hi], count).astype(np.int32)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "edge", "key", "at", "n"])
-                done += len(keys_)
+                row = np.repeat(rows[owner], count)
+                cols = [np.repeat(field["anchor"][lo:hi], count), edge[where].view(np.int64), did[row], th[row], at.astype(np.int32), np.repeat(field["n"][lo:hi], count).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["anchor", "edge", "did", "th", "at", "n"])
+                done += len(rows)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(key, start, edges): coordinates of repeated edges."""
-    keyed = docs.select(row_key().alias("key"), "text")
-    runs = scratch.write(keyed.mapInArrow(_paths(window, anchor), PATHS), "paths")
+    """(did, th, start, edges): coordinates of repeated edges."""
+    rows = keyed(docs.select("doc_id", "text")).select(*_KEY, "text")
+    runs = scratch.write(rows.mapInArrow(_paths(window, anchor), PATHS), "paths")
     again = scratch.write(runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     kept = scratch.write(runs.join(again, "anchor", "left_semi"), "kept")
     scratch.drop(runs, again)
-    groups = kept.groupBy("anchor", "sequence").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "edges")).alias("one"))
+    groups = kept.groupBy("anchor", "sequence").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start", "edges")).alias("one"))
     groups = scratch.write(groups, "groups")
     branching = scratch.write(groups.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "branching")
     # One occurrence of each sequence of a branching anchor, gathered by document (bounded by its length).
     look = groups.join(branching, "anchor", "left_semi")
-    look = look.groupBy(F.col("one.key").alias("key")).agg(
+    look = look.groupBy(F.col("one.did").alias("did"), F.col("one.th").alias("th")).agg(
         F.collect_list(F.struct(F.col("one.start").alias("start"), F.col("one.edges").alias("edges"), "anchor", F.least("n", F.lit(2)).alias("n"))).alias("spans")
     )
     look = scratch.write(look, "look")
-    edges = keyed.join(look, "key").select("key", "text", "spans").mapInArrow(_edges(window), EDGES)
+    edges = texts_of(rows, look).join(look, _KEY).select(*_KEY, "text", "spans").mapInArrow(_edges(window), EDGES)
     edges = scratch.write(edges, "edges")
     twice = scratch.write(edges.groupBy("anchor", "edge").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "edge"), "twice")
-    single = edges.where("n = 1").join(twice, ["anchor", "edge"], "left_semi").select("key", F.col("at").alias("start"), F.lit(1).alias("edges"))
+    single = edges.where("n = 1").join(twice, ["anchor", "edge"], "left_semi").select(*_KEY, F.col("at").alias("start"), F.lit(1).alias("edges"))
     settled = scratch.write(groups.where("n > 1").select("anchor", "sequence"), "settled")
-    whole = kept.join(settled, ["anchor", "sequence"], "left_semi").select("key", "start", "edges")
+    whole = kept.join(settled, ["anchor", "sequence"], "left_semi").select(*_KEY, "start", "edges")
     out = scratch.write(whole.unionByName(single), "spans")
     scratch.drop(kept, groups, branching, look, edges, twice, settled)
     return out
@@ -202,8 +198,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digest: b
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
     spans = repeated_spans(docs, scratch, window, anchor)
-    per = spans.groupBy("key").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
-    rows = docs.select("doc_id", "text", row_key().alias("key")).join(per, "key", "left").select("doc_id", "text", "spans")
+    # A set, as rows that repeat bring the same spans; written, so that both sides of the join are plain exchanges and a key can be split.
+    per = scratch.write(spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "edges")).alias("spans")), "per-row")
+    scratch.drop(spans)
+    rows = keyed(docs.select("doc_id", "text")).join(per, _KEY, "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_apply(window, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")
 
 

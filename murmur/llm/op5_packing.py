@@ -6,9 +6,9 @@ capacity is cut: into full pieces, with the remainder as its first piece.
 Packing works on the histogram of piece lengths, which has at most ``capacity`` rows however many
 documents there are, so the driver's part is bounded:
 
-* ``reduce_dominated`` fixes sequences that provably dominate every alternative for their largest
-  piece (a piece alone, an exact or largest partner when no two pieces fit beside it), and shrinks the
-  instance until nothing more can be fixed;
+* ``reduce_dominated`` goes through the lengths from the longest down, fixes sequences that provably dominate every
+  alternative for a piece (a piece alone, a pair that fills its sequence, the largest partner when no two pieces fit beside
+  it), and starts again on the smaller instance until nothing more can be fixed;
 * ``best_fit`` packs what is left, longest first, each piece into the fullest sequence that takes it;
   equal pieces are placed in bulk.
 
@@ -21,7 +21,8 @@ ranks through ``tiktoken``, encode each distinct pretoken once, and split pretok
 numpy.  Texts that hold the end-of-text marker go through the marker rule of the vocabulary file.
 
 Defined cases: a null text is empty and packs as the single id 0; rows that repeat are packed as
-often as they come; an empty table gives no rows; other columns are ignored.
+often as they come; a null doc_id stays null; very long texts are cut into full pieces; pieces of one length are interchangeable
+and take its places in the order of their ranks; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import Scratch, table, text_batches
-from murmur.llm.words import INVERSE, chunks, mix, powers
+from murmur.llm.words import chunks, word_hashes
 
 CAPACITY = 2048
 END_ID = 0
@@ -148,9 +149,8 @@ class PretokenEncoder:
         docs = lead[offsets]
         starts = pretoken_starts(cp, docs[:-1][docs[:-1] < len(cp)], self.classes)
         ends = np.append(starts[1:], len(cp))
-        total = np.zeros(len(cp) + 1, dtype=np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * powers(len(cp)), out=total[1:])
-        h = mix((total[ends] - total[starts]) * powers(len(cp), INVERSE)[starts] + (ends - starts).astype(np.uint64))
+        place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        h = word_hashes(data, place[starts], place[ends])
         keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.index) + len(keys) > CACHE_ENTRIES:
             self.clear()
@@ -218,55 +218,58 @@ Pattern = tuple[tuple[int, ...], int]  # lengths of one sequence in order, numbe
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
-    """Fixes dominating sets for the largest piece, again and again; (fixed patterns, what is left).
+    """Fixes dominating sets until none is left; (fixed patterns, what is left).
 
-    For the largest piece j: if nothing fits beside it, j alone is fixed.  If some k fills the
-    sequence exactly, {j, k} dominates.  If no two pieces fit beside j, {j, largest k that fits}
-    dominates every set with j.  Otherwise j is set aside for best fit, and the next
-    shorter piece is tried (a set that holds no longer piece is judged among the pieces left).
+    For a piece j and the others that are left:
+
+    * nothing fits beside it: j alone is fixed;
+    * some k fills the sequence with it: {j, k} dominates.  What any other set holds beside j is no longer than k, so
+      it can trade places with k;
+    * no two pieces fit beside it: {j, largest k that fits} dominates in the same way.
+
+    A length to which none of these applies is set aside and the next shorter one tried; each pass works on what the one before left.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     fixed: list[Pattern] = []
-    sizes = sorted(left)
-    gone: dict[int, int] = {}
-
-    def take(n: int, c: int) -> None:
-        left[n] -= c
-        if not left[n]:
-            del left[n]
-            sizes.pop(bisect.bisect_left(sizes, n))
-
-    while sizes:
-        j = sizes[-1]
-        room = capacity - j
-        at = bisect.bisect_right(sizes, room)
-        if at == 0:
-            fixed.append(((j,), left[j]))
-            take(j, left[j])
-            continue
-        k = sizes[at - 1]
-        low = sizes[0]
-        second = low if left[low] >= 2 else (sizes[1] if len(sizes) > 1 else capacity + 1)
-        if j == low and left[j] == 1:
-            fixed.append(((j,), 1))
-            take(j, 1)
-        elif k == room or low + second > room:
-            if k == j:
-                n = left[j] // 2
-                if n == 0:  # the only piece of this length, beside shorter ones that were not larger
+    again = True
+    while again:
+        again = False
+        sizes = sorted(left)
+
+        def take(n: int, c: int) -> None:
+            left[n] -= c
+            if not left[n]:
+                del left[n]
+                sizes.pop(bisect.bisect_left(sizes, n))
+
+        for j in sizes[::-1]:
+            while left.get(j):
+                room = capacity - j
+                beside = bisect.bisect_right(sizes, room) - 1
+                if beside >= 0 and sizes[beside] == j and left[j] == 1:  # j is no partner of itself
+                    beside -= 1
+                if beside < 0:
+                    fixed.append(((j,), left[j] if room < j else 1))
+                    take(j, fixed[-1][1])
+                    again = True
+                    continue
+                k = sizes[beside]
+                if k != room and _two_least(left, sizes, j) <= room:
                     break
-            else:
-                n = min(left[j], left[k])
-            fixed.append(((j, k), n))
-            if k == j:
-                take(j, 2 * n)
-            else:
+                n = left[j] // 2 if k == j else min(left[j], left[k])
+                fixed.append(((j, k), n))
                 take(j, n)
                 take(k, n)
-        else:
-            break
-    gone.update(left)
-    return fixed, gone
+                again = True
+    return fixed, left
+
+
+def _two_least(left: dict[int, int], sizes: list[int], j: int) -> int:
+    """Sum of the two shortest pieces beside one piece j."""
+    least = []
+    for n in sizes[:3]:
+        least += [n] * min(2, left[n] - (n == j))
+    return sum(least[:2]) if len(least) > 1 else 1 << 62
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:

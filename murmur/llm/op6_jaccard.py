@@ -6,22 +6,27 @@ A document's set holds its distinct word shingles.  Documents link when
 1. *Global order.*  Shingles are ordered by (frequent, count, hash): the frequency is counted over
    all documents, on the part of each set that can become a prefix.  The order only decides speed; any
    global order gives the same links.
-2. *Classes.*  Equal sets become one class, represented by its smallest doc_id.
+2. *Classes.*  Equal sets become one class; only its representative, the row of the smallest doc_id, is compared.
 3. *Prefixes.*  Linked sets share a shingle among their first ``n - ceil(t n) + 1``.  Posting lists with a
-   single set are dropped.
+   single class are dropped.
 4. *Candidates.*  Short lists give their pairs, filtered by length and by position (shingles that one prefix
-   has and the other lacks bound the overlap).  Long lists are not expanded into pairs: the documents that they
-   connect form groups, cut into bands of length and blocks.
-5. *Prefix trees.*  The ordered sets of a gathering (the partners of a document, or a block) form a prefix tree, and
-   its probes walk the tree together: shared beginnings share their partial overlap, and a probe leaves a
+   has and the other lacks bound the overlap).  A long list is never expanded at once: each of its classes is first
+   compared with a leader of the list.  Components of the links found so far then show which pairs of the list are still
+   open, those of different components; leaders of the largest component are tried again as long as that closes
+   many, and the open pairs that remain are compared.  A large group of near copies thus costs about one
+   comparison for each member.
+5. *Prefix trees.*  The ordered sets of a gathering (a class and its partners, in parts of bounded size) form a prefix
+   tree: shared beginnings share their partial overlap, and a probe leaves a
    subtree as soon as the lengths that remain cannot reach the required overlap, or all of it is connected with the
    probe.  Only links that connect something new are returned, so a large group of near copies gives no more links
-   than it has members.
+   than it has members.  Gatherings are rows of one sorted stream; none is collected.
 6. *Components* of the links (Spark joins, see ``common.components``).
 
 Defined cases: no text or no words: an empty set, linked with nothing, n_shingles 0, own component;
-fewer words than a shingle: the whole sequence is the one shingle; rows that repeat link; a null doc_id
-takes no part in links and has a null component; other columns are ignored; an empty table gives no rows.
+fewer words than a shingle: the whole sequence is the one shingle; rows that repeat link; rows of one doc_id with different
+texts are documents of their own; a row without doc_id links like any other, and its component_id is the smallest doc_id that
+its component has, null if it has none; other columns are ignored; an empty table gives no rows; very long texts make
+gatherings of fewer members.
 """
 
 from __future__ import annotations
@@ -31,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Scratch, components, table, text_batches, thinned
+from murmur.llm.common import Scratch, components, divided, fresh, keyed, table, text_batches, texts_of, thinned
 from murmur.llm.words import LOWER, chunks, mix, split, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 4, 85
@@ -42,12 +47,12 @@ SHINGLE, THRESHOLD = 4, 85
 FREQUENT = 16
 #: The most frequent ones, up to this number, are placed by count; the rest by hash (speed only).
 MAX_FREQUENT = 200_000
-#: Lists up to this length give their pairs at once.
-SHORT = 16
-#: Sets in one prefix tree.
-PART = 512
-#: Shingles in one block, so that blocks of long documents have fewer of them.
-WEIGHT = 400_000
+#: Lists up to this length give their pairs at once (speed only).
+SHORT = 12
+#: Sets and shingles in one prefix tree, so that trees of long documents have fewer sets (memory only).
+PART, WEIGHT = 512, 400_000
+#: Leaders are tried again while more open pairs than this remain for each row of a long list (speed only).
+OPEN = 4
 
 
 def prefix_length(n: np.ndarray | int, threshold: int = THRESHOLD):
@@ -115,14 +120,14 @@ def _count_tokens(k: int, threshold: int):
     return run
 
 
-SETS = "doc_id long, n int, k1 long, k2 long, prefix array<long>"
+SETS = "doc_id long, did long, th long, n int, k1 long, k2 long, prefix array<long>"
 
 
 def _prefixes(order, k: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         for batch in batches:
-            for ids, data, offsets in chunks(batch.column(0), batch.column(1)):
+            for rows, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(3)):
                 n, k1, k2, toks, sizes = [], [], [], [], [0]
                 for s in shingle_sets(data, offsets, k):
                     n.append(len(s))
@@ -134,7 +139,8 @@ def _prefixes(order, k: int, threshold: int):
                 flat = np.concatenate(toks).view(np.int64) if toks else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat))
                 as_long = lambda x: pa.array(np.asarray(x, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.tolist(), pa.int64()), pa.array(n, pa.int32()), as_long(k1), as_long(k2), lists], names=["doc_id", "n", "k1", "k2", "prefix"])
+                own = [batch.column(i).slice(int(rows[0]), len(rows)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int32()), as_long(k1), as_long(k2), lists], names=["doc_id", "did", "th", "n", "k1", "k2", "prefix"])
 
     return run
 
@@ -250,125 +256,216 @@ class PrefixTree:
         return out
 
 
-PROBE, MEMBER, BOTH = 0, 1, 2
+PROBE, MEMBER = 0, 1
+
+
+def _links(role: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links of one gathering: its probe against a tree of its members."""
+    probe, member = np.flatnonzero(role == PROBE), np.flatnonzero(role == MEMBER)
+    if not len(probe) or not len(member):
+        return []
+    _, label = np.unique(keys, return_inverse=True)
+    found = PrefixTree([sets[i] for i in member]).join([sets[i] for i in probe], label[probe], label[member], threshold)
+    return [(int(keys[probe[x]]), int(keys[member[y]])) for x, y in found]
 
 
 def _join(order, k: int, threshold: int):
-    """Links of one gathering: the probes against a tree of the members."""
+    """From rows (g, part, role, cls, text), sorted by gathering, to links; a gathering may go on in the next batch."""
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
-        b = b.drop_duplicates(["key", "role"]).reset_index(drop=True)
-        sets = []
-        for _, data, offsets in chunks(pa.array(range(len(b))), pa.array(b["text"].tolist(), pa.string())):
-            sets += [o.tree_keys(s) for s in shingle_sets(data, offsets, k)]
-        role, keys = b["role"].to_numpy(), b["key"].to_numpy()
-        probe, member = np.flatnonzero(role != MEMBER), np.flatnonzero(role != PROBE)
-        found = []
-        if len(probe) and len(member):
-            _, label = np.unique(keys, return_inverse=True)
-            links = PrefixTree([sets[i] for i in member]).join([sets[i] for i in probe], label[probe], label[member], threshold)
-            found = [(keys[probe[x]], keys[member[y]]) for x, y in links]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        open_, role, keys, sets = None, [], [], []
+        for batch in batches:
+            ready = []
+            for _, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(4)):
+                ready += [o.tree_keys(s) for s in shingle_sets(data, offsets, k)]
+            found = []
+            for g, part, r, c, s in zip(*(batch.column(i).to_pylist() for i in range(4)), ready):
+                if (g, part) != open_:
+                    found += _links(np.asarray(role), np.asarray(keys), sets, threshold)
+                    open_, role, keys, sets = (g, part), [], [], []
+                role.append(r)
+                keys.append(c)
+                sets.append(s)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        found = _links(np.asarray(role), np.asarray(keys), sets, threshold)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     return run
 
 
-def hub_gatherings(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(kind, g, i, j, role, key): each document a with its partners b, many partners in parts."""
-    size = pairs.groupBy("a").agg(F.count("*").alias("m")).select(F.col("a").alias("g"), F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-    size = scratch.write(size, "hubs")
-    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
-    members = pairs.join(size, pairs.a == size.g).select("g", part.alias("i"), F.lit(MEMBER).alias("role"), F.col("b").alias("key"))
-    hubs = size.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(PROBE).alias("role"), F.col("g").alias("key"))
-    return members.unionByName(hubs).select(F.lit(0).alias("kind"), "g", "i", F.lit(0).alias("j"), "role", "key")
-
+class _Join:
+    """What the steps of one join share: its classes, texts, order and scratch tables."""
+
+    def __init__(self, docs: DataFrame, k: int, threshold: int):
+        self.spark = docs.sparkSession
+        text_batches(self.spark)
+        self.scratch, self.k, self.threshold = Scratch(self.spark, "jaccard"), k, threshold
+        self.docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "did", "th", "text")
+
+    def order(self) -> None:
+        counts = self.docs.select("did", "text").mapInArrow(_count_tokens(self.k, self.threshold), "token long").groupBy("token").count().where(f"count >= {FREQUENT}")
+        frequent = counts.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).collect()
+        self.order_ = self.spark.sparkContext.broadcast(Order([(r[0], r[1]) for r in frequent]))
+
+    def classes(self) -> None:
+        """sets: one row for each row of docs; classes: (cls, n, members, nul, did, th, prefix) of equal sets."""
+        w = self.scratch.write
+        self.sets = w(self.docs.mapInArrow(_prefixes(self.order_, self.k, self.threshold), SETS), "sets")
+        one = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "did", "th")).alias("one")
+        c = self.sets.where("n > 0").groupBy("k1", "k2", "n").agg(one, F.count("*").alias("members"), F.first("prefix").alias("prefix"))
+        # Numbered once, as the table is written.
+        c = w(c.select(F.monotonically_increasing_id().alias("cls"), "k1", "k2", "n", "members", "one.nul", "one.did", "one.th", "prefix"), "classes")
+        self.all_classes = c.drop("prefix")
+        self.prefixes = c.select("cls", "n", "prefix")
+        self.where = c.select("cls", "n", "did", "th")
+
+    def meets(self) -> DataFrame:
+        """(token, c, cls, n, pos): the posting lists of at least two classes."""
+        posts = self.prefixes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
+        lists = self.scratch.write(posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "lists")
+        out = self.scratch.write(thinned(posts, "token", lists).join(lists, "token").select("token", "c", "cls", "n", "pos"), "meets")
+        self.scratch.drop(lists)
+        return out
 
-def list_gatherings(long_: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
-    """(kind, g, i, j, role, key): documents that long lists connect, in bands of length and blocks.
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): links among pairs (a, b) that connect all that is linked, written; each a meets its partners in a gathering."""
+        w = self.scratch.write
+        pairs = w(pairs, "pairs")
+        size = pairs.join(self.where.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.count("*").alias("m"), F.sum("n").alias("weight"))
+        parts = F.greatest(F.ceil(F.col("m") / PART), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+        size = w(size.select(F.col("a").alias("g"), parts.alias("parts")), "hubs")
+        part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+        members = pairs.join(size, pairs.a == size.g).select("g", part.alias("part"), F.lit(MEMBER).alias("role"), F.col("b").alias("cls"))
+        hubs = size.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(PROBE).alias("role"), F.col("g").alias("cls"))
+        gathered = w(members.unionByName(hubs).join(self.where.drop("n"), "cls").select("g", "part", "role", "cls", "did", "th"), "gatherings")
+        rows = gathered.join(texts_of(self.docs, gathered), ["did", "th"]).select("g", "part", "role", "cls", "text")
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(tasks, "g", "part").sortWithinPartitions("g", "part", "role")
+        out = w(rows.mapInArrow(_join(self.order_, self.k, self.threshold), "a long, b long"), "links")
+        self.scratch.drop(pairs, size, gathered)
+        return out
 
-    Sets in one long list get one group g (components over lists).  Linked sets have nearly equal lengths, so a
-    band of lengths meets itself and the next.  A large band is cut into blocks, and each
-    pair of blocks is a gathering: a document goes to as many as there are blocks, and no list is
-    expanded into pairs.
-    """
-    centre = long_.groupBy("token").agg(F.min("key").alias("b"))
-    group = components(long_.join(centre, "token").select(F.col("key").alias("a"), "b"), scratch)
-    band = F.floor(F.log("n") / F.lit(np.log(100 / threshold).item())).cast("int")
-    rows = long_.select("key", "n").distinct().join(group, F.col("key") == F.col("node")).select("key", "n", F.col("component").alias("g"), band.alias("band"))
-    rows = scratch.write(rows, "bands")
-    blocks = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / WEIGHT)).cast("int")
-    size = rows.groupBy("g", "band").agg(blocks.alias("blocks"))
-    size = scratch.write(size, "band-sizes")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    r = rows.join(size, ["g", "band"]).withColumn("block", block)
-    above = size.select("g", (F.col("band") - 1).alias("band"), F.col("blocks").alias("upper"))
-    below = size.select("g", (F.col("band") + 1).alias("band"), F.col("blocks").alias("lower"))
-    number = lambda a, b: (a.cast("long") * F.lit(1 << 31) + b)  # noqa: E731  blocks of two sides
-    # Within a band: block x probes the blocks from its own on.
-    up_to = r.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("block"))))
-    from_ = r.withColumn("y", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    inside = from_.select("g", (2 * F.col("band")).alias("i"), number(F.col("block"), F.col("y")).alias("j"), F.when(F.col("y") == F.col("block"), BOTH).otherwise(PROBE).alias("role"), "key")
-    inside = inside.unionByName(
-        up_to.where("x < block").select("g", (2 * F.col("band")).alias("i"), number(F.col("x"), F.col("block")).alias("j"), F.lit(MEMBER).alias("role"), "key")
-    )
-    # Between a band (probes) and the next (members).
-    low = r.join(above, ["g", "band"]).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("upper") - 1)))
-    low = low.select("g", (2 * F.col("band") + 1).alias("i"), number(F.col("block"), F.col("y")).alias("j"), F.lit(PROBE).alias("role"), "key")
-    high = r.join(below, ["g", "band"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("lower") - 1)))
-    high = high.select("g", (2 * F.col("band") - 1).alias("i"), number(F.col("x"), F.col("block")).alias("j"), F.lit(MEMBER).alias("role"), "key")
-    return inside.unionByName(low).unionByName(high).select(F.lit(1).alias("kind"), "g", "i", "j", "role", "key")
+    def short_pairs(self, short: DataFrame) -> DataFrame:
+        """Pairs of short lists, the smaller set first.  A pair that also shares a long list is found there; for any other, c
+        counts all that the prefixes share up to pa and pb."""
+        x = short.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+        y = short.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+        near = x.join(y, "token").where((F.struct("na", "a") < F.struct("nb", "b")) & (100 * F.col("na") >= self.threshold * F.col("nb")))
+        near = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+        best = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+        return near.where(self._reaches(best)).select("a", "b")
+
+    def _reaches(self, best) -> Column:
+        return 100 * best >= self.threshold * (F.col("na") + F.col("nb") - best)
+
+    def _similar_length(self) -> Column:
+        return 100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb")
+
+    def labelled(self, long_: DataFrame, comp: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+        """(rows of long lists with their component, written; by list: the leader of its largest component and the pairs still open)."""
+        if comp is None:
+            rows = long_.withColumn("comp", F.col("cls"))
+        else:
+            rows = long_.join(comp, long_.cls == comp.node, "left").select(*long_.columns, F.coalesce("component", "cls").alias("comp"))
+        rows = self.scratch.write(rows, "labelled")
+        lead = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n")).alias("lead")
+        by = rows.groupBy("token", "comp").agg(F.count("*").alias("m"), lead)
+        lists = by.groupBy("token").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("square"), F.max(F.struct("m", F.col("lead.h").alias("h"), "comp", "lead")).alias("top"))
+        lists = lists.where("size * size > square").select("token", "size", ((F.col("size") * F.col("size") - F.col("square")) / 2).alias("open"), F.col("top.comp").alias("top"), "top.lead")
+        return rows, self.scratch.write(lists, "open")
+
+    def led_pairs(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
+        """Each class outside the largest component of its list, with the leader of that."""
+        p = rows.join(lists, "token").where("comp <> top").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
+        return p.where(self._similar_length()).select("a", "b").distinct()
+
+    def open_pairs(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
+        """All pairs of a list that are in different components, but for those that their lengths or places exclude.
+
+        A list is dealt into blocks, so that its pairs spread over tasks.
+        """
+        r = rows.join(lists.select("token", F.ceil(F.col("size") / PART).cast("int").alias("blocks")), "token")
+        x = r.select("token", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+        y = r.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+        p = x.join(y, ["token", "block"]).where((F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ca") != F.col("cb")) & self._similar_length())
+        best = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+        return p.where(self._reaches(best)).select("a", "b").distinct()
+
+    def components(self, links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """(node, component) over links and the components before."""
+        if before is not None:
+            links = links.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return self.scratch.write(components(links, self.scratch), "components")
+
+    def connect(self) -> DataFrame:
+        """(node, component) of the classes that have a link."""
+        meets = self.meets()
+        short, long_ = meets.where(f"c <= {SHORT}"), meets.where(f"c > {SHORT}").drop("c")
+        pairs, some = self.short_pairs(short), bool(long_.limit(1).count())
+        if some:
+            rows, lists = self.labelled(long_, None, 0)
+            pairs = pairs.unionByName(self.led_pairs(rows, lists)).distinct()
+        comp = self.components(self.verify(pairs))
+        turn, left = 0, None
+        while some:
+            turn += 1
+            rows, lists = self.labelled(long_, comp, turn)
+            size, open_ = lists.agg(F.sum("size"), F.sum("open")).first()
+            if not open_:
+                break
+            many = open_ > OPEN * size and (left is None or open_ < 0.7 * left)
+            links = self.verify(self.led_pairs(rows, lists) if many else self.open_pairs(rows, lists))
+            comp = self.components(links, comp)
+            left, some = open_, many
+            self.scratch.drop(rows, lists, links)
+        self.scratch.drop(meets)
+        return comp
 
 
 # ---------------------------------------------------------------- operator
 
 
+def _rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """For each row: doc_id, did, th, n, and of its component (of n > 0) the first row: one.nul, one.did, one.th; members of its class."""
+    j = _Join(docs, k, threshold)
+    j.order()
+    j.classes()
+    comp = j.connect()
+    c = j.all_classes.join(comp, j.all_classes.cls == comp.node, "left").withColumn("component", F.coalesce("component", "cls"))
+    c = j.scratch.write(c.select("k1", "k2", "n", "members", "component", "nul", "did", "th"), "of-classes")
+    first = j.scratch.write(c.groupBy("component").agg(F.min(F.struct("nul", "did", "th")).alias("one")), "first")
+    named = j.scratch.write(c.join(first, "component").select("k1", "k2", "n", "members", "one"), "named")
+    j.scratch.drop(c, first)
+    return j.sets.drop("prefix").join(named, ["k1", "k2", "n"], "left").select("doc_id", "did", "th", "n", "members", "one")
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    counts = docs.where("doc_id is not null").mapInArrow(_count_tokens(k, threshold), "token long").groupBy("token").count().where(f"count >= {FREQUENT}")
-    frequent = counts.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).collect()
-    order = spark.sparkContext.broadcast(Order([(r[0], r[1]) for r in frequent]))
-
-    sets = scratch.write(docs.mapInArrow(_prefixes(order, k, threshold), SETS), "sets")
-    valid = sets.where("doc_id is not null and n > 0")
-    classes = scratch.write(valid.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
-    # One row for each class: a repeated row has the same id and the same set.
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    posts = valid.select("doc_id", F.posexplode("prefix").alias("pos", "token"))
-    posts = posts.join(reps, "doc_id", "left_semi").select("token", F.col("doc_id").alias("key"), "pos")
-    lists = scratch.write(posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "lists")
-    meets = posts.join(lists, "token").join(classes.select(F.col("rep").alias("key"), "n"), "key").select("token", "c", "key", "n", "pos")
-    meets = scratch.write(meets.distinct(), "meets")
-    short, long_ = meets.where(f"c <= {SHORT}"), meets.where(f"c > {SHORT}")
-
-    # Pairs of short lists, the smaller set first.  A pair that also shares a long list is found there; for any other,
-    # c counts all that the prefixes share up to pa and pb.
-    x = short.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = short.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    near = x.join(y, "token").where((F.struct("na", "a") < F.struct("nb", "b")) & (100 * F.col("na") >= threshold * F.col("nb")))
-    near = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    best = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    near = scratch.write(near.where(100 * best >= threshold * (F.col("na") + F.col("nb") - best)).select("a", "b"), "pairs")
-
-    gathered = hub_gatherings(near, scratch)
-    if long_.limit(1).count():
-        gathered = gathered.unionByName(list_gatherings(long_, scratch, threshold))
-    gathered = scratch.write(gathered, "gatherings")
-    texts = docs.select(F.col("doc_id").alias("key"), "text")
-    rows = gathered.join(thinned(texts, "key", gathered), "key").select("kind", "g", "i", "j", "role", "key", "text")
-    links = scratch.write(rows.groupBy("kind", "g", "i", "j").applyInPandas(_join(order, k, threshold), "a long, b long"), "links")
-
-    comp = scratch.write(components(links, scratch), "components")
-    named = classes.join(comp, classes.rep == comp.node, "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    named = scratch.write(named, "named")
-    return sets.join(named, ["k1", "k2", "n"], "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    linked = F.when(~F.col("one.nul"), F.col("one.did"))
+    return _rows(docs, k, threshold).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, linked).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (rows without one come last), of equal rows any.
+
+    Rows with no words stay.  Only rows whose key is, by a bit map of fixed size, among those that go are exchanged.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    rows = scratch.write(_rows(docs, k, threshold).where("n > 0"), "rows")
+    first = (F.col("did") == F.col("one.did")) & (F.col("th") == F.col("one.th"))
+    did, th, gone = fresh(docs, "_did"), fresh(docs, "_th"), fresh(docs, "_gone")
+    marks = rows.where(~first).select("did", "th", F.lit(True).alias(gone)).distinct()
+    again = rows.where(first & (F.col("members") > 1)).groupBy("did", "th").count().where("count > 1").select("did", "th", F.lit(False).alias(gone))
+    marks = scratch.write(marks.unionByName(again).toDF(did, th, gone), "marks")
+    clear, maybe = divided(keyed(docs, did, th), [did, th], marks)
+    maybe = maybe.join(marks, [did, th], "left")
+    out = clear.select(docs.columns).unionByName(maybe.where(F.col(gone).isNull()).select(docs.columns))
+    if marks.where(~F.col(gone)).limit(1).count():
+        out = out.unionByName(maybe.where(~F.col(gone)).dropDuplicates([did, th]).select(docs.columns))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

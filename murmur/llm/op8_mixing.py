@@ -12,7 +12,9 @@ By default the weights are proportional to the square root of the rows of a sour
 small sources and lowers large ones while the expected size stays that of the input.
 
 Defined cases: a null source is a source of its own; a null doc_id hashes as the text ``null``;
-rows that repeat hash alike and get the same count; a source without a weight gets rate 0; an
+rows that repeat, and rows of one doc_id, hash alike and get the same count; texts are not looked at, so null, empty and very long ones are
+like any other; ties of the order go to the smaller doc_id; a source without a weight gets rate 0; columns of the documents may have any
+names: they travel as one struct, and an added column takes underscores before its name until it differs from all of theirs; an
 empty table gives no rows.
 """
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Scratch, maybe_broadcast, table
+from murmur.llm.common import Scratch, fresh, maybe_broadcast, table
 
 SEED = 17
 #: exp(-PART_RATE) must stay a normal double.
@@ -72,18 +74,21 @@ def rates(docs: DataFrame, scratch: Scratch, weights: dict | None = None, power:
     return n.select("source", (F.col("w") / F.lit(weight) * F.lit(rows) / F.col("n")).alias("rate"))
 
 
+def copies(docs: DataFrame, weights: dict | None = None, power: float = 0.5, seed: int = SEED) -> DataFrame:
+    """(doc, copy, copies, key): each document as a struct, as often as its count says; copy counts from 1."""
+    r = rates(docs, Scratch(docs.sparkSession, "mix"), weights, power)
+    r = maybe_broadcast(r.select(F.col("source").alias("of"), "rate"), r.count(), 64)
+    ident = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(r, F.col("doc.source").eqNullSafe(F.col("of")))
+    out = out.select("doc", poisson_count(F.concat(F.lit(f"{seed}:"), ident), F.col("rate")).alias("copies")).where("copies > 0")
+    out = out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "copies")
+    return out.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), F.col("copy").cast("string"))))
+
+
 def replicate(docs: DataFrame, weights: dict | None = None, power: float = 0.5, seed: int = SEED) -> DataFrame:
     """All columns of docs, with _copy (from 1), _copies and _key, globally ordered by _key."""
-    spark = docs.sparkSession
-    r = rates(docs, Scratch(spark, "mix"), weights, power)
-    n = r.count()
-    r = maybe_broadcast(r.select(F.col("source").alias("_source"), "rate"), n, 64)
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    out = docs.join(r, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    out = out.withColumn("_copies", poisson_count(F.concat(F.lit(f"{seed}:"), ident), F.col("rate"))).where("_copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("rate")
-    out = out.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), F.col("_copy").cast("string"))))
-    return out.orderBy("_key", "doc_id", "_copy")
+    out = copies(docs, weights, power, seed).orderBy("key", "doc.doc_id", "copy")
+    return out.select("doc.*", *[F.col(c).alias(fresh(docs, f"_{c}")) for c in ("copy", "copies", "key")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 
@@ -23,10 +24,11 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-INVERSE = pow(_BASE, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_SEED, _ODD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: The low n bytes of eight.
+_LOW = np.asarray([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -39,21 +41,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    key = f"{base}"
-    have = _tables.get(key)
-    if have is None or len(have) < n:
-        size = max(1 << 12, 1 << (n - 1).bit_length())
-        out = np.empty(size, dtype=np.uint64)
-        out[0] = 1
-        done = 1
-        while done < size:
-            take = min(done, size - done)
-            out[done : done + take] = out[:take] * np.uint64(pow(base, done, 1 << 64))
-            done += take
-        _tables[key] = have = out
-    return have[:n]
+def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    return mix(a * _ODD + b)
 
 
 def chunks(ids: pa.Array, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,25 +85,45 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    if len(starts) == 0:
-        return np.zeros(0, dtype=np.uint64)
-    total = np.empty(len(data) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(len(data), INVERSE)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word: eight bytes at a time through ``mix``, so no sum of powers that a text could be built to cancel.
+
+    Words of the same size of at most eight bytes never collide.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + _SEED)
+    if not len(h):
+        return h
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h = mix(h ^ (eight[starts] & _LOW[np.minimum(size, 8)]))
+    live, step = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        left = size[live] - step
+        h[live] = chain(h[live], eight[starts[live] + step] & _LOW[np.minimum(left, 8)])
+        live, step = live[left > 8], step + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h
 
 
 def window_hashes(h: np.ndarray, k: int, salt: int) -> np.ndarray:
-    """A 64-bit hash of each run of k consecutive word hashes (crossing documents too: mask those)."""
-    if len(h) < k:
+    """A 64-bit hash of each run of k consecutive word hashes (crossing documents too: mask those).
+
+    Runs of 1, 2, 4, ... are chained from two halves; a run of k is the chain of its binary parts.
+    """
+    n = len(h) - k + 1
+    if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    base = (0xC2B2AE3D27D4EB4F + 2 * salt) | 1
-    total = np.empty(len(h) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(mix(h + np.uint64(salt)) * powers(len(h), base), out=total[1:])
-    return mix((total[k:] - total[:-k]) * powers(len(h) - k + 1, pow(base, -1, 1 << 64)))
+    level, width, done, out = mix(h + np.uint64(salt)), 1, 0, None
+    while True:
+        if k & width:
+            part = level[done : done + n]
+            out = part if out is None else chain(out, part)
+            done += width
+        if done == k:
+            return out
+        level = chain(level[:-width], level[width:])
+        width *= 2
 
 
 def within(word_off: np.ndarray, n_words: int, k: int) -> np.ndarray:

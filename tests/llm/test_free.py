@@ -326,48 +326,102 @@ def test_tree_connects_what_is_linked():
                 assert group(range(len(sets)), got) == group(range(len(sets)), want)
 
 
-def shingles(text):
+def shingles(text, k=4):
     ws = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
-    return {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)} if len(ws) >= 4 else ({tuple(ws)} if ws else set())
+    return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else ({tuple(ws)} if ws else set())
 
 
 def check_jaccard(spark, texts, ids=None):
     ids = ids or [*range(len(texts))]
-    docs = spark.createDataFrame([(i, t, "e") for i, t in zip(ids, texts)], "doc_id long, text string, n string")
+    docs = spark.createDataFrame([(i, t, "e", 1) for i, t in zip(ids, texts)], "doc_id long, text string, n string, th long")
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in O6.jaccard_components(docs).collect())
-    sets = {i: shingles(t) for i, t in zip(ids, texts) if i is not None}
-    known = [i for i in sets if sets[i]]
+    sets = [shingles(t) for t in texts]
+    known = [i for i, s in enumerate(sets) if s]
     links = [(a, b) for a in known for b in known if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    c = group(sets, links)
-    assert got == Counter((i, len(shingles(t)), None if i is None else c[i]) for i, t in zip(ids, texts))
+    c = group(range(len(sets)), links)
+    least = {}
+    for row, i in enumerate(ids):
+        least[c[row]] = min((x for x in (least.get(c[row]), i) if x is not None), default=None)
+    assert got == Counter((i, len(s), least[c[row]]) for row, (i, s) in enumerate(zip(ids, sets)))
 
 
-@pytest.mark.parametrize("short", [16, 2])
-def test_jaccard_equals_brute_force(spark, monkeypatch, short):
-    """short 2 sends nearly all lists through groups and blocks."""
-    monkeypatch.setattr(O6, "SHORT", short)
-    monkeypatch.setattr(O6, "FREQUENT", 4)
-    monkeypatch.setattr(O6, "PART", 7)
-    r = random.Random(short)
-    vocab = [f"w{i}" for i in range(300)]
-    common = [r.choice(vocab) for _ in range(12)]
-    texts = []
-    for _ in range(14):
+def near_copies(r, vocab, groups, size, common):
+    for _ in range(groups):
         base = [r.choice(vocab) for _ in range(r.randint(3, 70))] + common * r.randint(0, 1)
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.randint(1, size)):
             copy = [*base]
             for _ in range(r.randint(0, 3)):
                 copy[r.randrange(len(copy))] = r.choice(vocab)
-            texts.append(r.choice([" ", "\n"]).join(copy))
+            yield r.choice([" ", "\n"]).join(copy)
+
+
+@pytest.mark.parametrize(("short", "open_"), [(16, 4), (2, 0), (2, 1000)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, short, open_):
+    """short 2 sends nearly all lists through leaders; open_ decides whether leaders are tried again or all open pairs compared."""
+    monkeypatch.setattr(O6, "SHORT", short)
+    monkeypatch.setattr(O6, "OPEN", open_)
+    monkeypatch.setattr(O6, "FREQUENT", 4)
+    monkeypatch.setattr(O6, "PART", 7)
+    r = random.Random(short + open_)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [*near_copies(r, vocab, 14, 9, [r.choice(vocab) for _ in range(12)])]
     check_jaccard(spark, texts + NASTY)
 
 
+def test_jaccard_of_one_large_group(spark, monkeypatch):
+    """Copies that differ from each other by more than the limit are connected through others only."""
+    monkeypatch.setattr(O6, "SHORT", 3)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        copy = [*base]
+        for j in range(0, i // 8):
+            copy[(5 * j + i) % 60] = f"x{i}-{j}"
+        texts.append(" ".join(copy))
+    r.shuffle(texts)
+    check_jaccard(spark, texts)
+
+
 def test_jaccard_of_repeated_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(40))
+    u = " ".join(f"u{i}" for i in range(40))
     check_jaccard(spark, [t, t, t + " x", "other words are here now", None], [5, 5, 2, None, 9])
+    check_jaccard(spark, [t, u, u + " x", t, t, u, ""], [1, 1, None, 7, None, 3, None])
+    check_jaccard(spark, [t, t, u], [None, None, None])
     assert O6.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keep_one(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(40)) for c in "tu")
+    rows = [(1, t, 0), (1, u, 1), (2, t + " x", 2), (3, t, 3), (3, t, 3), (None, u, 4), (None, "alone it is here", 5), (None, "alone it is here", 5), (8, None, 6), (8, None, 6), (9, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _did long")
+    got = Counter(tuple(r) for r in O6.keep_one(docs).collect())
+    assert got == Counter([(1, t, 0), (1, u, 1), (None, "alone it is here", 5), (8, None, 6), (8, None, 6), (9, "", 7)])
+    assert O6.keep_one(docs.limit(0)).count() == 0 and O6.keep_one(docs).columns == docs.columns
+    # Copies of one row, some of them without an id.
+    same = spark.createDataFrame([(4, t)] * 5 + [(None, t)] * 2, "doc_id long, text string")
+    assert [tuple(r) for r in O6.keep_one(same).collect()] == [(4, t)]
+
+
+def thue_morse(bits, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(1 << bits))
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12])
+def test_no_text_cancels_a_hash(spark, bits):
+    x, y = thue_morse(bits, "a", "b"), thue_morse(bits, "b", "a")
+    plain = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{x} {plain}"), (2, f"{y} {plain}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in O4.dedup(docs).collect()} == {0}
+    small = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert {r["component_id"] for r in O6.jaccard_components(small).collect()} == {1, 2}
+    e = O5.PretokenEncoder()
+    data = np.frombuffer((x + y).encode(), dtype=np.uint8)
+    one, two = e.batch(data, np.asarray([0, len(x), len(x) + len(y)]))
+    assert one.tolist() == e.encoding.encode(x) and two.tolist() == e.encoding.encode(y)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -383,8 +437,8 @@ def test_pipeline(spark, sf_dir):
     ids = lambda n: {r["doc_id"] for r in seen[n].select("doc_id").collect()}
     assert [c for n, _ in P.STAGES[:-1] for c in seen[n].columns] == docs.columns * 4
     assert not ids("language_id") & {10**6, 10**6 + 1} and 10**6 + 2 in ids("ngram_jaccard")
-    sets = {r["doc_id"]: shingles(r["text"]) for r in seen["language_id"].collect()}
-    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    sets = {r["doc_id"]: shingles(r["text"], P.SHINGLE) for r in seen["language_id"].collect()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= P.THRESHOLD * len(sets[a] | sets[b])]
     assert ids("ngram_jaccard") == set(group(sets, links).values())
     assert ids("secret_scan") == ids("ngram_jaccard")
     assert "the [SECRET] of the" in {r["text"] for r in seen["secret_scan"].collect()}
@@ -404,3 +458,24 @@ def test_pipeline_near_duplicates(spark, sf_dir):
         kept |= {2 * i} | ({2 * i + 1} if more > 99 else set())
     docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in P.near_duplicates(spark, docs, sf_dir).collect()} == kept
+
+
+def test_pipeline_of_odd_tables(spark, sf_dir):
+    """Repeated rows, one id with two texts, columns of clashing names, a long text, and no rows at all."""
+    import corpus_pipeline as P
+
+    long_ = " ".join(f"the{i} word" for i in range(30_000))
+    rows = [(1, "the cat and the dog", None, None, 19, 0.5, "a"), (1, "the cat and the dog", None, None, 19, 0.5, "a"), (1, "another story of the house", "en", "s", 26, 0.1, "b")]
+    rows += [(None, "a text of its own", "en", "s", 17, None, None), (3, long_, "en", "s", len(long_), 0.0, "c"), (4, "", "en", "s", 0, 0.0, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _score double, rate string")
+    one = P.language_id(spark, docs, sf_dir)
+    assert one.columns == docs.columns and one.count() == 5 and {r["lang"] for r in one.collect()} == {"en"}
+    two = P.near_duplicates(spark, one, sf_dir)
+    assert two.columns == docs.columns and two.count() == 4
+    three = P.mix_sources(spark, P.secret_scan(spark, two, sf_dir), sf_dir)
+    assert three.columns == docs.columns
+    assert P.pack(spark, two, sf_dir).agg(F.max("sequence_id")).first()[0] > 1
+    none = docs.limit(0)
+    for name, stage in P.STAGES:
+        none = stage(spark, none, sf_dir)
+        assert none.count() == 0

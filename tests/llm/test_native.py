@@ -87,12 +87,12 @@ def test_urls(spark):
 
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "big" if i % 10 else None, i) for i in range(4000)], "doc_id long, source string, rate int")
-    docs = docs.withColumnRenamed("rate", "extra")
+    docs = docs.select("*", F.lit("x").alias("_copy"), F.lit(1).alias("key"), F.lit(2).alias("_source"))
     out = O8.replicate(docs)
     n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
     share = math.sqrt(400) / (math.sqrt(400) + math.sqrt(3600))
     assert abs(n[None] - 4000 * share) < 150 and abs(n["big"] - 4000 * (1 - share)) < 150
-    assert out.columns[:3] == docs.columns
+    assert out.columns == [*docs.columns, "__copy", "_copies", "_key"] and {r["_copy"] for r in out.select("_copy").collect()} == {"x"}
     again = O8.replicate(docs.repartition(7))
     assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
     keys = [r["_key"] for r in out.collect()]
