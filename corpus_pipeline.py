@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm import op1_secrets, op2_language, op5_packing, op6_jaccard, op8_mixing
-from murmur.llm.common import Scratch, table
+from murmur.llm.common import Scratch, fresh, table, temporary
 
 
 #: Near duplicates of the pipeline: words in a shingle and least similarity in per cent; ``op6_jaccard`` has its own.
@@ -18,33 +18,51 @@ SHINGLE, THRESHOLD = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go."""
-    return op2_language.identify(docs).where(F.col("_lang_pred") != op2_language.UNKNOWN).select(docs.columns)
+    """Documents without an identifiable language go; where ``lang`` is null, the others take the predicted one.
+
+    A null or empty text and one without a letter go; rows are judged one by one, so repeated ones stay or go together; very long
+    texts are read whole; ties of languages go to the smaller name; an empty table stays empty; columns of any other name are kept.
+    """
+    pred = fresh(docs, "_lang_pred")
+    found = op2_language.identify(docs, names=(pred, fresh(docs, "_score"))).where(F.col(pred) != op2_language.UNKNOWN)
+    return found.select(*[F.coalesce("lang", pred).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays; a row without an id takes no part."""
-    found = Scratch(spark, "pipeline").write(op6_jaccard.jaccard_components(docs, SHINGLE, THRESHOLD), "components")
-    kept = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = Scratch(spark, "pipeline").write(kept, "kept")
-    out = docs.join(kept, "doc_id")
-    if kept.where("_rows > 1").limit(1).count():  # repeated rows: one of each
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near duplicates stays: the one with the smallest doc_id.
+
+    A row without words stays; rows of one doc_id with different texts are documents of their own; of rows that repeat in whole one stays;
+    rows without doc_id are compared too and stay only if no row of their group has one; very long texts are compared whole; an empty
+    table stays empty; columns of any other name are kept.
+    """
+    return op6_jaccard.keep_one(docs, SHINGLE, THRESHOLD)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; the documents stay."""
+    """Secrets are replaced by a mark (and ``n_chars`` follows); the documents stay.
+
+    A null text stays null and an empty one empty; repeated rows are redacted alike; overlapping secrets become one mark; very long
+    texts are redacted whole; an empty table stays empty; columns of any other name are kept.
+    """
     return op1_secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights."""
-    return op8_mixing.replicate(docs).select(docs.columns)
+    """Sources are brought to their target weights: a document comes as often as its count says, which may be never.
+
+    A null source is a source of its own; repeated rows and rows of one doc_id get the same count; texts are not looked at, whatever
+    their length; an empty table stays empty; columns of any other name are kept.  Packing decides the order of the corpus, so the
+    copies are not ordered here.
+    """
+    return op8_mixing.copies(docs).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences; a document that mixing repeats is packed as often."""
+    """Token sequences: one row for each piece, as ``op5_packing`` gives it; a document that mixing repeats is packed as often.
+
+    A null or empty text is its end id alone; a text longer than a sequence is cut; pieces of equal length are taken in any order; an
+    empty table gives no rows; other columns are ignored.
+    """
     return op5_packing.pack(docs)
 
 
@@ -64,5 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "corpus")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
