@@ -95,16 +95,20 @@ def phrases(text, sample):
     return n
 
 
-def test_cross_parsing_equals_a_plain_parse():
-    r = random.Random(0)
-    samples = [("a", "the cat sat on the mat"), ("b", "le chat est la"), ("c", "xyz xyz")]
+@pytest.mark.parametrize("stretch", [1024, 16, 5])
+def test_cross_parsing_equals_a_plain_parse(monkeypatch, stretch):
+    """Whole texts, however they are cut into stretches."""
+    monkeypatch.setattr(O2, "STRETCH", stretch)
+    r = random.Random(stretch)
+    samples = [("a", "the cat sat on the mat aaaaaaa"), ("b", "le chat est la"), ("c", "xyz xyz"), ("d", "".join(chr(0x4E00 + r.randrange(900)) for _ in range(900)))]
     m = O2.Model(samples)
-    texts = ["".join(r.choice("the catsomlx \u00e9z") for _ in range(r.choice([0, 1, 30, 2500]))) for _ in range(60)]
+    texts = ["".join(r.choice("the catsomlx \u00e9z\u4e05") for _ in range(r.choice([0, 1, 30, 2500]))) for _ in range(40)]
+    texts += ["".join(r.choice(["the cat ", "sat on", "chat est", "a" * r.randint(1, 60), "xyz x"]) for _ in range(300)), "a" * 3000, "q" * 2000, "the mat" * 500]
     cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
     got = m.phrases(cp, np.cumsum([0] + [len(t) for t in texts]))
     for t, p in zip(texts, got.tolist()):
-        parts = [t[i : i + O2.STRETCH] for i in range(0, len(t), O2.STRETCH)]
-        assert p == [sum(phrases(x, s) for x in parts) for _, s in samples]
+        assert p == [phrases(t, s) for _, s in samples]
+    assert len(m.automata[3][0]) < 4 * 900 + 2 * m.width
 
 
 def test_language_on_held_out_rows(spark, sf_dir):
