@@ -8,9 +8,10 @@ Native: DataFrame functions only.
   is confirmed afterwards.  The rule table is broadcast only if its counted size is small.
 * The longest rule wins (longer host, then longer path, then ``block``), else the default.
 
-Defined cases: a null URL or one without ``://`` has an empty host and path and gets the default
-verdict; rows that repeat are judged once and come back as often as they came; other columns are
-ignored; an empty rule table leaves the default verdict.
+Defined cases: a null or empty URL or one without ``://`` has an empty host and path and gets the default
+verdict; rows that repeat are judged once and come back as often as they came; rows of one page_id with different URLs are judged
+each; a null page_id stays null; very long URLs are expanded whole (their path only at the lengths that rules have); other columns are
+ignored; an empty table gives no rows; an empty rule table leaves the default verdict.
 """
 
 from __future__ import annotations
@@ -72,7 +73,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url)."""
     stats = rules.agg(F.count("*"), F.collect_set(F.length("rpath"))).first()
     n_rules, lengths = stats[0], sorted(stats[1])
-    urls = pages.groupBy("page_id", "url").agg(F.count("*").alias("copies"))
+    # A fixed number of tasks: by their bytes alone the rows would be gathered into few, but each becomes many expressions.
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = pages.groupBy("page_id", "url").agg(F.count("*").alias("copies")).repartition(tasks, "page_id", "url")
     urls = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     x = expand(urls, lengths)
     r = maybe_broadcast(rules, n_rules, 512)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -12,6 +13,7 @@ from murmur.llm import op1_secrets as O1
 from murmur.llm import op7_url_filters as O7
 from murmur.llm import op8_mixing as O8
 from murmur.llm import op10_licenses as O10
+from murmur.llm.common import keyed
 
 TEXTS = [
     None, "", "no secrets here", 'password = "abc" token: abcdef1 x', "Secret=token: abcdefgh", "API_KEY='zzzzzz' apikey=abcdef passwd:123456",
@@ -47,11 +49,53 @@ def test_redact(spark):
     assert out == {1: (1, "a [SECRET] b", 12), 2: (2, "clean", 5), 3: (3, None, None)}
 
 
+def plain_redact(text):
+    out, at = "", 0
+    for start, _, _, end in plain_spans(text):
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("page", [1000, 7])
+def test_redact_of_many_and_overlapping_spans(spark, monkeypatch, page):
+    monkeypatch.setattr(O1, "PAGE", page)
+    texts = [t for t in TEXTS if t] + ["\U0001F600 token=" + "f" * 3000 + " é " * 900, "token=abcdefgh " * 400, "é" * 2000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, _rules int")
+    assert {r["doc_id"]: r["text"] for r in O1.redact(docs).collect()} == {i: plain_redact(t) for i, t in enumerate(texts)}
+
+
+def test_spans_cost_the_same_in_long_texts(spark):
+    """40,000 spans in one text; a fold that copies its list would take minutes."""
+    t = "token=abcdefgh " * 40_000
+    docs = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    r = O1.report(O1.scan(docs)).first()
+    assert r["n_assign"] == 40_000 and r["spans"].endswith("assign:599985:599999")
+    assert O1.redact(docs).first()["text"] == "[SECRET] " * 40_000
+
+
+def test_derived_trigram_queries():
+    q = O1.trigram_query
+    assert q("hello") == (("ell", "hel", "llo"),) and q("[0-9a-f]{24,}") is None and q("(ab|cd)") is None
+    assert q("(?:abc|xyz)[0-9]+") == (("abc",), ("xyz",)) and q("abc.*xyz") == (("abc", "xyz"),)
+    assert q("ab?cd") == (("abc", "bcd"), ("acd",)) and q("(foo.*|ba)r") is None and q("(foo.*|bar)") == (("bar",), ("foo",))
+    assert q("(abc){2,}") == (("abc", "bca", "cab"),) and q("(abc)*") is None and q("[Kk]ey=") == (("ey=", "key"),)
+    assert q("(foo.*x|bar)qux") == (("bar", "qux"), ("foo", "qux"))
+    r = random.Random(3)
+    parts = ["abc", "[Xx]y", "z?", "(?:de|fgh)", "[0-9]+", ".", "(?:ij|k.l)m", "no{2,3}"]
+    for _ in range(400):
+        pattern = "".join(r.choice(parts) for _ in range(r.randint(1, 5)))
+        for _ in range(20):
+            text = "".join(r.choice(["abc", "xy", "Xy", "z", "de", "fgh", "7", "ij", "kkl", "m", "noo", "nooo"]) for _ in range(9))
+            if (m := re.search(pattern, text)) and (query := q(pattern)) is not None:
+                assert any(all(t in m[0].lower() for t in c) for c in query), (pattern, m[0], query)
+
+
 def test_candidates_never_miss(spark):
     """A text that matches a rule meets the rule's trigram query."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    keyed = docs.select("doc_id", "text", O1.row_key().alias("key"))
-    found = {r["doc_id"]: set(r["rules"]) for r in keyed.join(O1.candidates(O1.postings(docs)), "key").collect()}
+    found = {r["doc_id"]: set(r["rules"]) for r in keyed(docs).join(O1.candidates(O1.postings(docs)), ["did", "th"]).collect()}
     for i, t in enumerate(TEXTS):
         for r in O1.RULES:
             if r.query is not None and t and re.search(r.pattern, t):
