@@ -51,7 +51,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._paths: dict[int, tuple[DataFrame, str]] = {}  # holds the frames, so that no other one gets their ids
         if _blocks:
             _blocks[-1].append(self)
 
@@ -60,14 +60,13 @@ class Scratch:
         path = f"{self.root}/{self._n}-{name}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths[id(out)] = out, path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self._paths.pop(id(df), None)
-            if path:
-                self._delete(path)
+            if id(df) in self._paths:
+                self._delete(self._paths.pop(id(df))[1])
 
     def drop_all(self) -> None:
         self._paths.clear()
@@ -144,6 +143,9 @@ def texts_of(docs: DataFrame, among: DataFrame) -> DataFrame:
     return thinned(docs, ["did", "th"], among).select("did", "th", "text").dropDuplicates(["did", "th"])
 
 
+MANY_EDGES = 5_000_000
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): smallest node reachable over links (a, b), for nodes that have a link.
 
@@ -157,10 +159,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while state[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # The least neighbours are written, so that both sides of the joins are plain exchanges: the root of a large component can be split.
-        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # With many edges the least neighbours are written, so that both sides of a join are plain exchanges and the root of a large
+        # component can be split; with few that would only cost jobs.
+        settle = scratch.write if state[0] > MANY_EDGES else lambda df, _: df
+        low = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = settle(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         )

@@ -10,12 +10,12 @@ A document's set holds its distinct word shingles.  Documents link when
 3. *Prefixes.*  Linked sets share a shingle among their first ``n - ceil(t n) + 1``.  Posting lists with a
    single class are dropped.
 4. *Candidates.*  Short lists give their pairs, filtered by length and by position (shingles that one prefix
-   has and the other lacks bound the overlap).  A long list is never expanded at once: each of its classes is first
-   compared with a leader of the list.  Components of the links found so far then show which pairs of the list are still
-   open, those of different components; leaders of the largest component are tried again as long as that closes
-   many, and the open pairs that remain are compared.  A large group of near copies thus costs about one
-   comparison for each member.
-5. *Prefix trees.*  The ordered sets of a gathering (a class and its partners, in parts of bounded size) form a prefix
+   has and the other lacks bound the overlap).  A long list is never expanded into pairs: each of its classes is first
+   compared with a leader of the list.  Components of the links found so far then show what is still open: pairs of different
+   components.  Lists with the same largest component form a group, dealt into bands of length and blocks; blocks outside that component
+   meet all others, and blocks inside it never each other.  A large group of near copies thus costs about one
+   comparison for each member and one for each block and straggler.
+5. *Prefix trees.*  The ordered sets of a gathering (the partners of a class, in parts of bounded size, or a block) form a prefix
    tree: shared beginnings share their partial overlap, and a probe leaves a
    subtree as soon as the lengths that remain cannot reach the required overlap, or all of it is connected with the
    probe.  Only links that connect something new are returned, so a large group of near copies gives no more links
@@ -31,10 +31,10 @@ gatherings of fewer members.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +50,9 @@ MAX_FREQUENT = 200_000
 #: Lists up to this length give their pairs at once (speed only).
 SHORT = 12
 #: Sets and shingles in one prefix tree, so that trees of long documents have fewer sets (memory only).
-PART, WEIGHT = 512, 400_000
+PART, WEIGHT = 256, 100_000
 #: Leaders are tried again while more open pairs than this remain for each row of a long list (speed only).
-OPEN = 4
+OPEN = 64
 
 
 def prefix_length(n: np.ndarray | int, threshold: int = THRESHOLD):
@@ -259,37 +259,34 @@ class PrefixTree:
 PROBE, MEMBER = 0, 1
 
 
-def _links(role: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Links of one gathering: its probe against a tree of its members."""
-    probe, member = np.flatnonzero(role == PROBE), np.flatnonzero(role == MEMBER)
-    if not len(probe) or not len(member):
+def _links(rows: list[tuple[int, int, int, np.ndarray]], threshold: int) -> list[tuple[int, int]]:
+    """Links of one gathering of rows (role, cls, component, set): its probes against a tree of its members."""
+    probe, member = [r for r in rows if r[0] == PROBE], [r for r in rows if r[0] == MEMBER]
+    if not probe or not member:
         return []
-    _, label = np.unique(keys, return_inverse=True)
-    found = PrefixTree([sets[i] for i in member]).join([sets[i] for i in probe], label[probe], label[member], threshold)
-    return [(int(keys[probe[x]]), int(keys[member[y]])) for x, y in found]
+    _, label = np.unique([r[2] for r in probe + member], return_inverse=True)
+    found = PrefixTree([r[3] for r in member]).join([r[3] for r in probe], label[: len(probe)], label[len(probe) :], threshold)
+    return [(probe[x][1], member[y][1]) for x, y in found]
 
 
 def _join(order, k: int, threshold: int):
-    """From rows (g, part, role, cls, text), sorted by gathering, to links; a gathering may go on in the next batch."""
+    """From rows (gathering, role, cls, comp, text), sorted by gathering, to links; a gathering may go on in the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
-        open_, role, keys, sets = None, [], [], []
+        open_, rows = None, []
         for batch in batches:
-            ready = []
+            sets, found = [], []
             for _, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(4)):
-                ready += [o.tree_keys(s) for s in shingle_sets(data, offsets, k)]
-            found = []
-            for g, part, r, c, s in zip(*(batch.column(i).to_pylist() for i in range(4)), ready):
-                if (g, part) != open_:
-                    found += _links(np.asarray(role), np.asarray(keys), sets, threshold)
-                    open_, role, keys, sets = (g, part), [], [], []
-                role.append(r)
-                keys.append(c)
-                sets.append(s)
+                sets += [o.tree_keys(s) for s in shingle_sets(data, offsets, k)]
+            for g, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), sets):
+                if g != open_:
+                    found += _links(rows, threshold)
+                    open_, rows = g, []
+                rows.append(row)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-        found = _links(np.asarray(role), np.asarray(keys), sets, threshold)
+        found = _links(rows, threshold)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
@@ -330,22 +327,52 @@ class _Join:
         self.scratch.drop(lists)
         return out
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b): links among pairs (a, b) that connect all that is linked, written; each a meets its partners in a gathering."""
+    def verify_pairs(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): links among pairs (a, b) that connect all that is linked; each a meets its partners, in parts."""
         w = self.scratch.write
-        pairs = w(pairs, "pairs")
-        size = pairs.join(self.where.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.count("*").alias("m"), F.sum("n").alias("weight"))
-        parts = F.greatest(F.ceil(F.col("m") / PART), F.ceil(F.col("weight") / WEIGHT)).cast("int")
-        size = w(size.select(F.col("a").alias("g"), parts.alias("parts")), "hubs")
-        part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
-        members = pairs.join(size, pairs.a == size.g).select("g", part.alias("part"), F.lit(MEMBER).alias("role"), F.col("b").alias("cls"))
-        hubs = size.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(PROBE).alias("role"), F.col("g").alias("cls"))
-        gathered = w(members.unionByName(hubs).join(self.where.drop("n"), "cls").select("g", "part", "role", "cls", "did", "th"), "gatherings")
-        rows = gathered.join(texts_of(self.docs, gathered), ["did", "th"]).select("g", "part", "role", "cls", "text")
+        pairs = w(pairs.join(self.where.select(F.col("cls").alias("b"), "n", "did", "th"), "b"), "pairs")
+        parts = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / WEIGHT)).cast("int")
+        size = w(pairs.groupBy("a").agg(parts.alias("parts")), "hubs")
+        gathering = F.xxhash64("a", "part")
+        members = pairs.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+        members = members.select(gathering.alias("gathering"), F.lit(MEMBER).alias("role"), F.col("b").alias("cls"), F.col("b").alias("comp"), "did", "th")
+        hubs = size.join(self.where, size.a == self.where.cls).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        hubs = hubs.select(gathering.alias("gathering"), F.lit(PROBE).alias("role"), F.col("a").alias("cls"), F.col("a").alias("comp"), "did", "th")
+        return self.verify(members.unionByName(hubs), pairs, size)
+
+    def verify_groups(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
+        """(a, b): links between different components of open lists that connect all that is linked; block meets block.
+
+        The lists that share their largest component are one group g.  Its classes are dealt, by length, into bands, and each band
+        into blocks of those in the component (kind 0) and of the others (kind 1).  Linked sets are in the same band or in
+        neighbouring ones.  Each block of the others meets every block of the component, and every one of the others once.
+        """
+        w = self.scratch.write
+        band = F.floor(F.log("n") / F.lit(math.log(100 / self.threshold))).cast("int")
+        of = rows.join(lists.select("token", F.col("top").alias("g")), "token").select("g", "cls", "n", "comp", band.alias("band"), (F.col("comp") != F.col("g")).cast("int").alias("kind")).distinct()
+        of = w(of.join(self.where.drop("n"), "cls"), "bands")
+        count = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / WEIGHT)).cast("int")
+        size = w(of.groupBy("g", "band", "kind").agg(count.alias("blocks")), "blocks")
+        of = of.join(size, ["g", "band", "kind"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).drop("blocks")
+        each = size.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        x = each.where("kind = 1").select("g", *[F.col(c).alias(f"x{c}") for c in ("band", "kind", "block")], F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+        y = x.join(each, ["g", "band"]).where("kind = 0 or band > xband or (band = xband and block >= xblock)")
+        y = w(y.select("g", "xband", "xkind", "xblock", "band", "kind", "block").withColumn("gathering", F.monotonically_increasing_id()), "meetings")
+        at = ["g", "band", "kind", "block"]
+        probes = of.join(y.select("gathering", "g", *[F.col(f"x{c}").alias(c) for c in at[1:]]), at).withColumn("role", F.lit(PROBE))
+        members = of.join(y.select("gathering", *at), at).withColumn("role", F.lit(MEMBER))
+        cols = ["gathering", "role", "cls", "comp", "did", "th"]
+        return self.verify(probes.select(cols).unionByName(members.select(cols)), y, size)
+
+    def verify(self, gathered: DataFrame, *done: DataFrame) -> DataFrame:
+        """(a, b), written: links of gatherings (gathering, role, cls, comp, did, th)."""
+        w = self.scratch.write
+        gathered = w(gathered, "gatherings")
+        rows = gathered.join(texts_of(self.docs, gathered), ["did", "th"]).select("gathering", "role", "cls", "comp", "text")
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(tasks, "g", "part").sortWithinPartitions("g", "part", "role")
+        rows = rows.repartition(tasks, "gathering").sortWithinPartitions("gathering")
         out = w(rows.mapInArrow(_join(self.order_, self.k, self.threshold), "a long, b long"), "links")
-        self.scratch.drop(pairs, size, gathered)
+        self.scratch.drop(gathered, *done)
         return out
 
     def short_pairs(self, short: DataFrame) -> DataFrame:
@@ -382,18 +409,6 @@ class _Join:
         p = rows.join(lists, "token").where("comp <> top").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
         return p.where(self._similar_length()).select("a", "b").distinct()
 
-    def open_pairs(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
-        """All pairs of a list that are in different components, but for those that their lengths or places exclude.
-
-        A list is dealt into blocks, so that its pairs spread over tasks.
-        """
-        r = rows.join(lists.select("token", F.ceil(F.col("size") / PART).cast("int").alias("blocks")), "token")
-        x = r.select("token", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-        y = r.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-        p = x.join(y, ["token", "block"]).where((F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ca") != F.col("cb")) & self._similar_length())
-        best = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-        return p.where(self._reaches(best)).select("a", "b").distinct()
-
     def components(self, links: DataFrame, before: DataFrame | None = None) -> DataFrame:
         """(node, component) over links and the components before."""
         if before is not None:
@@ -408,7 +423,7 @@ class _Join:
         if some:
             rows, lists = self.labelled(long_, None, 0)
             pairs = pairs.unionByName(self.led_pairs(rows, lists)).distinct()
-        comp = self.components(self.verify(pairs))
+        comp = self.components(self.verify_pairs(pairs))
         turn, left = 0, None
         while some:
             turn += 1
@@ -417,7 +432,7 @@ class _Join:
             if not open_:
                 break
             many = open_ > OPEN * size and (left is None or open_ < 0.7 * left)
-            links = self.verify(self.led_pairs(rows, lists) if many else self.open_pairs(rows, lists))
+            links = self.verify_pairs(self.led_pairs(rows, lists)) if many else self.verify_groups(rows, lists)
             comp = self.components(links, comp)
             left, some = open_, many
             self.scratch.drop(rows, lists, links)

@@ -361,7 +361,7 @@ def near_copies(r, vocab, groups, size, common):
 
 @pytest.mark.parametrize(("short", "open_"), [(16, 4), (2, 0), (2, 1000)])
 def test_jaccard_equals_brute_force(spark, monkeypatch, short, open_):
-    """short 2 sends nearly all lists through leaders; open_ decides whether leaders are tried again or all open pairs compared."""
+    """short 2 sends nearly all lists through leaders; open_ decides whether leaders are tried again or blocks compared."""
     monkeypatch.setattr(O6, "SHORT", short)
     monkeypatch.setattr(O6, "OPEN", open_)
     monkeypatch.setattr(O6, "FREQUENT", 4)
