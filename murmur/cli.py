@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 from importlib import import_module
 
+from pyspark.sql import DataFrame
+
 from murmur.functions.rules import PARAGRAPH_GAP_S, SENTENCE_SIMILARITY
 from murmur.session import build_session
 from murmur.sources.feed import read_feeds
@@ -16,15 +18,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--root", required=True, help="folder of the tables")
     p.add_argument("--show", default="show", help="slug of the show")
     p.add_argument("--feeds", action="append", required=True, help="a feed file; repeat for more, in order")
-    p.add_argument("--backend", "--transcriber", default="default", help="label of the speech recogniser")
+    p.add_argument("--backend", "--recogniser", default="default", help="label of the speech recogniser")
     p.add_argument("--tools", help="module:attribute of a Tools object")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("episodes", help="list episodes with their status")
-    for name in ("sync", "transcribe", "diarize"):
+    for name in ("sync", "recognise", "diarize"):
         c = sub.add_parser(name)
         if name != "sync":
             c.add_argument("number", type=int)
-        if name == "transcribe":
+        if name == "recognise":
             c.add_argument("--redo", action="store_true", help="forget cached results first")
         if name == "sync":
             c.add_argument("--dry-run", action="store_true")
@@ -47,6 +49,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _print(table: DataFrame) -> None:
+    """All rows, a partition at a time."""
+    print("\t".join(table.columns))
+    for r in table.toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in r))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = parser()
     a = p.parse_args(argv)
@@ -64,17 +73,17 @@ def main(argv: list[str] | None = None) -> None:
     w = Workspace(spark, a.root, Show(a.show, a.show), a.backend, tools)
     episodes = w.episodes(read_feeds(spark, a.feeds))
     if a.command == "episodes":
-        w.status(episodes).select("number", "status", "slug", "title").orderBy("number").show(10_000, truncate=False)
-    elif a.command in ("sync", "transcribe", "diarize"):
+        _print(w.status(episodes).select("number", "status", "slug", "title").orderBy("number"))
+    elif a.command in ("sync", "recognise", "diarize"):
         extra = {"redo": getattr(a, "redo", False), "dry_run": getattr(a, "dry_run", False), "download_only": getattr(a, "download_only", False)}
-        done = w.transcribe(episodes, getattr(a, "number", None), diarize=diarize, speakers=speakers, learn=a.learn, gap=a.gap, strip_fillers=a.strip_fillers, **extra)
+        done = w.produce(episodes, getattr(a, "number", None), diarize=diarize, speakers=speakers, learn=a.learn, gap=a.gap, strip_fillers=a.strip_fillers, **extra)
         print(", ".join(f"{k} {n}" for k, n in done.items()))
     elif a.command == "denoise":
         w.denoise(episodes, a.number)
-        w.savings("denoised").show(10_000, truncate=False)
+        _print(w.savings("denoised").orderBy("slug"))
     elif a.command == "denoise2":
         w.denoise2(episodes, a.number, a.similarity_threshold)
-        w.savings("denoised2").show(10_000, truncate=False)
+        _print(w.savings("denoised2").orderBy("slug"))
     elif a.command == "extract":
         w.extract(episodes, a.number, a.model)
     else:

@@ -45,30 +45,35 @@ def cardinal(words: list[str]) -> int:
     return total + part
 
 
+_ends = rf"[{re.escape(_TAIL)}]*"
+_any = "|".join(sorted(_WORDS, key=len, reverse=True))
+#: Number words with a space on both sides, each with the punctuation that follows it.
+_SPOKEN = re.compile(rf"(?<![^ ])(?:{_any}){_ends}(?: (?:{_any}){_ends})*(?![^ ])", re.IGNORECASE | re.ASCII)
+
+
+def _value(words: list[str]) -> int | None:
+    if len(words) == 1 and words[0] in R.MULTIPLIERS:
+        return None
+    try:
+        return cardinal(words)
+    except ValueError:
+        return None
+
+
+def _spoken(run: re.Match) -> str:
+    """The longest end of the run that is a number, as digits; what comes before it stays."""
+    said = run[0].split(" ")
+    bare = [w.lower().rstrip(_TAIL) for w in said]
+    tail = said[-1][len(bare[-1]) :]
+    for kept in range(len(said)):
+        if (n := _value(bare[kept:])) is not None:
+            return " ".join([*said[:kept], f"{n}{tail}"])
+    return run[0]
+
+
 def normalize_numbers(text: str) -> str:
     """Runs of number words become numbers; white space becomes single spaces."""
-    tokens = text.split()
-    bare = [t.lower().rstrip(_TAIL) for t in tokens]
-    out, at = [], 0
-    while at < len(tokens):
-        end = at
-        while end < len(tokens) and bare[end] in _WORDS:
-            end += 1
-        run = bare[at:end]
-        value = None
-        if run and not (len(run) == 1 and run[0] in R.MULTIPLIERS):
-            try:
-                value = cardinal(run)
-            except ValueError:
-                value = None
-        if value is None:
-            out.append(tokens[at])
-            at += 1
-        else:
-            last = tokens[end - 1]
-            out.append(str(value) + last[len(last.rstrip(_TAIL)) :])
-            at = end
-    return " ".join(out)
+    return _SPOKEN.sub(_spoken, " ".join(text.split()))
 
 
 def _batched(f):

@@ -21,7 +21,7 @@ class Names:
     network: str = "example radio"
     network_full: str = "Example Radio Network"
     host: str = "Jo Host"
-    preroll: tuple[str, ...] = ("cooking", "food", "example radio", "example institute")
+    preroll: tuple[str, ...] = ("example hour", "example radio", "example institute")
 
 
 # ------------------------------------------------------------------------------------------------

@@ -12,8 +12,11 @@ from murmur.functions import text as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "murmur-checkpoints")
+    """The folder that all executors share; one of our own only where none is set and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base or os.path.join(tempfile.gettempdir(), "murmur-checkpoints")
 
 
 def pending(inputs: DataFrame, outputs: DataFrame, on: str | list[str], redo: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,27 @@ def cluster_means(turns: DataFrame, keys: list[str], least_s: float | None = R.L
     return flat.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda x: x["_m"]).alias("embedding"))
 
 
+#: Known vectors in one array, and bytes of a store that is broadcast.
+STORE_ROWS, STORE_BYTES = 1000, 8 << 20
+
+
 def match_speakers(clusters: DataFrame, known: DataFrame, threshold: float = R.SPEAKER_SIMILARITY, cluster="cluster") -> DataFrame:
     """(cluster, similarity, name): the most similar known speaker, or the cluster's own label.
 
-    known: (name, known_idx, embedding), a store of named people.  All known vectors of a store travel as
-    one array to each cluster, so no pairs are exchanged; the store is bounded by what fits a row.
-    Not one to one; ties go to the first known; similarities that are not positive never match.
+    known: (name, known_idx, embedding), a store of named people.  The store is dealt into arrays of about STORE_ROWS vectors; a
+    cluster meets each array, the best of each comes back, and the best of these counts.  The arrays are broadcast only if their counted
+    size is small.  Not one to one; ties go to the first known; similarities that are not positive never match.
     """
-    store = known.agg(F.array_sort(F.collect_list(F.struct(F.col("known_idx"), F.col("name"), F.col("embedding").cast("array<double>").alias("v")))).alias("_store"))
-    rows = clusters.withColumn("_one", F.lit(1)).join(F.broadcast(store.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    n, size = known.agg(F.count("*"), F.sum(F.size("embedding"))).first()
+    blocks = max(1, -(-n // STORE_ROWS))
+    deal = F.pmod(F.xxhash64("name", "known_idx"), F.lit(blocks)).cast("int").alias("_block")
+    store = known.groupBy(deal).agg(F.collect_list(F.struct("known_idx", "name", F.col("embedding").cast("array<double>").alias("v"))).alias("_store"))
+    store = F.broadcast(store) if (size or 0) * 8 <= STORE_BYTES else store
+    rows = clusters.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(store, "_block", "left")
     scored = F.transform("_store", lambda k: F.struct(cosine(F.col("embedding").cast("array<double>"), k["v"]).alias("s"), (-k["known_idx"]).alias("i"), k["name"].alias("n")))
-    best = F.array_max(F.filter(scored, lambda x: x["s"] > 0))
-    rows = rows.withColumn("_best", best)
+    rows = rows.withColumn("_best", F.array_max(F.filter(scored, lambda x: x["s"] > 0)))
+    if blocks > 1:
+        rows = rows.groupBy(cluster, "embedding").agg(F.max("_best").alias("_best"))
     return rows.select(cluster, F.coalesce("_best.s", F.lit(0.0)).alias("similarity"), F.when(F.col("_best.s") >= threshold, F.col("_best.n")).otherwise(F.col(cluster).cast("string")).alias("name"))
 
 
@@ -41,12 +52,39 @@ def upsert_speakers(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "name", "full").select("name", F.coalesce("_new", "_old").alias("embedding"))
 
 
+#: Rows of a block: a task compares two blocks of a scope.
+BLOCK_ROWS = 1024
+
+
 def similarity_pairs(rows: DataFrame, scope: str, index: str, threshold: float = R.SENTENCE_SIMILARITY) -> DataFrame:
-    """(scope, i, j, similarity), i < j, within a scope such as a document."""
-    a = rows.select(F.col(scope), F.col(index).alias("i"), F.col("embedding").alias("_a"))
-    b = rows.select(F.col(scope).alias("_scope"), F.col(index).alias("j"), F.col("embedding").alias("_b"))
-    pairs = a.join(b, (F.col(scope) == F.col("_scope")) & (F.col("i") < F.col("j")))
-    return pairs.withColumn("similarity", cosine(F.col("_a").cast("array<double>"), F.col("_b").cast("array<double>"))).where(F.col("similarity") >= threshold).select(scope, "i", "j", "similarity")
+    """(scope, i, j, similarity), i < j, within a scope such as a document.
+
+    A scope is dealt into blocks by its counted rows, so a large one spreads over tasks; two blocks meet in one matrix product of unit
+    vectors.  Vectors without length are similar to nothing.
+    """
+    size = rows.groupBy(scope).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"))
+    r = rows.select(scope, F.col(index).alias("i"), F.col("embedding").cast("array<double>").alias("v")).join(size, scope)
+    r = r.withColumn("_own", F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    r = r.select(scope, F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), (F.col("_own") <= F.col("_other")).alias("_left"), "i", "v")
+    kinds = dict(r.dtypes)
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        left = b[b["_left"]]
+        right = b[~b["_left"]] if b["_x"].iloc[0] < b["_y"].iloc[0] else left
+        if not len(left) or not len(right):
+            return pd.DataFrame({scope: b[scope].iloc[:0], "i": b["i"].iloc[:0], "j": b["i"].iloc[:0], "similarity": np.zeros(0)})
+        near = _units(left["v"]) @ _units(right["v"]).T
+        at, to = np.nonzero(near >= threshold)
+        i, j = left["i"].to_numpy()[at], right["i"].to_numpy()[to]
+        out = pd.DataFrame({scope: b[scope].iloc[0], "i": np.minimum(i, j), "j": np.maximum(i, j), "similarity": near[at, to]})
+        return out[i < j] if right is left else out[i != j]
+
+    return r.groupBy(scope, "_x", "_y").applyInPandas(compare, f"{scope} {kinds[scope]}, i {kinds['i']}, j {kinds['i']}, similarity double")
+
+
+def _units(v: pd.Series) -> np.ndarray:
+    x = np.stack(v.to_list()).astype(np.float64)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
 def link_components(nodes: DataFrame, pairs: DataFrame, scope: str, index: str) -> DataFrame:

@@ -19,6 +19,11 @@ def _renumber(paras: DataFrame, key: str) -> DataFrame:
     return paras.withColumn("para_idx", F.row_number().over(Window.partitionBy(key).orderBy("para_idx")).cast("long") - 1)
 
 
+def _each(docs: DataFrame, key: str, cleaned: DataFrame) -> DataFrame:
+    """(key, text) for every document: empty where nothing of it is left."""
+    return docs.select(key).join(cleaned, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+
+
 def strip_fillers(texts: DataFrame, column: str = "text", names: Names = Names()) -> DataFrame:
     """The column cleaned sentence by sentence; native but for the number words, which are one Arrow UDF."""
     kept = texts.withColumn(column, T.strip_filler_sentences(F.col(column), names))
@@ -29,7 +34,7 @@ def strip_fillers_rendered(docs: DataFrame, key: str = "doc_id", names: Names =
     """(key, text): stamps go, each paragraph is cleaned, empty ones go."""
     p = paragraph_rows(docs, key, strip=False).withColumn("text", T.content(F.col("text")))
     p = strip_fillers(p, "text", names).where("text <> ''")
-    return p.groupBy(key).agg(ordered_join(F.col("text"), F.col("para_idx"), "\n\n").alias("text"))
+    return _each(docs, key, p.groupBy(key).agg(ordered_join(F.col("text"), F.col("para_idx"), "\n\n").alias("text")))
 
 
 def gate_paragraphs(paras: DataFrame, names: Names = Names()) -> DataFrame:
@@ -49,7 +54,7 @@ def denoise_paragraphs(docs: DataFrame, key: str = "doc_id", names: Names = Name
 def denoise(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> DataFrame:
     """(key, text)."""
     p = denoise_paragraphs(docs, key, names)
-    return p.groupBy(key).agg(ordered_join(F.col("text"), F.col("para_idx"), "\n\n").alias("text"))
+    return _each(docs, key, p.groupBy(key).agg(ordered_join(F.col("text"), F.col("para_idx"), "\n\n").alias("text")))
 
 
 def prepass(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> DataFrame:
@@ -89,7 +94,7 @@ def denoise2(
     s = M.map_model(s, "text", "embedding", embedder or M.hashed_embedder(), "array<double>")
     s = s.withColumn("words", T.word_count(F.col("text"))).checkpoint() if s.sparkSession.sparkContext.getCheckpointDir() else s.withColumn("words", T.word_count(F.col("text")))
     comps = vectors.link_components(s, vectors.similarity_pairs(s, key, "sent_idx", threshold), key, "sent_idx")
-    return regroup(vectors.keep_longest(s, comps, key, "sent_idx"), key)
+    return _each(docs, key, regroup(vectors.keep_longest(s, comps, key, "sent_idx"), key))
 
 
 def complete(docs: DataFrame, column: str, prompt: str, model: M.Factory, out: str = "notes") -> DataFrame:

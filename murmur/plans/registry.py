@@ -365,7 +365,7 @@ _GATED = f"""select p_partkey, t, regexp_replace(t, '^\\[\\d+:\\d\\d\\]\\s*', ''
 
 @query(f"""select p_partkey, regexp_full_match(c, '(?i){_ACK}') as ack, length(t) < 300 and (contains(t, 'Example Radio Network') or contains(t, 'Thank you for listening')) as boilerplate,
   regexp_matches(t, '(?i)(you are|you''?re) listening to.{{0,80}}(the example hour|example radio)') as bumper, regexp_matches(t, '(?i)\\b(brought to you by|sponsored by)\\b') as sponsor,
-  s < 30 and not (contains(lower(c), 'cooking') or contains(lower(c), 'food') or contains(lower(c), 'example radio') or contains(lower(c), 'example institute')) as preroll from ({_GATED})""")
+  s < 30 and not (contains(lower(c), 'example hour') or contains(lower(c), 'example radio') or contains(lower(c), 'example institute')) as preroll from ({_GATED})""")
 def paragraph_gates(spark, d):
     t, n = F.col("text"), R.Names()
     return B.from_parts(spark, d, B.PARAGRAPH).select(

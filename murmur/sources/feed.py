@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,6 @@ def parse_feeds(feeds: DataFrame) -> DataFrame:
 
 
 def read_feeds(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Feed files in their declared order, read as whole texts."""
-    order = spark.createDataFrame(list(enumerate(paths)), "feed_idx int, path string")
-    texts = spark.read.text(paths, wholetext=True).select(F.col("value").alias("xml"), F.input_file_name().alias("file"))
-    return parse_feeds(texts.join(order, F.col("file").endswith(F.col("path"))).select("feed_idx", "xml"))
+    """Feed files in their declared order, read as whole texts; each file is named by its place in the list."""
+    one = [spark.read.text(p, wholetext=True).select(F.lit(i).alias("feed_idx"), F.col("value").alias("xml")) for i, p in enumerate(paths)]
+    return parse_feeds(reduce(DataFrame.unionByName, one))

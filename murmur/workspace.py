@@ -203,23 +203,23 @@ class Workspace:
         stages.append(work(todo), self.path("texts"))
         return todo
 
-    def transcribe(
+    def produce(
         self, episodes: DataFrame, number: int | None = None, redo: bool = False, diarize: bool = False, speakers: list[str] | None = None,
         learn: bool = False, gap: float = R.PARAGRAPH_GAP_S, strip_fillers: bool = False, dry_run: bool = False, download_only: bool = False,
     ) -> dict[str, int]:
         """All stages from audio to text; how many episodes each stage took (or would take)."""
-        check_options("transcribe", learn, speakers, diarize)
+        check_options("recognise", learn, speakers, diarize)
         e = self._select(episodes, number)
         if redo:
             self.forget(e)
         if dry_run:
             audio, stored = self.audio(), self.read("transcripts", STORED)
-            return {"download": stages.pending(e, audio, "slug").count(), "transcribe": stages.pending(e, stored, "slug").count(), "render": stages.pending(e, self.texts(diarize), "slug").count()}
+            return {"download": stages.pending(e, audio, "slug").count(), "recognised": stages.pending(e, stored, "slug").count(), "render": stages.pending(e, self.texts(diarize), "slug").count()}
         out = {"download": stages.pending(e, self.audio(), "slug").count()}
         self.download(e)
         if download_only:
             return out
-        out["transcribe"] = stages.pending(e, self.read("transcripts", STORED), "slug").count()
+        out["recognised"] = stages.pending(e, self.read("transcripts", STORED), "slug").count()
         self.recognise(e)
         if diarize:
             self.find_turns(e)

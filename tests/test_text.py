@@ -137,3 +137,19 @@ def test_sentence_dedup_keeps_the_longest(spark):
     text = "[0:40] food tastes good with salt.\n\n[0:45] food tastes good with salt.\n\n[0:50] other words are here now."
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert D.denoise2(docs, threshold=0.999).first()["text"].count("\n\n") == 1
+
+
+def test_number_runs_keep_what_is_no_number():
+    from murmur.functions.numbers import normalize_numbers as n
+
+    assert n("one  hundred, thousand million two.") == "one hundred, thousand 1000002."
+    assert n("a hundred and Twenty three!") == "a hundred and 23!"
+    assert n("thousand") == "thousand" and n("") == "" and n("twenty-one two") == "twenty-one 2"
+
+
+def test_documents_of_which_nothing_is_left(spark):
+    from murmur.plans import documents as D
+
+    docs = spark.createDataFrame([(1, "[0:40] Yeah."), (2, "")], "doc_id long, text string")
+    for clean in (D.strip_fillers_rendered, D.denoise, D.denoise2):
+        assert sorted(tuple(r) for r in clean(docs).collect()) == [(1, ""), (2, "")]

@@ -8,7 +8,7 @@ from .conftest import rows
 
 
 def asr():
-    return lambda xs: [{"text": "all", "language": "en", "segments": [{"start": 0.0, "end": 2.0, "text": f"food is {bytes(x).decode()}"}, {"start": 2.1, "end": 4.0, "text": "and cooking is fine today."}, {"start": 9.0, "end": 9.5, "text": "bye for now"}]} for x in xs]
+    return lambda xs: [{"text": "all", "language": "en", "segments": [{"start": 0.0, "end": 2.0, "text": f"example institute is {bytes(x).decode()}"}, {"start": 2.1, "end": 4.0, "text": "and cooking is fine today."}, {"start": 9.0, "end": 9.5, "text": "bye for now"}]} for x in xs]
 
 
 def turns():
@@ -30,31 +30,31 @@ def made(spark, tmp_path):
 
 def test_stages_run_once(made):
     w, e = made
-    assert w.transcribe(e, dry_run=True) == {"download": 2, "transcribe": 2, "render": 2}
-    assert w.transcribe(e, 1) == {"download": 1, "transcribe": 1, "render": 1}
-    assert w.transcribe(e) == {"download": 1, "transcribe": 1, "render": 1}
-    assert w.transcribe(e) == {"download": 0, "transcribe": 0, "render": 0}
-    assert rows(w.texts().select("slug", "text")) == [(s, f"[0:00] food is {n} and cooking is fine today.\n\n[0:09] bye for now") for s, n in (("001-first-one", 1), ("002-second", 2))]
+    assert w.produce(e, dry_run=True) == {"download": 2, "recognised": 2, "render": 2}
+    assert w.produce(e, 1) == {"download": 1, "recognised": 1, "render": 1}
+    assert w.produce(e) == {"download": 1, "recognised": 1, "render": 1}
+    assert w.produce(e) == {"download": 0, "recognised": 0, "render": 0}
+    assert rows(w.texts().select("slug", "text")) == [(s, f"[0:00] example institute is {n} and cooking is fine today.\n\n[0:09] bye for now") for s, n in (("001-first-one", 1), ("002-second", 2))]
     assert [r["status"] for r in w.status(e).collect()] == ["t-", "t-"]
-    assert w.transcribe(e, 2, redo=True)["transcribe"] == 1
+    assert w.produce(e, 2, redo=True)["recognised"] == 1
     assert w.texts().count() == 2
     with pytest.raises(ValueError):
-        w.transcribe(e, 9)
+        w.produce(e, 9)
 
 
 def test_speakers_are_named_and_learnt(made):
     w, e = made
-    w.transcribe(e, 1, diarize=True, speakers=["Ana", "Bo"], learn=True)
+    w.produce(e, 1, diarize=True, speakers=["Ana", "Bo"], learn=True)
     assert rows(w.speakers()) == [("Ana", [1.0, 0.0]), ("Bo", [0.0, 1.0])]
-    assert w.texts(True).first()["text"].startswith("[0:00 | Ana] food")
-    w.transcribe(e, 2, diarize=True)
+    assert w.texts(True).first()["text"].startswith("[0:00 | Ana] example institute")
+    w.produce(e, 2, diarize=True)
     t = {r["slug"]: r["speaker_mapping"] for r in w.read("transcripts", "slug string, speaker_mapping map<string,string>").collect()}
     assert t == {"001-first-one": {"S1": "Ana", "S2": "Bo"}, "002-second": {"S1": "Ana", "S2": "Bo"}}
 
 
 def test_cleaning_and_notes(made):
     w, e = made
-    w.transcribe(e)
+    w.produce(e)
     w.denoise(e, 1)
     w.denoise(e)
     assert w.read("denoised", "slug string, text string").count() == 2 and w.savings("denoised").count() == 2
