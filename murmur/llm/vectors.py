@@ -31,7 +31,10 @@ def pack(rows: DataFrame, dim: int, kind: str = "<f4") -> DataFrame:
                     a[: len(v)] = v
                     if np.isfinite(a).all():
                         if kind == "int":
-                            x = np.floor(a.astype("<f8") * 64).astype("<i8").astype("<i4").tobytes()
+                            n = np.floor(a.astype("<f8") * 64)
+                            if np.abs(n).max() >= 2.0**63:
+                                raise OverflowError("a number of this vector does not fit 64 bits")
+                            x = n.astype("<i8").tobytes()
                         else:
                             x = (a + 0.0).tobytes()  # -0.0 becomes 0.0
                 out.append(x)

@@ -183,6 +183,34 @@ def test_topk_equals_brute_force(spark, monkeypatch, block, k):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("scale", [1, 12, 64, 5000, 10**8])
+def test_segments_and_their_search(scale):
+    """Segments hold every number once, in descending impact; what is found is exact, also where the search stops early."""
+    r = np.random.default_rng(scale)
+    x = np.floor(r.normal(size=(500, 9)) * scale).astype(np.int64)
+    x[::50] *= 3
+    step, heads, places = O9.segments(x)
+    assert (np.diff(heads[:, 0]) <= 0).all() and heads[:, 0].max() <= O9.STEPS
+    begin = 0
+    for impact, dim, sign, end in heads.tolist():
+        v = x[places[begin:end], dim]
+        assert (np.abs(v) // step == impact).all() and (np.sign(v) == sign).all()
+        begin = end
+    assert begin == (np.abs(x) >= step).sum()
+    ids, q = np.arange(500), x[::40]
+    for n, c, s in O9.search_block(x, ids, (step, heads, places), q, ids[::40], 7):
+        want = sorted((-int(x[n] @ x[j]), j) for j in range(500) if j != n)[:7]
+        assert [(-a, b) for a, b in zip(s.tolist(), c.tolist())] == want
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    big = spark.createDataFrame([(0, [3e9, 3e9]), (1, [3e9, 3e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        O9.search(big, big).collect()
+    fine = spark.createDataFrame([(0, [3e7]), (1, [2e7])], "vec_id long, embedding array<double>")
+    assert {r["score"] for r in O9.search(fine, fine).collect()} == {64 * 64 * 6 * 10**14}
+
+
 # ---------------------------------------------------------------- substrings
 
 
