@@ -17,7 +17,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="murmur", description=__doc__)
     p.add_argument("--root", required=True, help="folder of the tables")
     p.add_argument("--show", default="show", help="slug of the show")
-    p.add_argument("--feeds", action="append", required=True, help="a feed file; repeat for more, in order")
+    p.add_argument("--feeds", action="append", help="a feed file; repeat for more, in order")
+    p.add_argument("--feed-url", action="append", help="a feed to download when its copy is not fresh; repeat for more, in order")
     p.add_argument("--backend", "--recogniser", default="default", help="label of the speech recogniser")
     p.add_argument("--tools", help="module:attribute of a Tools object")
     sub = p.add_subparsers(dest="command", required=True)
@@ -59,6 +60,8 @@ def _print(table: DataFrame) -> None:
 def main(argv: list[str] | None = None) -> None:
     p = parser()
     a = p.parse_args(argv)
+    if not a.feeds and not a.feed_url:
+        p.error("name --feeds or --feed-url")
     speakers = [s.strip() for s in a.speakers.split(",")] if getattr(a, "speakers", None) else None
     diarize = a.command == "diarize" or getattr(a, "diarize", False)
     try:
@@ -70,8 +73,8 @@ def main(argv: list[str] | None = None) -> None:
         module, _, name = a.tools.partition(":")
         tools = getattr(import_module(module), name)
     spark = build_session()
-    w = Workspace(spark, a.root, Show(a.show, a.show), a.backend, tools)
-    episodes = w.episodes(read_feeds(spark, a.feeds))
+    w = Workspace(spark, a.root, Show(a.show, a.show, a.feed_url or []), a.backend, tools)
+    episodes = w.episodes(read_feeds(spark, a.feeds)) if a.feeds else w.load_episodes()
     if a.command == "episodes":
         _print(w.status(episodes).select("number", "status", "slug", "title").orderBy("number"))
     elif a.command in ("sync", "recognise", "diarize"):

@@ -108,6 +108,7 @@ PHRASE_STUTTER = (r"\b(\w+(?:\s+\w+){1,3})\s+\1\b", "$1")
 CONTRAST = ["but", "however", "although", "yet", "while", "whereas", "nevertheless", "though", "still"]
 CAUSAL = ["because", "since", "so", "therefore", "thus", "hence"]
 SEMANTIC_FOLLOWS = ["it", "it's", "this", "that", "him", "her", "them", "what", "why", "how"]
+THINK_FOLLOWS = ["about", "of", "so"]
 SEMANTIC_PRECEDES = ["do", "did", "does", "if", "whether"]
 LEXICAL_FILLERS = [
     "you know what i mean", "let me just tell you", "or something like that", "does that make sense", "by the way",
@@ -115,6 +116,8 @@ LEXICAL_FILLERS = [
 ]
 INTERJECTIONS = ["well", "okay", "ok", "alright", "anyway"]
 ADVERBS = ["basically", "essentially", "literally", "actually"]
+ADVERB_RELATIONS = ["advmod", "discourse"]
+CONTENT_POS = ["NOUN", "VERB", "PROPN"]
 LEAST_TURN_WORDS = 5
 LEAST_RATIO = 0.85
 

@@ -274,22 +274,60 @@ def no_content_dropped(original: Column, candidate: Column) -> Column:
     return F.forall(F.array_except(o, c), lambda w: F.exists(c, lambda x: F.startswith(x, F.substring(w, 1, 4))))
 
 
-def strip_lexical_fillers(text: Column) -> Column:
-    """Filler phrases as whole words, longest first, but for their semantic uses; then the stutters that this leaves."""
-    after = "|".join(w.replace("'", "'") for w in R.SEMANTIC_FOLLOWS)
-    before = "".join(rf"(?<!\b{w} )" for w in R.SEMANTIC_PRECEDES)
-    table = []
+#: Around a token that its part of speech makes a filler.
+_MARK, _END = "\ue000", "\ue001"
+
+
+def _filler_pattern() -> str:
+    """Filler phrases as whole words, longest first, and marked tokens, each with the white space after it.
+
+    One pattern, so that what stands before and after a phrase is judged on the sentence as it was said.
+    """
+    before = "".join(rf"(?<!\b{w}\s)" for w in R.SEMANTIC_PRECEDES)
+    follows = {"i mean": R.SEMANTIC_FOLLOWS, "i guess": R.SEMANTIC_FOLLOWS, "i think": [*R.SEMANTIC_FOLLOWS, *R.THINK_FOLLOWS]}
+    phrases = []
     for p in sorted(R.LEXICAL_FILLERS, key=lambda p: -len(p.split())):
-        body = p.replace(" ", r"\s+")
-        if p in ("you know", "you see"):
-            body = rf"{before}\b{body}\b"
-        elif p == "i think":
-            body = rf"\b{body}\b(?!\s+(?:{after}|about|of|so)\b)"
-        elif p in ("i mean", "i guess"):
-            body = rf"\b{body}\b(?!\s+(?:{after})\b)"
-        else:
-            body = rf"\b{body}\b"
-        table.append((body + r"\s*", ""))
-    c = trim(_subs(text, table))
+        words = r"\s+".join(f"{_MARK}?{w}{_END}?" for w in p.split())
+        after = rf"(?!\s+(?:{'|'.join(follows[p])})\b)" if p in follows else ""
+        phrases.append((before if p in ("you know", "you see") else "") + rf"(?<!\w){words}(?!\w){after}")
+    return rf"(?:{'|'.join(phrases)}|{_MARK}[^{_END}]*{_END})\s*"
+
+
+def _without_fillers(marked: Column, original: Column) -> Column:
+    """The phrases and marked tokens go; then the stutters that this leaves."""
+    c = trim(_sub(marked, _filler_pattern(), ""))
     c = _sub(_sub(_sub(c, r" {2,}", " "), r" ([.,!?;:])", "$1"), r"^[,;:\s]+", "")
-    return let(dedup_stutter(its_stutter(c)), lambda x: recapitalize(x, text))
+    return let(dedup_stutter(its_stutter(c)), lambda x: recapitalize(x, original))
+
+
+def strip_lexical_fillers(text: Column) -> Column:
+    """Filler phrases but for their semantic uses."""
+    return _without_fillers(text, text)
+
+
+def strip_parsed_fillers(text: Column, tokens: Column) -> Column:
+    """Filler phrases, and tokens that the parse shows to be fillers: "like" and openers as interjections, adverbs set apart.
+
+    tokens: array of (text, ws, pos, dep) in the sentence's order, which together are the text.
+    """
+
+    def marked(t: Column) -> Column:
+        low = F.lower(t["text"])
+        opener = low.isin("like", *R.INTERJECTIONS) & (t["pos"] == "INTJ")
+        adverb = low.isin(*R.ADVERBS) & t["dep"].isin(*R.ADVERB_RELATIONS)
+        word = F.when(opener | adverb, F.concat(F.lit(_MARK), t["text"], F.lit(_END))).otherwise(t["text"])
+        return F.concat(word, F.coalesce(t["ws"], F.lit("")))
+
+    return _without_fillers(F.array_join(F.transform(tokens, marked), ""), text)
+
+
+def has_discourse_marker(tokens: Column) -> Column:
+    """A negation, or a contrasting or causal word."""
+    return F.exists(tokens, lambda t: F.coalesce(t["dep"] == "neg", F.lit(False))) | has_marker_word(F.transform(tokens, lambda t: F.lower(t["text"])))
+
+
+def keep_turn(cleaned: Column, parse: Column) -> Column:
+    """Short sentences stay only with a content word and with an entity or a marker of discourse."""
+    content_word = F.exists(parse["tokens"], lambda t: F.coalesce(t["pos"].isin(*R.CONTENT_POS), F.lit(False)))
+    worth = content_word & (F.coalesce(parse["entity"], F.lit(False)) | has_discourse_marker(parse["tokens"]))
+    return (alnum_words(cleaned) >= R.LEAST_TURN_WORDS) | worth

@@ -38,6 +38,16 @@ def episode_numbering(feed: DataFrame, order: list[str], title="title") -> DataF
     return out.drop("_i", "_before", "_f").withColumn("slug", T.episode_slug(F.col("number"), F.col(title)))
 
 
+def select_episode(episodes: DataFrame, number: int | None) -> DataFrame:
+    """The episode of a number, or all of them without one; an unknown number raises."""
+    if number is None:
+        return episodes
+    one = episodes.where(F.col("number") == number)
+    if not one.limit(1).count():
+        raise ValueError(f"episode {number} not found")
+    return one
+
+
 def episode_status(episodes: DataFrame, texts: DataFrame, diarized: DataFrame, on: str) -> DataFrame:
     """Adds status: t and d where the text and the diarized text exist, - where not."""
     t = texts.select(on).distinct().withColumn("_t", F.lit("t"))

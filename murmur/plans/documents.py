@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmur import models as M
 from murmur.functions import numbers as N
 from murmur.functions import text as T
-from murmur.functions.rules import LEAST_TURN_WORDS, PHONE, SENTENCE_SIMILARITY, Names, java
+from murmur.functions.rules import PHONE, SENTENCE_SIMILARITY, Names, java
 from murmur.operators import runs, vectors
 from murmur.operators.segments import ordered_join
 from murmur.sources.transcripts import paragraph_rows
@@ -85,12 +85,10 @@ def denoise2(
     p = normalize_paragraphs(prepass(docs, key, names)).where("text <> ''")
     p = M.guarded_correction(p, "text", "fixed", corrector).select(key, "para_idx", F.col("fixed").alias("text"))
     s = p.select(key, "para_idx", F.posexplode(T.sentences_v2(F.col("text"))).alias("_s", "text")).withColumn("text", T.trim(F.col("text"))).where("text <> ''")
-    s = M.map_model(s, "text", "_parse", parser)
-    s = s.withColumn("_low", F.split(F.lower("text"), r"[^\p{L}']+")).withColumn("text", T.strip_lexical_fillers(F.col("text"))).where("text <> ''")
-    long_enough = T.alnum_words(F.col("text")) >= LEAST_TURN_WORDS
-    worth = F.col("_parse").startswith("1") & (F.col("_parse").endswith("1") | T.has_marker_word(F.col("_low")))
-    s = s.where(long_enough | worth)
-    s = s.withColumn("sent_idx", F.row_number().over(Window.partitionBy(key).orderBy("para_idx", "_s")).cast("long") - 1).drop("_s", "_parse", "_low")
+    s = M.map_model(s, "text", "_parse", parser, M.PARSE)
+    s = s.withColumn("text", T.strip_parsed_fillers(F.col("text"), F.col("_parse.tokens"))).where("text <> ''")
+    s = s.where(T.keep_turn(F.col("text"), F.col("_parse")))
+    s = s.withColumn("sent_idx", F.row_number().over(Window.partitionBy(key).orderBy("para_idx", "_s")).cast("long") - 1).drop("_s", "_parse")
     s = M.map_model(s, "text", "embedding", embedder or M.hashed_embedder(), "array<double>")
     s = s.withColumn("words", T.word_count(F.col("text"))).checkpoint() if s.sparkSession.sparkContext.getCheckpointDir() else s.withColumn("words", T.word_count(F.col("text")))
     comps = vectors.link_components(s, vectors.similarity_pairs(s, key, "sent_idx", threshold), key, "sent_idx")

@@ -399,6 +399,18 @@ def discourse_marker(spark, d):
     return t.select("p_partkey", T.has_marker_word(F.split(F.lower("text"), " ")).alias("marked"))
 
 
+_TURN = """case p_partkey % 5 when 0 then 'Well, ' || p_name || ' is, like, good today' when 1 then 'Not ' || p_name when 2 then 'Actually because ' || p_name || ' sort of works'
+  when 3 then 'You can''t' else 'By the way ' || p_name end"""
+
+
+@query("""select p_partkey, out from (select p_partkey, case p_partkey % 5 when 0 then upper(p_name[1]) || substr(p_name, 2) || ' is,, good today' when 1 then case when regexp_matches(p_name, '[a-z]{4}') then 'Not ' || p_name end
+  when 2 then 'Because ' || p_name || ' works' end as out from part) where out is not null""")
+def parsed_turns(spark, d):
+    t = M.map_model(B.from_parts(spark, d, _TURN.replace("can''t", "can\\'t")), "text", "p", M.keyword_parser, M.PARSE)
+    t = t.withColumn("out", T.strip_parsed_fillers(F.col("text"), F.col("p.tokens")))
+    return t.where(T.keep_turn(F.col("out"), F.col("p"))).select("p_partkey", "out")
+
+
 _CAND = "case p_partkey % 3 when 0 then p_name || ' again' when 1 then substr(p_name, 1, 6) else replace(p_name, 'e', 'e') || 'ness' end"
 _LONG = "list_filter(list_distinct(regexp_extract_all(lower({}), '\\w+')), lambda w: length(w) >= 5)"
 
@@ -419,7 +431,7 @@ def pending_work(spark, d):
 
 @query("select p_partkey, p_name from part where p_partkey = 7")
 def episode_by_number(spark, d):
-    return B.table(spark, d, "part").where("p_partkey = 7").select("p_partkey", "p_name")
+    return stages.select_episode(B.table(spark, d, "part").withColumnRenamed("p_partkey", "number"), 7).select(F.col("number").alias("p_partkey"), "p_name")
 
 
 # ---------------------------------------------------------------- text: replacements
@@ -457,13 +469,23 @@ _replaced("tag_questions", lambda c: T._subs(c, R.TAGS), _re(_re("t", R.TAGS[0][
 _replaced("stacked_openers", lambda c: T._sub(c, rf"^(?:,?\s*\b(?:{'|'.join(R.OPENERS)})\b,?\s*)+", ""), _re("t", rf"^(?:,?\s*\b(?:{'|'.join(R.OPENERS)})\b,?\s*)+", ""), "case p_partkey % 3 when 0 then 'So, like, basically ' when 1 then 'Well ' else 'Somehow ' end || p_name")
 _replaced("very_very", lambda c: T._sub(c, r"\bvery,?\s+very\b", "very"), _re("t", "\\bvery,?\\s+very\\b", "very"))
 _replaced("its_stutter", lambda c: T._sub(c, *R.ITS_STUTTER), _re("t", R.ITS_STUTTER[0].replace("'", "''"), "it''s"), "'it''s a it''s ' || p_name")
-_replaced("collapse_spoken_digits", lambda c: N.collapse_spoken_digits_udf()(c), "", "'call seven one eight ' || p_name || ' one'")
-_replaced("normalize_numbers", lambda c: N.normalize_numbers_udf()(c), "", "'take sixty three ' || p_name || ' and two hundred five, or a hundred'")
-_replaced("spoken_url", T.spoken_urls, "", "'visit w w w dot f n y c dot org for ' || p_name || ' and a b'")
-_replaced("letter_stutter", T.letter_stutter, "", "'f floral ' || p_name || ' s something a apple'")
-_replaced("phrase_stutter", T.phrase_stutter, "", "'before we before we ' || p_name || ' with a with a spoon'")
-_replaced("clean_sentence", T.clean_sentence, "")
-_replaced("strip_lexical_fillers", T.strip_lexical_fillers, "", "'I mean, ' || p_name || ' is kind of good, do you know, by the way.'")
+_letters = "t"
+for _c in "bcdfghjklmnpqrstvwxyz":
+    _letters = _re(_letters, f"\\b{_c}\\s+({_c}[a-z]+)\\b", "\\1")
+_cleaned = "t"
+for _p, _to in (("So the thing is", "Thing is"), (" or something like that!!", "!!"), (", uh, ", ", "), (", you know, very very", " very"), ("We we", "We")):
+    _cleaned = f"replace({_cleaned}, '{_p}', '{_to}')"
+_held = _re(_re("t", f"\\b({'|'.join(R.SEMANTIC_PRECEDES)}) you (know|see)\\b", "\\1 you_\\2"), "\\bi (mean|guess|think) (it|so)\\b", "I_\\1 \\2")
+_gone = _re(_held, "\\b(" + "|".join(sorted(R.LEXICAL_FILLERS, key=len, reverse=True)) + ")\\b\\s*", "")
+_lexical = _re(_re(_re(f"trim({_gone})", " {2,}", " ", "g"), " ([.,!?;:])", "\\1", "g"), "^[,;:\\s]+", "", "g")
+_lexical = f"(select replace(replace(upper(x[1]) || substr(x, 2), 'you_', 'you '), 'I_', 'I ') from (select {_lexical} as x))"
+_replaced("collapse_spoken_digits", lambda c: N.collapse_spoken_digits_udf()(c), "replace(t, 'seven one eight', '718')", "'call seven one eight ' || p_name || ' one'")
+_replaced("normalize_numbers", lambda c: N.normalize_numbers_udf()(c), "replace(replace(t, 'sixty three', '63'), 'two hundred five', '205')", "'take sixty three ' || p_name || ' and two hundred five, or a hundred'")
+_replaced("spoken_url", T.spoken_urls, "replace(t, 'w w w dot f n y c dot org', 'www.fnyc.org')", "'visit w w w dot f n y c dot org for ' || p_name || ' and a b'")
+_replaced("letter_stutter", T.letter_stutter, _letters, "'f floral ' || p_name || ' s something a apple'")
+_replaced("phrase_stutter", T.phrase_stutter, "replace(replace(t, 'before we before we', 'before we'), 'with a with a', 'with a')", "'before we before we ' || p_name || ' with a with a spoon'")
+_replaced("clean_sentence", T.clean_sentence, _cleaned)
+_replaced("strip_lexical_fillers", T.strip_lexical_fillers, _lexical, "'I mean, ' || p_name || ' is kind of good, do you know, by the way.'")
 _replaced("recapitalize", lambda c: T.recapitalize(F.substring(c, 4, 1000), c), "case when substr(t, 4, 1) between 'a' and 'z' and substr(t, 1, 1) between 'A' and 'Z' then upper(substr(t, 4, 1)) || substr(t, 5) else substr(t, 4, 1000) end", "case p_partkey % 2 when 0 then 'So ' else 'so ' end || p_name")
 _replaced("strip_phones", T.strip_phone_numbers,
   "trim(" + _re(_re(_re(_re(_re("t", "[.,]?\\s*[Tt]hat(''s| is)\\s+\\d{3}[.-]?\\d{3}[.-]?\\d{4}[,.]?", "", "g"), "\\b\\d{3}[.-]?\\d{3}[.-]?\\d{4}\\b", "", "g"), ",\\s*\\.", ".", "g"), " {2,}", " ", "g"), " ([.,])", "\\1", "g") + ")",
@@ -512,7 +534,8 @@ def stutter_dedup(spark, d):
 # ---------------------------------------------------------------- whole documents
 
 
-@query()
+@query("""select p_partkey, 'Thing is we cook ' || p_name || ' for ' || p_size || ' minutes at ' || p_size * 10 || '°C, with ' || p_size || '½ oz or ' || p_size || ' tbsp and ' || p_size
+  || '% salt! It is very good. We visit www.shop.com.' as out from part""")
 def strip_fillers(spark, d):
     return D.strip_fillers(B.from_parts(spark, d, B.SENTENCE)).withColumnRenamed("text", "out")
 
@@ -536,7 +559,8 @@ def denoise2_document(spark, d):
     return D.denoise2(_rendered(spark, d))
 
 
-@query()
+@query(f"""select p_partkey, t as text, case when length(t) % 2 = 1 then replace(t, 'tastes', 'taste') when length(t) <= 6 then substr(t, 1, 5) else t end as out
+from (select p_partkey, {B.UTTERANCE} as t from part)""")
 def guarded_correction(spark, d):
     t = B.from_parts(spark, d, B.UTTERANCE)
     return M.guarded_correction(t, "text", "out", lambda: lambda xs: [x.replace("tastes", "taste") if len(x) % 2 else x[:5] for x in xs])

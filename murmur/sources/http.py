@@ -4,32 +4,36 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 RETRYABLE = (500, 502, 503, 504)
 GOOD = (200, 206, 304)
+#: How completions are sampled.
+SAMPLING = {"temperature": 1.0, "top_p": 0.95, "top_k": 64, "thinking": False}
+#: (status, body) of a POST to a URL of a body with headers.
+Post = Callable[[str, bytes, dict[str, str]], tuple[int, bytes]]
 
 
 def with_retries(get: Callable[[], tuple[int, bytes, dict]], retries: int, sleep: Callable[[float], None] = time.sleep) -> tuple[int, bytes, dict]:
-    """Calls get until its status is good; server errors and connection errors wait 2**attempt seconds."""
-    for attempt in range(retries):
+    """Calls get until its status is good; server errors and connection errors are tried again ``retries`` times, after 2**attempt seconds."""
+    for attempt in range(retries + 1):
         try:
             status, body, headers = get()
             if status in GOOD:
                 return status, body, headers
-            if status not in RETRYABLE or attempt + 1 == retries:
+            if status not in RETRYABLE or attempt == retries:
                 raise RuntimeError(f"status {status}")
         except OSError:
-            if attempt + 1 == retries:
+            if attempt == retries:
                 raise
         sleep(2**attempt)
     raise RuntimeError("no attempt was made")
 
 
-def server_sent_text(lines: Iterator[str]) -> Iterator[str]:
+def server_sent_text(lines: Iterable[str]) -> Iterator[str]:
     """Text pieces of a stream of server-sent events, up to [DONE]."""
     for line in lines:
         line = line.strip()
@@ -43,6 +47,32 @@ def server_sent_text(lines: Iterator[str]) -> Iterator[str]:
             yield piece
 
 
+def post_json(post: Post, url: str, body: object) -> object:
+    """The parsed answer to a JSON body; any status but 200 raises."""
+    return json.loads(_answer(post, url, body))
+
+
+def _answer(post: Post, url: str, body: object) -> bytes:
+    status, data = post(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    if status != 200:
+        raise RuntimeError(f"status {status}: {data.decode(errors='replace')}")
+    return data
+
+
+def chat_completion(url: str, post: Post, prompt: str = "", sampling: dict | None = None) -> Callable[[], Callable[[list], list]]:
+    """A completion model (a factory as in ``murmur.models``) behind a chat server, for ``Tools.complete`` or ``map_model``.
+
+    The prompt is the system's message and each text the user's; the answer is the streamed pieces, joined.
+    """
+    system = [{"role": "system", "content": prompt}] if prompt else []
+
+    def one(text: str) -> str:
+        body = {"messages": [*system, {"role": "user", "content": text}], **(SAMPLING if sampling is None else sampling), "stream": True}
+        return "".join(server_sent_text(_answer(post, url, body).decode().splitlines()))
+
+    return lambda: lambda texts: [one(t) for t in texts]
+
+
 def fetch_all(urls: DataFrame, get: Callable[[str], tuple[int, bytes, dict]], retries: int = 5, parallel: int = 4) -> DataFrame:
     """(key, url, status, body) of urls (key, url), by at most ``parallel`` tasks."""
 

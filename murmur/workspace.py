@@ -20,7 +20,7 @@ from murmur.operators import segments as seg
 from murmur.operators import stages, vectors
 from murmur.operators.intervals import overlap_join
 from murmur.plans import documents as D
-from murmur.sources import http
+from murmur.sources import feed, http
 
 RAW = f"slug string, text string, language string, segments array<{S.RAW_SEGMENT}>"
 TURNS = f"slug string, turns array<{S.TURN}>"
@@ -47,6 +47,8 @@ class Tools:
     """Injected work. Factories are called once in a task and map lists to lists."""
 
     get: Callable[[str], tuple[int, bytes, dict]] | None = None
+    #: feeds, with headers
+    fetch: feed.Fetch | None = None
     transcode: Callable[[bytes], bytes] | None = None
     #: audio bytes to {text, language, segments}
     asr: M.Factory | None = None
@@ -89,20 +91,16 @@ class Workspace:
     def speakers(self) -> DataFrame:
         return self.read("speakers", S.SPEAKERS, shared=True)
 
-    def _select(self, episodes: DataFrame, number: int | None) -> DataFrame:
-        if number is None:
-            return episodes
-        one = episodes.where(F.col("number") == number)
-        if not one.limit(1).count():
-            raise ValueError(f"episode {number} not found")
-        return one
-
     # ------------------------------------------------------------ commands
 
     @staticmethod
-    def episodes(feed: DataFrame) -> DataFrame:
+    def episodes(rows: DataFrame) -> DataFrame:
         """Numbered episodes of feed rows (feed_idx, pos, title, audio_url)."""
-        return stages.episode_numbering(feed, ["feed_idx", "pos"])
+        return stages.episode_numbering(rows, ["feed_idx", "pos"])
+
+    def load_episodes(self, ttl: float = feed.FEED_TTL) -> DataFrame:
+        """Numbered episodes of the show's own feeds; copies that are not fresh are downloaded first."""
+        return self.episodes(feed.parse_feeds(feed.refresh(self.spark, self.show.feed_urls, self.path("feeds", True), self.tools.fetch, ttl)))
 
     def status(self, episodes: DataFrame) -> DataFrame:
         return stages.episode_status(episodes, self.texts(False), self.texts(True), "slug")
@@ -209,7 +207,7 @@ class Workspace:
     ) -> dict[str, int]:
         """All stages from audio to text; how many episodes each stage took (or would take)."""
         check_options("recognise", learn, speakers, diarize)
-        e = self._select(episodes, number)
+        e = stages.select_episode(episodes, number)
         if redo:
             self.forget(e)
         if dry_run:
@@ -244,7 +242,7 @@ class Workspace:
             t = self.texts().join(todo.select("slug"), "slug", "left_semi")
             return D.strip_fillers_rendered(D.denoise(t, "slug", self.show.names), "slug", self.show.names).select("slug", "text")
 
-        e = self._select(episodes, number).join(self.texts(), "slug", "left_semi")
+        e = stages.select_episode(episodes, number).join(self.texts(), "slug", "left_semi")
         return stages.run_stage(e, self.path("denoised"), CLEAN, "slug", work)
 
     def denoise2(self, episodes: DataFrame, number: int | None = None, threshold: float = R.SENTENCE_SIMILARITY) -> DataFrame:
@@ -252,7 +250,7 @@ class Workspace:
             t = self.texts().join(todo.select("slug"), "slug", "left_semi")
             return D.denoise2(t, "slug", self.show.names, self.tools.corrector, self.tools.embedder, self.tools.parser, threshold).select("slug", "text")
 
-        e = self._select(episodes, number).join(self.texts(), "slug", "left_semi")
+        e = stages.select_episode(episodes, number).join(self.texts(), "slug", "left_semi")
         return stages.run_stage(e, self.path("denoised2"), CLEAN, "slug", work)
 
     def _notes(self, table: str, source: DataFrame, column: str, prompt: str, model: str, episodes: DataFrame) -> DataFrame:
@@ -264,11 +262,11 @@ class Workspace:
         return stages.run_stage(e, self.path(f"{table}/{file_slug(model)}"), NOTES, "slug", work)
 
     def extract(self, episodes: DataFrame, number: int | None = None, model: str = "small") -> DataFrame:
-        return self._notes("extracted", self.read("denoised2", CLEAN), "text", self.show.extract_prompt, model, self._select(episodes, number))
+        return self._notes("extracted", self.read("denoised2", CLEAN), "text", self.show.extract_prompt, model, stages.select_episode(episodes, number))
 
     def distill(self, episodes: DataFrame, number: int | None = None, extractor: str = "small", model: str = "large") -> DataFrame:
         notes = self.read(f"extracted/{file_slug(extractor)}", NOTES)
-        return self._notes(f"distilled/{file_slug(extractor)}", notes, "notes", self.show.distill_prompt, model, self._select(episodes, number))
+        return self._notes(f"distilled/{file_slug(extractor)}", notes, "notes", self.show.distill_prompt, model, stages.select_episode(episodes, number))
 
 
 def file_slug(name: str) -> str:

@@ -20,21 +20,44 @@ def test_feeds_are_reversed_and_keep_order(spark, tmp_path):
     assert [r["title"] for r in df.orderBy("feed_idx", "pos").collect()] == ["two", "one", "three", "three"]
 
 
-def test_refresh(tmp_path):
-    calls, path = [], tmp_path / "f.xml"
-    replies = [(200, b"v1", {"ETag": "e1"}), (304, b"", {}), (200, b"v2", {})]
+def test_items_at_any_depth(spark):
+    deep = "<rss><channel><!-- " + ITEM.format("no", 0) + " --><group>" + ITEM.format("in", 1) + "</group></channel>" + ITEM.format("<![CDATA[a </item> b]]>", 2) + "<item>x</item></rss>"
+    untitled = '<item>\n<enclosure/><enclosure url="u3"/></item><item><enclosure url="u4"/></item>'
+    df = spark.createDataFrame([(0, deep), (1, untitled), (2, None), (3, "")], "feed_idx int, xml string")
+    got = [(r["feed_idx"], r["title"], r["audio_url"]) for r in feed.parse_feeds(df).orderBy("feed_idx", "pos").collect()]
+    assert got == [(0, "a </item> b", "http://x/2"), (0, "in", "http://x/1"), (1, "", "u4")]
 
-    def fetch(url, headers):
-        calls.append(headers)
-        return replies[len(calls) - 1]
 
-    feed.refresh("u", path, fetch)
-    feed.refresh("u", path, fetch)
-    assert len(calls) == 1 and path.read_bytes() == b"v1"
-    feed.refresh("u", path, fetch, ttl=-1)
-    assert calls[1] == {"If-None-Match": "e1"} and path.read_bytes() == b"v1"
-    feed.refresh("u", path, fetch, ttl=-1)
-    assert path.read_bytes() == b"v2"
+def test_refresh(spark, tmp_path):
+    log, path = tmp_path / "calls", str(tmp_path / "feeds")
+
+    def fetch(url, headers):
+        with log.open("a") as f:
+            f.write(f"{url} {headers.get('If-None-Match', '')}\n")
+        n = len(log.read_text().splitlines())
+        return [(200, b"v1", {"ETag": "e1"}), (304, b"", {}), (200, b"v2", {})][n - 1]
+
+    def ask(now):
+        return [tuple(r) for r in feed.refresh(spark, ["u"], path, fetch, now=now).collect()], log.read_text().split("\n")[:-1]
+
+    assert ask(0.0) == ([(0, "v1")], ["u "])
+    assert ask(10.0) == ([(0, "v1")], ["u "])
+    assert ask(3600.0) == ([(0, "v1")], ["u ", "u e1"])
+    assert ask(7199.0)[1] == ["u ", "u e1"]
+    assert ask(7200.0) == ([(0, "v2")], ["u ", "u e1", "u e1"])
+
+
+def test_completion(spark):
+    def post(url, body, headers):
+        asked = json.loads(body)
+        assert asked["stream"] and asked["top_k"] == 64 and headers["Content-Type"] == "application/json" and url == "u"
+        return 200, "\n".join("data: " + json.dumps({"choices": [{"delta": {"content": m["content"] + ";"}}]}) for m in asked["messages"]).encode() + b"\ndata: [DONE]\n"
+
+    df = spark.createDataFrame([(1, "text")], "i long, t string")
+    assert M.map_model(df, "t", "o", http.chat_completion("u", post, "prompt")).first()["o"] == "prompt;text;"
+    assert http.post_json(lambda *a: (200, b'{"a": 1}'), "u", {}) == {"a": 1}
+    with pytest.raises(RuntimeError):
+        http.post_json(lambda *a: (500, b"no"), "u", {})
 
 
 def test_retries():
@@ -49,6 +72,10 @@ def test_retries():
     assert http.with_retries(get, 5, waits.append)[1] == b"ok" and waits == [1, 2]
     with pytest.raises(RuntimeError):
         http.with_retries(lambda: (404, b"", {}), 5, waits.append)
+    waits.clear()
+    with pytest.raises(RuntimeError):
+        http.with_retries(lambda: (503, b"", {}), 2, waits.append)
+    assert waits == [1, 2]
     lines = ["", "data: " + json.dumps({"choices": [{"delta": {"content": "a"}}]}), 'data: {"choices": [{"delta": {}}]}', "data: [DONE]", "data: x"]
     assert [*http.server_sent_text(iter(lines))] == ["a"]
 

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from murmur import models as M
 from murmur.functions import numbers as N
 from murmur.functions import text as T
 from murmur.functions.rules import Names
@@ -78,6 +79,30 @@ def test_denoise2_collapses_long_runs(spark):
     assert D.denoise2(docs).first()["text"].lower().count("thank you") == 1
 
 
+@pytest.mark.parametrize(
+    "text, out, kept",
+    [
+        ("Well, it works", "It works", False),
+        ("It is, like, salt", "It is,, salt", False),
+        ("We like salt", "We like salt", False),
+        ("We like salt but", "We like salt but", True),
+        ("It actually works", "It works", False),
+        ("Don't bake", "Don't bake", True),
+        ("Ask Ana Baker", "Ask Ana Baker", True),
+        ("It is not", "It is not", False),
+        ("Let me just tell you know what", "Know what", False),
+        ("Do by the way you know it", "Do it", False),
+        ("or something like, that", "like, that", False),
+        ("bread or something like that", "bread", False),
+        ("", "", False),
+    ],
+)
+def test_parsed_sentences(spark, text, out, kept):
+    df = M.map_model(spark.createDataFrame([(text,)], "t string"), "t", "p", M.keyword_parser, M.PARSE)
+    df = df.withColumn("o", T.strip_parsed_fillers(F.col("t"), F.col("p.tokens")))
+    assert tuple(df.select("o", T.keep_turn(F.col("o"), F.col("p"))).first()) == (out, kept)
+
+
 def test_nulls_stay_null(spark):
     for f in (T.slugify, T.content, T.normalize_units, T.strip_disfluencies, T.sentences):
         assert spark.createDataFrame([(None,)], "t string").select(f(F.col("t")).alias("o")).first()["o"] is None
