@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import rules as R
@@ -45,33 +45,47 @@ def silence_midpoints(frames: DataFrame, factor: float = R.SPLIT_FACTOR, least:
     return runs.select(key, F.floor((F.col("first") + F.col("stop")) / 2).cast("long").alias("mid"))
 
 
-def music_runs(paras: DataFrame, key="doc_id", order="para_idx", gap_s: float | None = R.MUSIC_GAP_S) -> DataFrame:
-    """(key, lo, hi, len, shorts): runs of short paragraphs with dense stamps.
+def _chains(paras: DataFrame, key: str, order: str) -> DataFrame:
+    """paras with the chain that each paragraph belongs to: (_i, _short, _inner, _run, _inside), by windows over a document.
 
-    A run is a maximal chain of short paragraphs at most two places apart: one longer paragraph between
-    short ones is tolerated.  ``order`` must count the paragraphs of a document without holes.  Needs
-    columns text (with stamp).  gap_s None skips the test of stamps.
+    A chain is a maximal run of short paragraphs at most two places apart: one longer paragraph between short ones is tolerated.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    p = paras.select(key, F.col(order).alias("_i"), T.stamp_seconds(F.col("text")).alias("_t"), (F.length(T.content(F.col("text"))) <= R.MUSIC_CHARS).alias("_short"))
     w = Window.partitionBy(key).orderBy("_i")
-    p = p.withColumn("_gap", F.when((F.col("_t") >= 0) & (F.lead("_t").over(w) >= 0), F.lead("_t").over(w) - F.col("_t")))
-    # The place of the last short paragraph before decides whether a new run begins; longer ones ride along.
+    t, following = F.col("_t"), F.lead("_t").over(w)
+    p = paras.withColumn("_i", F.col(order)).withColumn("_t", T.stamp_seconds(F.col("text"))).withColumn("_short", F.length(T.content(F.col("text"))) <= R.MUSIC_CHARS)
+    p = p.withColumn("_gap", F.when((t >= 0) & (following >= 0), following - t))
+    # The place of the last short paragraph before decides whether a new chain begins; longer ones ride along.
     before = F.last(F.when(F.col("_short"), F.col("_i")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     p = p.withColumn("_new", F.when(F.col("_short") & F.coalesce(F.col("_i") - before > 2, F.lit(True)), 1).otherwise(0))
     p = p.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.withColumn("_hi", F.max(F.when(F.col("_short"), F.col("_i"))).over(Window.partitionBy(key, "_run"))).where("_run > 0 and _i <= _hi")
+    p = p.withColumn("_hi", F.max(F.when(F.col("_short"), F.col("_i"))).over(Window.partitionBy(key, "_run")))
+    inside = F.coalesce((F.col("_run") > 0) & (F.col("_i") <= F.col("_hi")), F.lit(False))
     inner = F.when((F.col("_i") < F.col("_hi")) & (F.col("_gap") > 0), F.col("_gap"))
-    runs = p.groupBy(key, "_run").agg(
-        F.min("_i").alias("lo"), F.max("_i").alias("hi"), F.count("*").alias("len"), F.sum(F.col("_short").cast("long")).alias("shorts"), F.avg(inner).alias("_mean")
-    )
+    return p.withColumn("_inside", inside).withColumn("_inner", inner).drop("_t", "_gap", "_new", "_hi")
+
+
+def _figures() -> dict[str, Column]:
+    """Of a chain: paragraphs, short ones, mean of the positive gaps between stamps."""
+    return {"len": F.count("*"), "shorts": F.sum(F.col("_short").cast("long")), "_mean": F.avg("_inner")}
+
+
+def _is_music(gap_s: float | None) -> Column:
     ok = (F.col("len") >= R.MUSIC_RUN) & (F.col("shorts") / F.col("len") >= R.MUSIC_SHORT_RATIO)
-    if gap_s is not None:
-        ok = ok & (F.col("_mean") < gap_s)
-    return runs.where(ok).select(key, "lo", "hi", "len", "shorts")
+    return ok if gap_s is None else ok & (F.col("_mean") < gap_s)
+
+
+def music_runs(paras: DataFrame, key="doc_id", order="para_idx", gap_s: float | None = R.MUSIC_GAP_S) -> DataFrame:
+    """(key, lo, hi, len, shorts): chains of short paragraphs with dense stamps.
+
+    ``order`` must count the paragraphs of a document without holes.  Needs columns text (with stamp).  gap_s None skips the test of stamps.
+    """
+    p = _chains(paras.select(key, order, "text"), key, order).where("_inside")
+    runs = p.groupBy(key, "_run").agg(F.min("_i").alias("lo"), F.max("_i").alias("hi"), *[f.alias(n) for n, f in _figures().items()])
+    return runs.where(_is_music(gap_s)).select(key, "lo", "hi", "len", "shorts")
 
 
-def drop_music(paras: DataFrame, key="doc_id", order="para_idx") -> DataFrame:
-    """Paragraphs outside music runs."""
-    runs = music_runs(paras, key, order).select(F.col(key).alias("_k"), F.explode(F.sequence("lo", "hi")).alias("_i"))
-    return paras.join(runs, (F.col(key) == F.col("_k")) & (F.col(order) == F.col("_i")), "left_anti")
+def drop_music(paras: DataFrame, key="doc_id", order="para_idx", gap_s: float | None = R.MUSIC_GAP_S) -> DataFrame:
+    """Paragraphs outside music runs; paras are read once, and one exchange by document serves all windows."""
+    w = Window.partitionBy(key, "_run", "_inside")
+    p = _chains(paras, key, order).select("*", *[f.over(w).alias(n) for n, f in _figures().items()])
+    return p.where(~F.col("_inside") | ~F.coalesce(_is_music(gap_s), F.lit(False))).select(*paras.columns)

@@ -67,14 +67,33 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def _files(spark: SparkSession, *paths: str):
+    """The file system of the first path, and the paths on it."""
+    ps = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return ps[0].getFileSystem(spark._jsc.hadoopConfiguration()), *ps
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stage's table, empty before its first run; the path may be on any file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    fs, p, old = _files(spark, path, path + ".old")
+    if not fs.exists(p) and fs.exists(old):
+        fs.rename(old, p)  # a driver was lost while it replaced the table
+    if not fs.exists(p):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Puts df in the place of a table, which df may read; a driver lost on the way leaves a whole copy."""
+    df.write.mode("overwrite").parquet(path + ".next")
+    fs, p, new, old = _files(df.sparkSession, path, path + ".next", path + ".old")
+    if fs.exists(p):
+        fs.delete(old, True)
+        fs.rename(p, old)
+    fs.rename(new, p)
+    fs.delete(old, True)
+
+
 def run_stage(inputs: DataFrame, path: str, schema: str, on: str | list[str], work, redo: bool = False, dry_run: bool = False) -> DataFrame:
     """Runs ``work`` on the pending inputs and appends; dry_run only returns what would run."""
     spark = inputs.sparkSession

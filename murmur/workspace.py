@@ -7,6 +7,7 @@ are injected (``Tools``).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -28,6 +29,9 @@ STORED = f"slug string, {S.STORED_TRANSCRIPT}"
 TEXT = "slug string, diarized boolean, text string"
 CLEAN = "slug string, text string"
 NOTES = "slug string, model string, notes string"
+LEARNT = f"{S.SPEAKERS}, learnt_at double"
+#: Seconds of a time bucket, in which segments meet turns.
+BUCKET_S = 60.0
 
 
 @dataclass
@@ -89,7 +93,9 @@ class Workspace:
         return self.read("texts", TEXT).where(F.col("diarized") == diarized)
 
     def speakers(self) -> DataFrame:
-        return self.read("speakers", S.SPEAKERS, shared=True)
+        """(name, embedding): the voice learnt last for each name."""
+        learnt = self.read("speakers", LEARNT, shared=True)
+        return learnt.groupBy("name").agg(F.max_by("embedding", F.coalesce("learnt_at", F.lit(0.0))).alias("embedding"))
 
     # ------------------------------------------------------------ commands
 
@@ -149,7 +155,7 @@ class Workspace:
                 s, mapping = s.withColumn("speaker", F.lit(S.UNKNOWN_SPEAKER)), None
             else:
                 t = self.read("turns", TURNS).select("slug", F.posexplode("turns").alias("turn_idx", "t")).select("slug", "turn_idx", "t.*")
-                s = overlap_join(s, t, key="slug")
+                s = overlap_join(s, t, key="slug", width=BUCKET_S)
                 mapping = self._names(s, todo, speakers)
             one = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.struct("start", "end", "text", "speaker").alias("s")))), lambda x: x["s"])
             full = raw.drop("segments").join(s.groupBy("slug").agg(one.alias("segments")), "slug", "left")
@@ -181,8 +187,7 @@ class Workspace:
         done = self.read("transcripts", STORED).select("slug", F.posexplode("segments").alias("seg_idx", "s")).select("slug", "seg_idx", "s.*")
         names = seg.first_appearance_map(done, speakers, "slug").where("name is not null")
         new = self._voices(done.select("slug").distinct()).join(names, ["slug", "speaker"]).groupBy("name").agg(F.max_by("embedding", "slug").alias("embedding"))
-        merged = vectors.upsert_speakers(self.speakers(), new).checkpoint()  # read before it is written over
-        merged.write.mode("overwrite").parquet(self.path("speakers", True))
+        stages.append(new.withColumn("learnt_at", F.lit(time.time())), self.path("speakers", True))
 
     def render(self, episodes: DataFrame, gap: float = R.PARAGRAPH_GAP_S, diarize: bool = False, speakers: list[str] | None = None, strip_fillers: bool = False) -> DataFrame:
         def work(todo: DataFrame) -> DataFrame:
@@ -229,8 +234,7 @@ class Workspace:
     def forget(self, episodes: DataFrame) -> None:
         """Drops cached results of episodes; audio stays."""
         for table, schema in (("raw", RAW), ("turns", TURNS), ("transcripts", STORED), ("texts", TEXT)):
-            rest = self.read(table, schema).join(episodes.select("slug"), "slug", "left_anti").checkpoint()
-            rest.write.mode("overwrite").parquet(self.path(table))
+            stages.replace(self.read(table, schema).join(episodes.select("slug"), "slug", "left_anti"), self.path(table))
 
     def savings(self, table: str) -> DataFrame:
         """(slug, chars_before, chars_after, pct_removed) of a cleaner's table."""

@@ -1,6 +1,7 @@
 import pytest
 
 from murmur import cli
+from murmur.operators import stages
 from murmur.operators.chunks import resume_chunks
 from murmur.workspace import Show, Tools, Workspace, check_options
 
@@ -52,6 +53,29 @@ def test_speakers_are_named_and_learnt(made):
     assert t == {"001-first-one": {"S1": "Ana", "S2": "Bo"}, "002-second": {"S1": "Ana", "S2": "Bo"}}
 
 
+def test_voices_are_replaced_by_name(made):
+    w, e = made
+    w.produce(e, 1, diarize=True, speakers=["Ana", "Bo"], learn=True)
+    w._learn(["Bo", "Cy"])
+    assert rows(w.speakers()) == [("Ana", [1.0, 0.0]), ("Bo", [1.0, 0.0]), ("Cy", [0.0, 1.0])]
+
+
+def test_tables_are_replaced_as_a_whole(spark, tmp_path):
+    path, one = str(tmp_path / "t"), "x long"
+    stages.replace(spark.createDataFrame([(1,), (2,)], one), path)
+    stages.replace(stages.read_or_empty(spark, path, one).where("x > 1"), path)
+    assert rows(stages.read_or_empty(spark, path, one)) == [(2,)] and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert rows(stages.read_or_empty(spark, path, one)) == [(2,)]
+
+
+def test_own_feeds(made, tmp_path):
+    w, _ = made
+    xml = '<rss><channel><item><title>B</title><enclosure url="b"/></item><item><title>A</title><enclosure url="a"/></item></channel></rss>'
+    w.show, w.tools.fetch = Show("s", "S", ["u"]), lambda url, headers: (200, xml.encode(), {})
+    assert rows(w.load_episodes().select("number", "slug", "audio_url")) == [(1, "001-a", "a"), (2, "002-b", "b")]
+
+
 def test_cleaning_and_notes(made):
     w, e = made
     w.produce(e)
