@@ -138,7 +138,7 @@ def test_digits(text, want):
 
 
 def test_gates(spark):
-    n = Names()
+    n = Names(preroll=("food",))
     paras = ["[0:40] Yeah.", "[1:00] Thank you for listening", "[1:00] You're listening to it on example radio", "[1:00] sponsored by x", "[0:10] hello", "[0:10] food", "no stamp", "[0:40] Yeah, well"]
     df = spark.createDataFrame([(p,) for p in paras], "t string")
     assert [r["t"] for r in df.where(T.passes_gates(F.col("t"), n)).collect()] == ["[0:10] food", "no stamp", "[0:40] Yeah, well"]
