@@ -147,10 +147,10 @@ def good(v):
     return v is not None and all(y is not None and math.isfinite(y) for y in v)
 
 
-@pytest.mark.parametrize("cell", [8192, 16])
-def test_near_vectors_equal_brute_force(spark, monkeypatch, cell):
-    monkeypatch.setattr(O3, "CELL", cell)
-    monkeypatch.setattr(O3, "BLOCK", cell)
+@pytest.mark.parametrize("block, few", [(8192, 8), (16, 8), (16, 64)])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, block, few):
+    monkeypatch.setattr(O3, "FEW", few)
+    monkeypatch.setattr(O3, "BLOCK", block)
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, size string")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in O3.near_duplicates(df).collect()}
@@ -161,6 +161,28 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, cell):
     assert got == {i: (n[i], c[i], c[i] == i) for i, *_ in rows}
 
 
+def test_cells_of_clustered_vectors_prune():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 48))
+    x = O3._unit((centres[:, None] + 0.05 * rng.normal(size=(200, 20, 48))).reshape(-1, 48))
+    pivots = O3.choose_pivots(x[rng.permutation(len(x))[:1000]], 1_000_000, 0.95)
+    cells = O3.Cells(pivots, 0.95)
+    near, home, _ = cells.of(x)
+    least = np.ones(len(pivots))
+    np.minimum.at(least, home, near[np.arange(len(x)), home])
+    held = O3.Cells(pivots, 0.95, least).of(x)[2]
+    assert len(pivots) >= 64 and held.sum(1).mean() < 0.2 * len(pivots)
+    for lo in range(0, len(x), 500):  # the home cell of either end holds the other end of every link
+        a, b = np.nonzero(x[lo : lo + 500] @ x.T >= 0.95)
+        assert held[b, home[lo + a]].all()
+
+
+def test_vectors_of_one_id_link(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.01]), (7, [0.0, 1.0]), (None, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in O3.near_duplicates(df).collect())
+    assert got == [(0, 0, 0), (5, 1, 5), (5, 1, 5), (7, 0, 7)]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert O3.near_duplicates(df).count() == 0 and O9.search(df, df).count() == 0
