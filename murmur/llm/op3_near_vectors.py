@@ -140,28 +140,25 @@ def _links(kind: str, threshold: float):
     def run(b: pd.DataFrame) -> pd.DataFrame:
         left, right = b[b["role"] == 0], b[b["role"] == 1]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "Int64", "n": "int64"})
+            return pd.DataFrame({"a": [], "h": [], "b": [], "n": []}).astype({"a": "int64", "h": "int64", "b": "Int64", "n": "int64"})
         x, y = _unit(unpack(left["vec"], kind)), _unit(unpack(right["vec"], kind))
         xid, yid, size = left["id"].to_numpy(), right["id"].to_numpy(), right["size"].to_numpy()
-        xvec, yvec = left["vec"].to_numpy(dtype=object), right["vec"].to_numpy(dtype=object)
+        xh, yh = left["h"].to_numpy(), right["h"].to_numpy()  # different vectors of one vec_id may link
         nodes, at = np.unique(np.concatenate([xid, yid]), return_inverse=True)
         xat, yat = at[: len(xid)], at[len(xid) :]
         parent = np.arange(len(nodes))
         total = np.zeros(len(xid), dtype=np.int64)
         for lo in range(0, len(x), 512):
             near = x[lo : lo + 512] @ y.T >= threshold
-            own = xid[lo : lo + 512, None] == yid[None, :]
-            r, c = np.nonzero(own)
-            own[r, c] = xvec[lo + r] == yvec[c]  # different vectors of one vec_id may link
-            near &= ~own
+            near &= (xid[lo : lo + 512, None] != yid[None, :]) | (xh[lo : lo + 512, None] != yh[None, :])
             total[lo : lo + 512] = near @ size
             for i in np.flatnonzero(near.any(1)):
                 groups = np.unique(np.append(parent[yat[near[i]]], parent[xat[lo + i]]))
                 if len(groups) > 1:
                     parent[np.isin(parent, groups)] = groups[0]
         linked = np.flatnonzero(parent != np.arange(len(nodes)))
-        counts = pd.DataFrame({"a": xid, "b": pd.array([None] * len(xid), dtype="Int64"), "n": total})
-        edges = pd.DataFrame({"a": nodes[linked], "b": pd.array(nodes[parent[linked]], dtype="Int64"), "n": 0})
+        counts = pd.DataFrame({"a": xid, "h": xh, "b": pd.array([None] * len(xid), dtype="Int64"), "n": total})
+        edges = pd.DataFrame({"a": nodes[linked], "h": 0, "b": pd.array(nodes[parent[linked]], dtype="Int64"), "n": 0})
         return pd.concat([counts[counts["n"] > 0], edges])
 
     return run
@@ -189,12 +186,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     last = lambda n: F.col(n) - 1
     left = c.where("own").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), last("cols")))).withColumn("role", F.lit(0))
     right = c.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), last("rows")))).withColumn("role", F.lit(1))
-    cols = ["cell", "i", "j", "role", "id", "size", "vec"]
-    found = left.select(cols).unionByName(right.select(cols)).groupBy("cell", "i", "j").applyInPandas(_links(kind, threshold), "a long, b long, n long")
+    cols = ["cell", "i", "j", "role", "id", "size", "vec", F.xxhash64("vec").alias("h")]
+    found = left.select(cols).unionByName(right.select(cols)).groupBy("cell", "i", "j").applyInPandas(_links(kind, threshold), "a long, h long, b long, n long")
     found = scratch.write(found, "found")
-    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    links = found.where("b is null").groupBy(F.col("a").alias("id"), "h").agg(F.sum("n").alias("n"))
     comp = components(found.where("b is not null").select("a", "b"), scratch)
-    per = classes.join(links, "id", "left").join(comp, F.col("id") == F.col("node"), "left").select(
+    per = classes.withColumn("h", F.xxhash64("vec")).join(links, ["id", "h"], "left").join(comp, F.col("id") == F.col("node"), "left").select(
         "vec", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
     per = scratch.write(per, "per-class")
