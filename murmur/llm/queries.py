@@ -15,6 +15,7 @@ _MODULES = {
     "op8_mixing": "op8_mixing",
     "op9_topk": "op9_topk",
     "op10_licenses": "op10_licenses",
+    "op11_divergence": "op11_divergence",
     "op12_conversations": "op12_conversations",
     "op13_warc": "op13_warc",
 }

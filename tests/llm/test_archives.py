@@ -4,10 +4,13 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 from itertools import product
 
+import numpy as np
 import pytest
 
+from murmur.llm import op11_divergence as O11
 from murmur.llm import op12_conversations as O12
 from murmur.llm import op13_warc as O13
 from murmur.llm.common import Scratch
@@ -201,3 +204,68 @@ def test_archive_of_an_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     O13.write(O13.page_records(df, Scratch(spark, "t")), f"{tmp_path}/e")
     assert O13.read(spark, f"{tmp_path}/e").count() == 0
+
+
+# ---------------------------------------------------------------- divergence
+
+
+def plain_audit(docs):
+    counts, df, langs = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in docs:
+        lang, source = lang or "", source or ""
+        ws = re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        counts[lang, source].update(ws)
+        df[lang].update(set(ws))
+        langs[lang].add(source)
+    out = []
+    for lang, sources in langs.items():
+        kept = [t for t, n in df[lang].items() if n >= 3]
+        total = {t: sum(counts[lang, s][t] for s in sources) for t in kept}
+
+        def share(c):
+            n = sum(c[t] for t in kept)
+            return {t: 1 + 10**9 * (c[t] + 1) // (n + len(kept)) for t in kept}
+
+        p, q = {s: share(counts[lang, s]) for s in sources}, share(total)
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in sources:
+            pairs = [(o, sum(f(p[s][t], p[o][t]) for t in kept)) for o in sources if o != s]
+            best = [(t, f(p[s][t], q[t])) for t in kept if counts[lang, s][t] and p[s][t] > q[t]]
+            for part, rows, top in (("pair", pairs, None), ("term", best, 200)):
+                rows = sorted(rows, key=lambda x: (-x[1], x[0].encode()))[:top]
+                out += [(lang, s, part, item, v, i + 1) for i, (item, v) in enumerate(rows)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("chunk, rounds, held", [(7, 2, 10), (1 << 15, 8, 1 << 18)])
+def test_divergence_equals_brute_force(spark, monkeypatch, chunk, rounds, held):
+    monkeypatch.setattr(O11, "CHUNK", chunk)
+    monkeypatch.setattr(O11, "ROUNDS", rounds)
+    monkeypatch.setattr(O11, "HELD", held)
+    r = random.Random(5)
+    words = ["the", "The", "\u00e9t\u00e9", "\u00c9t\u00e9", "a1b", "x_y", "\u4e2d\u6587", "caf\u00e9\u00a0noir"] + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    docs = [(" ".join(r.choices(words, k=r.randint(0, 40))), lang, f"s{r.randint(0, n)}") for lang, n in (("en", 6), ("fr", 2), ("de", 0)) for _ in range(80)]
+    docs += [(None, "en", "s0"), ("", "en", "only empty"), ("the the", None, None), ("the", "", ""), ("the", None, ""), ("the", "", "z"), ("one", "few", "a"), ("two", "few", "b"), ("w " * 50000, "fr", "s1")]
+    docs += [docs[0]] * 3
+    df = spark.createDataFrame([(*d, 1, "x") for d in docs], "text string, lang string, source string, chunk int, term string")
+    assert sorted((tuple(x) for x in O11.audit(df).collect()), key=repr) == plain_audit(docs)
+
+
+def test_every_two_slots_meet_once(spark):
+    from pyspark.sql import functions as F
+
+    for slots in range(1, 9):
+        even = slots + slots % 2
+        t = spark.range(slots).crossJoin(spark.range(even - 1).toDF("turn"))
+        met = t.select("id", O11.partner(F.col("id"), F.col("turn"), F.lit(even)).alias("peer"), "turn").where(f"peer < {slots}").collect()
+        assert sorted((x["id"], x["peer"]) for x in met) == [(a, b) for a in range(slots) for b in range(slots) if a != b]
+
+
+def test_large_counts_stay_exact():
+    c = np.asarray([0, 5, 1 << 40, (1 << 62) // 7], dtype="<i8")
+    total = sum(c.tolist())
+    assert O11.shares(zlib.compress(c.tobytes()), total, 4).tolist() == [1 + 10**9 * (x + 1) // (total + 4) for x in c.tolist()]
+
+
+def test_divergence_of_an_empty_table(spark):
+    assert O11.audit(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
