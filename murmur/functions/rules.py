@@ -56,9 +56,9 @@ PHRASES = [
     (r"\bsome of (?:them|those|these|it)\b", "some"),
 ]
 PHONE = r"\b\d{3}[.-]?\d{3}[.-]?\d{4}\b"
-PHONE_REPEAT = r"[.,]?\s*[Tt]hat(?:'s| is)\s+\d{3}[.-]?\d{3}[.-]?\d{4}[,.]?"
+PHONE_REPEAT = r"(?:[.,]\s*+|(?<!\s)\s++)?[Tt]hat(?:'s| is)\s+\d{3}[.-]?\d{3}[.-]?\d{4}[,.]?"
 
-DISFLUENCY = r"\s*(?<![a-zA-Z-])(?:uh+|um+|ah+|mm+|hmm+|eh|er)(?![a-zA-Z-])\s*,?"
+DISFLUENCY = r"(?:(?<!\s)\s++)?(?<![a-zA-Z-])(?:uh+|um+|ah+|mm+|hmm+|eh|er)(?![a-zA-Z-])\s*,?"
 ITS_STUTTER = (r"\bit's\s+\w+\s+it's\b", "it's")
 ITS_IT = (r"\bit's\s+it\b(?=\s*[.,!?]|\s*$)", "it's")
 OPENERS = ["basically", "essentially", "like", "so", "yeah", "anyway", "well", "now", "listen", "look"]
@@ -68,7 +68,7 @@ TAGS = [
     (r",\s*(?:you\s+know\s+)?what\s+I\s+mean\?\s*", "."),
 ]
 PARENTHETICALS = [
-    (r",?\s*(?<!\bdo )(?<!\bif )\byou know\b\s*,?", " "),
+    (r"(?:,\s*+|(?<!\s)\s++)?(?<!\bdo )(?<!\bif )\byou know\b\s*,?", " "),
     (r",\s*you see\b,?\s*|\byou see\s*,\s*", " "),
     (r"^,?\s*I mean\b(?:,\s*|\s+(?!it\b))|,\s*I mean\b,\s*", " "),
     (r"^by the way\b,?\s*|,\s*by the way\s*,\s*", " "),
@@ -103,6 +103,7 @@ THANKS_LISTENING = "Thank you for listening"
 SHORT_PARAGRAPH, PREROLL_SECONDS = 300, 30
 MUSIC_CHARS, MUSIC_RUN, MUSIC_GAP_S, MUSIC_SHORT_RATIO = 80, 5, 15, 0.75
 
+WORD_STUTTER = r"\b([\w']++)\s++\1\b"
 LETTER_STUTTER = (r"\b([b-df-hj-np-tv-z])\s+(\1[a-z]+)\b", "$2")
 PHRASE_STUTTER = (r"\b(\w+(?:\s+\w+){1,3})\s+\1\b", "$1")
 CONTRAST = ["but", "however", "although", "yet", "while", "whereas", "nevertheless", "though", "still"]
@@ -135,6 +136,10 @@ def stock_sentence(names: Names) -> str:
     return "^(?:" + "|".join([*STOCK_SENTENCES, r"\s+".join(names.show.split())]) + ")[.!?]?$"
 
 
+def opening() -> str:
+    return rf"^(?:,?\s*\b(?:{'|'.join(OPENERS)})\b,?\s*)++"
+
+
 def intro(names: Names) -> str:
     return "|".join([*INTRO, rf"\b{r'\s+'.join(names.network.split())}\b"])
 

@@ -1,7 +1,10 @@
 """Text functions, Column to Column, inside whole-stage code generation.
 
-Loops to a fixed point become one pattern with a repeated group where that is equivalent; callbacks
-become one replacement for each alternative.
+Callbacks become one replacement for each alternative, loops to a fixed point a fold that ends its work when nothing changes.
+
+Texts may be of any form: a word or a run of a million characters must neither recurse nor take quadratic time.  So a group is repeated only
+possessively (Java's engine then loops, where it recurses for every other repeated group), a run of one class is taken possessively where what
+follows is outside the class, and a pattern that begins with white space begins only where a run of it does.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ def let(value: Column, body) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return _sub(c, r"^\s+|\s+$", "")
+    return _sub(c, r"^\s++|(?<!\s)\s++$", "")
 
 
 def word_count(c: Column) -> Column:
@@ -99,7 +102,7 @@ def normalize_units(c: Column) -> Column:
 
 def join_letters(c: Column) -> Column:
     """Three or more single letters in a row lose the spaces between them."""
-    marked = _sub(c, r"(\b[a-zA-Z](?:\s+[a-zA-Z]){2,}\b)", "\ue000$1\ue000")
+    marked = _sub(c, r"(\b[a-zA-Z](?:\s++[a-zA-Z]\b){2,}+)", "\ue000$1\ue000")
     parts = F.split(marked, "\ue000", -1)
     return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(" "), F.lit(""))).otherwise(x)), "")
 
@@ -127,20 +130,27 @@ def strip_disfluencies(c: Column) -> Column:
 def _until_stable(c: Column, pattern: str, to: str) -> Column:
     """The replacement repeated until nothing changes.
 
-    Each round that changes something takes a word away, so the words bound the rounds; those after the last change only pass the text on.
+    Each round that changes something takes a word away, so the words bound the rounds.  Those after the last change only pass the text on; they
+    are taken in stretches, so that their number goes as the root of the words.
     """
 
     def rounds(x: Column) -> Column:
+        stretch = F.sequence(F.lit(0), F.ceil(F.sqrt(word_count(x))).cast("int"))
         start = F.struct(x.alias("t"), F.lit(True).alias("more"))
         again = lambda s: let(_sub(s["t"], pattern, to), lambda y: F.struct(y.alias("t"), (y != s["t"]).alias("more")))
-        return F.aggregate(F.sequence(F.lit(0), word_count(x)), start, lambda s, _: F.when(s["more"], again(s)).otherwise(s), lambda s: s["t"])
+        while_more = lambda inner: lambda s, _: F.when(s["more"], inner(s)).otherwise(s)
+        several = lambda s: F.aggregate(stretch, s, while_more(again))
+        return F.aggregate(stretch, start, while_more(several), lambda s: s["t"])
 
-    return let(c, rounds)
+    return let(c, lambda x: F.when(x.rlike(java(pattern)), rounds(x)).otherwise(x))
 
 
 def dedup_stutter(c: Column) -> Column:
-    """Runs of equal words, in either case, keep the first; to the fixpoint, as one collapse can make another."""
-    return _until_stable(c, r"\b((?:\w|')+)(?:\s+\1\b)+", "$1")
+    """Runs of equal words, in either case, keep the first; to the fixpoint, as one collapse can make another.
+
+    A round takes every second word of a run away, so a run needs as many rounds as its length has binary digits.
+    """
+    return _until_stable(c, R.WORD_STUTTER, "$1")
 
 
 def letter_stutter(c: Column) -> Column:
@@ -190,7 +200,7 @@ def recapitalize(cleaned: Column, original: Column) -> Column:
 def clean_sentence(text: Column) -> Column:
     c = its_stutter(_subs(text, R.TAGS))
     c = _subs(c, R.PARENTHETICALS)
-    c = _sub(c, rf"^(?:,?\s*\b(?:{'|'.join(R.OPENERS)})\b,?\s*)+", "")
+    c = _sub(c, R.opening(), "")
     c = _sub(c, *R.NICE_OPENER)
     c = _subs(c, [(rf"^the\s+{n}\s+is\b,?\s*", f"{n.capitalize()} is ") for n in R.OPENING_NOUNS])
     c = _sub(_sub(c, *R.BASICALLY_MID), *R.OR_SOMETHING)

@@ -466,7 +466,7 @@ _replaced("normalize_units", T.normalize_units, _units)
 _replaced("shorten_phrases", T.normalize_phrases, _re(_re("t", R.PHRASES[0][0], "pain"), R.PHRASES[1][0], "some"), "case p_partkey % 2 when 0 then 'a pain in the butt, ' else 'some of those ' end || p_name")
 _replaced("spoken_dot", T.spoken_dots, _re(_re("t", "(\\w)\\s+dot\\s+(\\w)", "\\1.\\2"), "(\\w)\\s+dot\\s+(\\w)", "\\1.\\2"))
 _replaced("tag_questions", lambda c: T._subs(c, R.TAGS), _re(_re("t", R.TAGS[0][0], "."), R.TAGS[1][0], "."), "p_name || case p_partkey % 3 when 0 then ', right? ' when 1 then ', you know what I mean?' else ' is that right?' end")
-_replaced("stacked_openers", lambda c: T._sub(c, rf"^(?:,?\s*\b(?:{'|'.join(R.OPENERS)})\b,?\s*)+", ""), _re("t", rf"^(?:,?\s*\b(?:{'|'.join(R.OPENERS)})\b,?\s*)+", ""), "case p_partkey % 3 when 0 then 'So, like, basically ' when 1 then 'Well ' else 'Somehow ' end || p_name")
+_replaced("stacked_openers", lambda c: T._sub(c, R.opening(), ""), _re("t", rf"^(?:,?\s*\b(?:{'|'.join(R.OPENERS)})\b,?\s*)+", ""), "case p_partkey % 3 when 0 then 'So, like, basically ' when 1 then 'Well ' else 'Somehow ' end || p_name")
 _replaced("very_very", lambda c: T._sub(c, r"\bvery,?\s+very\b", "very"), _re("t", "\\bvery,?\\s+very\\b", "very"))
 _replaced("its_stutter", lambda c: T._sub(c, *R.ITS_STUTTER), _re("t", R.ITS_STUTTER[0].replace("'", "''"), "it''s"), "'it''s a it''s ' || p_name")
 _letters = "t"
