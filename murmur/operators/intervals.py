@@ -7,9 +7,10 @@ side is listed under the buckets it touches, so a document with very many turns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.operators.scan import Last, Next, Ranges
 from murmur.schemas import UNKNOWN_SPEAKER
 
 
@@ -43,8 +44,8 @@ def overlap_join(segments: DataFrame, turns: DataFrame, key="doc_id", seg="seg_i
 def nearest_join(points: DataFrame, marks: DataFrame, key: str, point: str, mark: str, order: str) -> DataFrame:
     """points with the nearest mark of the same key (``_mark``, ``_order``), the first in order among equals.
 
-    The last mark at or before and the first after each point come from two window passes over the
-    union, so the cost is a sort and not a product.
+    The last mark at or before and the first after each point come from a scan in two levels over the
+    union, so the cost is a sort and not a product, and one key may hold most of all rows.
     """
     low = F.lit(None).cast("long")
     u = points.withColumn("_kind", F.lit(1)).withColumn("_at", F.col(point)).withColumn("_m", F.lit(None).cast("double")).withColumn("_o", low)
@@ -53,12 +54,9 @@ def nearest_join(points: DataFrame, marks: DataFrame, key: str, point: str, mark
         key, *[F.lit(None).cast(dict(points.dtypes)[c]).alias(c) for c in points.columns if c != key],
         F.lit(0).alias("_kind"), F.col(mark).alias("_at"), F.col(mark).cast("double").alias("_m"), F.col("_o").cast("long"),
     )
-    w = Window.partitionBy(key).orderBy("_at", "_kind")
-    mk = F.when(F.col("_kind") == 0, F.struct("_m", "_o"))
-    u = u.unionByName(m).withColumn("_mk", mk)
-    u = u.withColumn("_prev", F.last("_mk", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("_next", F.first("_mk", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    u = u.where("_kind = 1")
+    u = u.unionByName(m).withColumn("_mk", F.when(F.col("_kind") == 0, F.struct("_m", "_o")))
+    both = points.select(key, F.col(point).alias("_at")).union(marks.select(key, F.col(mark).alias("_at")))
+    u = Ranges(both, key, "_at").scan(u, ["_at", "_kind"], _prev=Last(F.col("_mk"), True), _next=Next(F.col("_mk"), True)).where("_kind = 1")
     options = F.filter(F.array("_prev", "_next"), lambda x: x.isNotNull())
     best = F.array_min(F.transform(options, lambda x: F.struct(F.abs(x["_m"] - F.col(point)).alias("d"), x["_o"].alias("o"), x["_m"].alias("m"))))
     return u.select(*points.columns, best["m"].alias("_mark"), best["o"].alias("_order"))

@@ -1,7 +1,8 @@
 """Operators on time-stamped segments: paragraphs, speakers, rendering.
 
 Tables have one row for each segment with its document and position; every operator keys its exchange by
-document, and order comes from the position column, never from row order.
+document, and order comes from the position column, never from row order.  What depends on the rows before is a scan in two levels
+(``operators.scan``), so a document may hold most of all rows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import rules as R
 from murmur.functions import text as T
+from murmur.operators.scan import Last, Ranges, Sum
 from murmur.schemas import UNKNOWN_SPEAKER
 
 
@@ -19,13 +21,12 @@ def ordered_join(value: Column, order: Column, sep: str = " ") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"]), sep)
 
 
-def gap_segments(segments: DataFrame, gap=R.PARAGRAPH_GAP_S, key="doc_id", order="seg_idx") -> DataFrame:
+def gap_segments(segments: DataFrame, gap=R.PARAGRAPH_GAP_S, key="doc_id", order="seg_idx", ranges: Ranges | None = None) -> DataFrame:
     """Adds para_idx: a new paragraph where the pause after the previous segment reaches the gap."""
-    w = Window.partitionBy(key).orderBy(order)
-    pause = F.col("start") - F.lag("end").over(w)
-    return segments.withColumn("_new", F.coalesce((pause >= gap).cast("int"), F.lit(0))).withColumn(
-        "para_idx", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    ).drop("_new")
+    r = ranges or Ranges(segments, key, order)
+    x = r.scan(r.attach(segments), [order], _before=Last(F.struct("end")))
+    x = x.withColumn("_new", F.coalesce((F.col("start") - F.col("_before.end") >= gap).cast("int"), F.lit(0)))
+    return r.scan(x, [order], para_idx=Sum(F.col("_new"))).drop("_new", "_before", "_range")
 
 
 def first_appearance_map(segments: DataFrame, names: list[str] | None = None, key="doc_id", order="seg_idx") -> DataFrame:

@@ -10,13 +10,19 @@ from murmur.functions import numbers as N
 from murmur.functions import text as T
 from murmur.functions.rules import PHONE, SENTENCE_SIMILARITY, Names, java
 from murmur.operators import runs, vectors
+from murmur.operators.scan import Ranges, row_numbers
 from murmur.operators.segments import ordered_join
 from murmur.sources.transcripts import paragraph_rows
 
 
-def _renumber(paras: DataFrame, key: str) -> DataFrame:
+def _ranges(docs: DataFrame, key: str) -> Ranges:
+    """How the paragraphs of documents are dealt, counted on the texts as they came."""
+    return Ranges(paragraph_rows(docs, key).select(key, "para_idx"), key, "para_idx")
+
+
+def _renumber(paras: DataFrame, key: str, ranges: Ranges) -> DataFrame:
     """para_idx without holes, within each document."""
-    return paras.withColumn("para_idx", F.row_number().over(Window.partitionBy(key).orderBy("para_idx")).cast("long") - 1)
+    return row_numbers(paras, key, ["para_idx"], "_n", ranges).withColumn("para_idx", F.col("_n").cast("long") - 1).drop("_n")
 
 
 def _each(docs: DataFrame, key: str, cleaned: DataFrame) -> DataFrame:
@@ -48,7 +54,8 @@ def denoise_paragraphs(docs: DataFrame, key: str = "doc_id", names: Names = Name
     phone = F.col("text").rlike(java(PHONE, ignore_case=False))
     p = p.withColumn("_phone", phone).withColumn("text", F.when(F.col("_phone"), T.strip_phone_numbers(F.col("text"))).otherwise(F.col("text")))
     p = p.where(~F.col("_phone") | (T.trim(T.content(F.col("text"))) != "")).drop("_phone")
-    return runs.drop_music(_renumber(p, key), key)
+    r = _ranges(docs, key)
+    return runs.drop_music(_renumber(p, key, r), key, ranges=r)
 
 
 def denoise(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> DataFrame:
@@ -59,7 +66,8 @@ def denoise(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> Dat
 
 def prepass(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> DataFrame:
     """Gates and music runs only; stamps go."""
-    p = runs.drop_music(_renumber(gate_paragraphs(paragraph_rows(docs, key), names), key), key)
+    r = _ranges(docs, key)
+    p = runs.drop_music(_renumber(gate_paragraphs(paragraph_rows(docs, key), names), key, r), key, ranges=r)
     return p.withColumn("text", T.content(F.col("text")))
 
 
