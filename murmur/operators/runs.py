@@ -74,7 +74,7 @@ def music_runs(paras: DataFrame, key="doc_id", order="para_idx", gap_s: float |
     ``order`` must count the paragraphs of a document without holes.  Needs columns text (with stamp).  gap_s None skips the test of stamps.
     A chain's figures are sums over its paragraphs.
     """
-    return _music(_chains(paras.select(key, order, "text"), key, order, ranges), key, gap_s)
+    return _music(_chains(paras.select(key, order, "text"), key, order, ranges), key, gap_s).drop("_run")
 
 
 def _music(chains: DataFrame, key: str, gap_s: float | None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,30 +12,98 @@ from pyspark.sql import functions as F
 from murmur.functions import rules as R
 
 
-def greedy_split_points(lengths: DataFrame, mids: DataFrame, target: int, search: int = R.SEARCH_S * 1000 // R.FRAME_MS, key="doc_id") -> DataFrame:
+#: Frames of a span, in which split points are found by one task.
+SPAN = 1 << 22
+
+
+def _follow(pos: np.ndarray, mids: np.ndarray, stop: int, end: int, target: int, search: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Steps of many walkers at once, as (which went on, where they are now), until all are at ``stop`` or cannot go on before ``end``."""
+    live = np.flatnonzero(pos < stop)
+    pos = pos.copy()
+    far = np.iinfo(np.int64).max // 2
+    padded = np.concatenate([[-far], mids, [far]])
+    while len(live):
+        at = pos[live]
+        want = at + target
+        live, at, want = live[want < end], at[want < end], want[want < end]
+        i = np.searchsorted(padded, want)
+        left, right = padded[i - 1], padded[i]
+        dl, dr = np.where(left > at, want - left, far), np.where(right > at, right - want, far)
+        near = np.where(dl <= dr, left, right)
+        pos[live] = np.where(np.minimum(dl, dr) <= search, near, want)
+        yield live, pos[live]
+        live = live[pos[live] < stop]
+
+
+def _span_map(mids: np.ndarray, first: int, span: int, end: int, target: int, search: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in which a walker may enter a span: where it leaves it (-1: it ended), and its steps."""
+    pos = first + np.arange(target + search, dtype=np.int64)
+    steps, left = np.zeros(len(pos), dtype=np.int64), pos.copy()
+    for live, now in _follow(pos, mids, first + span, end, target, search):
+        steps[live] += 1
+        left[live] = now
+    return np.where(left >= first + span, left - first - span, -1), steps
+
+
+def greedy_split_points(lengths: DataFrame, mids: DataFrame, target: int, search: int = R.SEARCH_S * 1000 // R.FRAME_MS, key="doc_id", span: int | None = None) -> DataFrame:
     """(key, k, at): split points, each near the last one plus target.
 
     The next point is the silence nearest to last + target within the search radius and after the last
     point (the first among equals), else that place itself; it stops at the end.
-    lengths: (key, n_frames); mids: (key, mid).  The step from one point to the next is sequential,
-    so each document is one fold over its sorted middles.
+    lengths: (key, n_frames); mids: (key, mid).
+
+    A document is cut into spans.  What the points of a span are depends only on the place at which they enter it, one of target + search
+    places, so each span is a map from places of entry to places of leaving and numbers of steps; all spans are mapped side by side (the walkers of a span
+    soon run together), the maps are followed in order, and each span gives its points from where they enter.  A task holds the middles of one span.
     """
-    m = mids.groupBy(key).agg(F.sort_array(F.collect_list("mid")).alias("mids"))
-    rows = lengths.join(m, key, "left").withColumn("mids", F.coalesce("mids", F.array().cast("array<long>")))
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("n_frames") / F.greatest(F.lit(1), F.lit(target - search))).cast("int") + 1))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(False).alias("over"), F.array().cast("array<long>").alias("out"))
-
-    def fold(s, _):
-        nxt = s["pos"] + target
-        near = F.filter("mids", lambda x: (x > s["pos"]) & (F.abs(x - nxt) <= search))
-        best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x - nxt).alias("d"), x.alias("m"))))
-        at = F.coalesce(best["m"], nxt)
-        over = s["over"] | (nxt >= F.col("n_frames"))
-        return F.when(over, F.struct(s["pos"].alias("pos"), F.lit(True).alias("over"), s["out"].alias("out"))).otherwise(
-            F.struct(at.alias("pos"), F.lit(False).alias("over"), F.array_append(s["out"], at).alias("out"))
-        )
-
-    return rows.withColumn("_p", F.aggregate(steps, start, fold, lambda s: s["out"])).select(key, F.posexplode("_p").alias("k", "at"))
+    reach = target + search
+    span = max(span or SPAN, reach)
+    spans = lengths.select(key, F.col("n_frames").cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("n_frames") - 1) / span)))).alias("b"))
+    own = F.floor(F.col("mid") / span)
+    # Points of a span may look beyond its end.
+    near = F.when((own > 0) & (F.col("mid") - own * span < reach), F.array(own, own - 1)).otherwise(F.array(own))
+    m = mids.where("mid >= 0").select(F.col(key).alias("_key"), F.explode(near).alias("_b"), "mid").groupBy("_key", "_b").agg(F.sort_array(F.collect_set(F.col("mid").cast("long"))).alias("mids"))
+    held = spans.join(m, F.col(key).eqNullSafe(F.col("_key")) & (F.col("b") == F.col("_b")), "left").drop("_key", "_b")
+    kind = dict(held.dtypes)[key]
+    array = lambda x: np.asarray(x if x is not None else [], dtype=np.int64)
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = [_span_map(array(v), b * span, span, n, target, search) for v, b, n in zip(x["mids"], x["b"], x["n"])]
+            yield pd.DataFrame({key: x[key], "b": x["b"], "to": [a.tolist() for a, _ in out], "steps": [c.tolist() for _, c in out]})
+
+    def enters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = []
+            for k, parts in zip(x[key], x["parts"]):
+                at, done = 0, 0
+                for p in parts:
+                    rows.append((k, p["b"], at, done))
+                    done += p["steps"][at]
+                    at = p["to"][at]
+                    if at < 0:
+                        break
+            yield pd.DataFrame(rows, columns=[key, "b", "at", "done"])
+
+    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            ks, no, at = [], [], []
+            for k, b, n, v, e, done in zip(x[key], x["b"], x["n"], x["mids"], x["at"], x["done"]):
+                got = [int(now[0]) for _, now in _follow(np.asarray([b * span + e], dtype=np.int64), array(v), (b + 1) * span, n, target, search) if len(now)]
+                ks += [k] * len(got)
+                no += range(done, done + len(got))
+                at += got
+            yield pd.DataFrame({key: pd.Series(ks, dtype=x[key].dtype), "k": no, "at": at})
+
+    if lengths.where(F.col("n_frames") > span).limit(1).count():
+        long = held.where(F.col("n") > span).mapInPandas(maps, f"{key} {kind}, b long, to array<long>, steps array<long>")
+        first = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", "to", "steps"))).alias("parts")).mapInPandas(enters, f"{key} {kind}, b long, at long, done long")
+        e = first.select(F.col(key).alias("_key"), F.col("b").alias("_b"), "at", "done")
+        met = held.where(F.col("n") > span).join(e, F.col(key).eqNullSafe(F.col("_key")) & (F.col("b") == F.col("_b"))).drop("_key", "_b")
+        held = met.unionByName(held.where(F.col("n") <= span).withColumn("at", F.lit(0).cast("long")).withColumn("done", F.lit(0).cast("long")))
+    else:
+        held = held.withColumn("at", F.lit(0).cast("long")).withColumn("done", F.lit(0).cast("long"))
+    return held.mapInPandas(points, f"{key} {kind}, k int, at long")
 
 
 def chunk_bounds(points: DataFrame, lengths: DataFrame, key="doc_id", point="at", length="n_samples") -> DataFrame:

@@ -81,10 +81,10 @@ def from_parts(spark: SparkSession, d: str, expr: str, name: str = "text") -> Da
     return table(spark, d, "part").select("p_partkey", F.expr(expr).alias(name))
 
 
-def lines(spark: SparkSession, d: str, step: int = 7) -> DataFrame:
-    """Lines of documents as stamped paragraphs: doc_id, para_idx, text."""
+def lines(spark: SparkSession, d: str, step: str = "7") -> DataFrame:
+    """Lines of documents as stamped paragraphs: doc_id, para_idx, text; step: seconds between two, as SQL."""
     t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
-    sec = F.col("p") * step
+    sec = F.col("p") * F.expr(step)
     stamp = F.format_string("[%d:%02d] ", F.floor(sec / 60).cast("long"), (sec % 60).cast("long"))
     return t.select("doc_id", F.col("p").cast("long").alias("para_idx"), F.concat(stamp, F.col("line")).alias("text"))
 
@@ -95,12 +95,18 @@ lines as (select doc_id, unnest(range(0, len(l))) as para_idx, unnest(l) as line
 """
 
 
+#: Of each thousand events, 900 are frames of recording 0; the others belong to seven short recordings.
+_RECORDING = "case when event_id % 1000 < 900 then 0 else 1 + {div} % 7 end"
+
+
 def frames(spark: SparkSession, d: str) -> DataFrame:
-    """Events as frames of one recording: doc_id, frame_idx, rms."""
-    return table(spark, d, "events").select(F.lit(0).cast("long").alias("doc_id"), F.col("event_id").alias("frame_idx"), F.col("value").alias("rms"))
+    """Events as frames of recordings, one of which has 90 % of all: doc_id, frame_idx, rms."""
+    at = F.expr("case when event_id % 1000 < 900 then event_id div 1000 * 900 + event_id % 1000 else event_id div 7000 * 100 + event_id % 100 end")
+    return table(spark, d, "events").select(F.expr(_RECORDING.format(div="event_id div 1000")).cast("long").alias("doc_id"), at.cast("long").alias("frame_idx"), F.col("value").alias("rms"))
 
 
-FRAMES = "frames as (select event_id as frame_idx, value as rms from events)"
+FRAMES = f"""frames as (select cast({_RECORDING.format(div='event_id // 1000')} as bigint) as doc_id,
+  cast(case when event_id % 1000 < 900 then event_id // 1000 * 900 + event_id % 1000 else event_id // 7000 * 100 + event_id % 100 end as bigint) as frame_idx, value as rms from events)"""
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:

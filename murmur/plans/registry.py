@@ -212,28 +212,28 @@ def energy_threshold(spark, d):
 
 
 def _silence(factor: float, least: int) -> str:
-    return f"""{B.FRAMES}, q as (select quantile_cont(case when rms > 0 then rms end, 0.75) * {factor} as th from frames),
-low as (select frame_idx, frame_idx - row_number() over (order by frame_idx) as g from frames, q where rms < th),
-r as (select min(frame_idx) as a, max(frame_idx) + 1 as b from low group by g having count(*) >= {least})"""
+    return f"""{B.FRAMES}, q as (select doc_id, quantile_cont(case when rms > 0 then rms end, 0.75) * {factor} as th from frames group by doc_id),
+low as (select doc_id, frame_idx, frame_idx - row_number() over (partition by doc_id order by frame_idx) as g from frames join q using (doc_id) where rms < th),
+r as (select doc_id, min(frame_idx) as a, max(frame_idx) + 1 as b from low group by doc_id, g having count(*) >= {least})"""
 
 
-@query(f"with {_silence(0.5, 3)} select 0::bigint as doc_id, a * 20 / 1000 as t0, b * 20 / 1000 as t1 from r")
+@query(f"with {_silence(0.5, 3)} select doc_id, a * 20 / 1000 as t0, b * 20 / 1000 as t1 from r")
 def silence_windows(spark, d):
     return runs.silence_windows(B.frames(spark, d), 0.06, 0.5)
 
 
-@query(f"with {_silence(0.5, 3)} select 0::bigint as doc_id, (a + b) // 2 as mid from r")
+@query(f"with {_silence(0.5, 3)} select doc_id, (a + b) // 2 as mid from r")
 def silence_midpoints(spark, d):
     return runs.silence_midpoints(B.frames(spark, d), 0.5, 3)
 
 
-@query(f"""with recursive {_silence(0.5, 3)}, mids as (select (a + b) // 2 as mid from r), n as (select count(*) as n from frames),
-w(k, pos) as (select 0, 0::bigint union all
-  select k + 1, coalesce((select mid from mids where mid > pos and abs(mid - pos - 150) <= 40 order by abs(mid - pos - 150), mid limit 1), pos + 150) from w, n where pos + 150 < n)
-select 0::bigint as doc_id, k - 1 as k, pos as at from w where k > 0""")
+@query(f"""with recursive {_silence(0.5, 3)}, mids as (select doc_id, (a + b) // 2 as mid from r), n as (select doc_id, max(frame_idx) + 1 as n from frames group by doc_id),
+w(doc_id, k, pos) as (select doc_id, 0, 0::bigint from n union all
+  select w.doc_id, k + 1, coalesce((select mid from mids where mids.doc_id = w.doc_id and mid > pos and abs(mid - pos - 150) <= 40 order by abs(mid - pos - 150), mid limit 1), pos + 150) from w join n using (doc_id) where pos + 150 < n)
+select doc_id, k - 1 as k, pos as at from w where k > 0""")
 def greedy_snap_splits(spark, d):
     f = B.frames(spark, d)
-    n = f.groupBy("doc_id").agg(F.count("*").alias("n_frames"))
+    n = f.groupBy("doc_id").agg((F.max("frame_idx") + 1).alias("n_frames"))
     return splits.greedy_split_points(n, runs.silence_midpoints(f, 0.5, 3), 150, 40)
 
 
@@ -254,21 +254,25 @@ def apply_silence_breaks(spark, d):
     return splits.apply_silence_breaks(s, w).select("doc_id", "seg_idx", "start", "end")
 
 
-_LINE_CHARS = f"""{B.LINES}, pl as (select doc_id, para_idx, para_idx * 7 as t, length(line) <= 80 as short from lines),
+#: Stamps of some documents are too far apart for music.
+_STEP = "(case doc_id % 3 when 0 then 20 else 7 end)"
+_LINE_CHARS = f"""{B.LINES}, pl as (select doc_id, para_idx, para_idx * {_STEP} as t, length(line) <= 80 as short from lines),
 sh as (select *, case when coalesce(para_idx - lag(para_idx) over (partition by doc_id order by para_idx) > 2, true) then 1 else 0 end as new from pl where short),
 g as (select *, sum(new) over (partition by doc_id order by para_idx) as run from sh),
 r as (select doc_id, run, min(para_idx) as lo, max(para_idx) as hi, count(*) as shorts from g group by doc_id, run),
-music as (select doc_id, lo, hi, hi - lo + 1 as len, shorts from r where hi - lo + 1 >= 5 and shorts / (hi - lo + 1) >= 0.75)"""
+ga as (select doc_id, para_idx, lead(t) over (partition by doc_id order by para_idx) - t as gap from pl),
+music as (select r.doc_id, lo, hi, hi - lo + 1 as len, shorts from r where hi - lo + 1 >= 5 and shorts / (hi - lo + 1) >= 0.75
+  and (select avg(gap) from ga where ga.doc_id = r.doc_id and para_idx >= lo and para_idx < hi and gap > 0) < 15)"""
 
 
 @query(f"with {_LINE_CHARS} select * from music")
 def music_runs(spark, d):
-    return runs.music_runs(B.lines(spark, d))
+    return runs.music_runs(B.lines(spark, d, _STEP))
 
 
 @query(f"with {_LINE_CHARS} select doc_id, para_idx from pl where not exists (select 1 from music m where m.doc_id = pl.doc_id and para_idx between lo and hi)")
 def drop_music(spark, d):
-    return runs.drop_music(B.lines(spark, d)).select("doc_id", "para_idx")
+    return runs.drop_music(B.lines(spark, d, _STEP)).select("doc_id", "para_idx")
 
 
 # ---------------------------------------------------------------- vectors
@@ -575,9 +579,9 @@ def extract_notes(spark, d):
 # ---------------------------------------------------------------- sources, sizes, sets
 
 
-@query("""select p_size % 2 as feed_idx, -(row_number() over (partition by p_size % 2 order by p_partkey) - 1) as pos, p_name as title, 'http://x/' || p_partkey as audio_url from part""")
+@query("""select p_partkey // 40 as feed_idx, -(row_number() over (partition by p_partkey // 40 order by p_partkey) - 1) as pos, p_name as title, 'http://x/' || p_partkey as audio_url from part""")
 def parse_feeds(spark, d):
-    p = B.table(spark, d, "part").select((F.col("p_size") % 2).alias("feed_idx"), "p_partkey", F.concat(F.lit("<item><title>"), F.col("p_name"), F.lit("</title><enclosure url=\"http://x/"), F.col("p_partkey").cast("string"), F.lit("\"/></item>")).alias("x"))
+    p = B.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("feed_idx"), "p_partkey", F.concat(F.lit("<item><title>"), F.col("p_name"), F.lit("</title><enclosure url=\"http://x/"), F.col("p_partkey").cast("string"), F.lit("\"/></item>")).alias("x"))
     xml = p.groupBy("feed_idx").agg(F.concat(F.lit("<rss><channel>"), S.ordered_join(F.replace("x", F.lit(" url="), F.lit(" url=")), F.col("p_partkey"), ""), F.lit("</channel></rss>")).alias("xml"))
     return feed.parse_feeds(xml)
 

@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from murmur.operators import intervals, quantiles, runs, scan, segments
+from murmur.operators import intervals, quantiles, runs, scan, segments, splits
 
 from .conftest import rows
-from .test_sequences import music_loop
+from .test_sequences import music_loop, split_loop
 
 
 @pytest.fixture(params=[7, 1_000_000])
@@ -113,3 +113,28 @@ def test_quantiles_are_exact(spark, monkeypatch, few, q):
 
     assert got == {k: plain(vs) for k, vs in values.items()}
     assert "percentile" not in runs.energy_threshold(spark.createDataFrame([(1, 1.0)], "doc_id long, rms double"))._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("target, search", [(100, 30), (20, 35), (7, 0), (1, 3)])
+def test_split_points_of_long_documents(spark, target, search):
+    r = random.Random(target)
+    docs = {d: (n, sorted(r.sample(range(n), n // r.choice([5, 30, 200])))) for d, n in enumerate([1, 2, 400, 2500, 3000, 5000])}
+    n = spark.createDataFrame([(d, x, "y") for d, (x, _) in docs.items()] + [(99, 0, "y")], "doc_id long, n_frames long, b string")
+    m = spark.createDataFrame([(d, x) for d, (_, ms) in docs.items() for x in ms] + [(1, 1), (1000, 5), (3, -4)], "doc_id long, mid long")
+    got = rows(splits.greedy_split_points(n, m, target, search, span=300))
+    assert got == sorted(((d, k, at) for d, (x, ms) in docs.items() for k, at in enumerate(split_loop(x, ms, target, search))), key=repr)
+
+
+def test_split_points_of_a_million_middles(spark):
+    n = 20_000_000
+    m = spark.range(1_000_000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 20 + F.pmod(F.xxhash64("id"), F.lit(17))).alias("mid"))
+    mids = sorted(x["mid"] for x in m.collect())
+    got = [x["at"] for x in splits.greedy_split_points(spark.createDataFrame([(1, n)], "doc_id long, n_frames long"), m, 4500, 500).orderBy("k").collect()]
+    import bisect
+
+    pos, want = 0, []
+    while pos + 4500 < n:
+        i = bisect.bisect_left(mids, pos + 4500)
+        pos = min((x for x in mids[max(i - 2, 0) : i + 2] if abs(x - pos - 4500) <= 500), key=lambda x: (abs(x - pos - 4500), x), default=pos + 4500)
+        want.append(pos)
+    assert got == want
