@@ -133,9 +133,9 @@ def thinned(rows: DataFrame, keys: str | list[str], among: DataFrame) -> DataFra
 def keyed(docs: DataFrame, did: str = "did", th: str = "th") -> DataFrame:
     """docs with the key of a row: (did, th), its id (0 for null) and a hash of its text and of whether it has an id.
 
-    Rows share a key only if they have the same id and text (but for a 64-bit chance among the rows of one id).
+    Rows share a key only if they have the same id and text: among the rows of one id, but for a 64-bit chance of the SHA-256 of their texts.
     """
-    return docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn(th, F.xxhash64("text", F.col("doc_id").isNull()))
+    return docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn(th, F.xxhash64(F.sha2("text", 256), F.col("doc_id").isNull()))
 
 
 def texts_of(docs: DataFrame, among: DataFrame) -> DataFrame:

@@ -272,7 +272,7 @@ def samples(docs: DataFrame) -> list[tuple[str, str]]:
     Copies of a text count once.  Ranks are those of hashes; only the rows that are picked bring their texts.
     """
     scratch = Scratch(docs.sparkSession, "samples")
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"), "text")
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64(F.sha2("text", 256)).alias("h"), "text")
     texts = scratch.write(rows.groupBy("lang", "h").agg(F.count("*").alias("rows")), "texts")
     most = texts.groupBy("lang").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).select("lang")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))

@@ -11,10 +11,11 @@ under such a window goes.  The graph is far larger than the corpus, so it is nev
   nonbranching path: all of its edges repeat together and one row settles them.  In the same way,
   a sequence that occurs twice settles its own edges.
 * *Verification by source coordinates.*  Where sequences branch, one occurrence of each is looked up in its
-  document at its coordinates, and its edges are compared one by one (anchor and edge hash, 128 bits).
+  document at its coordinates, and its edges are compared one by one.
 
-A sequence is named by its first and last edge and its length: it has no more edges than an edge has words, so these two
-windows cover all of its words.  Hashes are those of ``words``, which no text can be built to cancel.
+Sequences and edges are the same only if a 128-bit cryptographic digest of their words is (BLAKE2 over the words at their source
+coordinates, with one space between).  The faster hashes, which have a key of the run, only choose anchors: where two of those collide, more
+is compared and nothing is found or lost.
 
 Each removal is a span of coordinates; the spans of a document meet its text in one join.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.common import Scratch, keyed, table, text_batches, texts_of
-from murmur.llm.words import chain, chunks, mix, split, window_hashes, within, word_hashes
+from murmur.llm.words import chunks, digests, fresh_key, joined, split, window_hashes, within, word_hashes
 
 WINDOW, ANCHOR = 35, 8
 _SEGMENT = 1 << 23
@@ -61,7 +62,7 @@ def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def paths(h: np.ndarray, word_off: np.ndarray, window: int, anchor: int):
-    """(document position, first edge in its document, edges, anchor hash, sequence hash) of all paths of a chunk."""
+    """(document position, first edge in its document, edges, anchor hash, first word in the chunk) of all paths of a chunk."""
     n = len(h) - window + 1
     if n <= 0:
         return None
@@ -79,32 +80,31 @@ def paths(h: np.ndarray, word_off: np.ndarray, window: int, anchor: int):
     ends = np.append(np.flatnonzero(new | stop), n)
     end = ends[np.searchsorted(ends, first, "right")]
     count = end - first
-    edge = window_hashes(h, window, 11)
-    sequence = mix(chain(edge[first], edge[first + count - 1]) + count.astype(np.uint64))
     doc = np.searchsorted(word_off, first, "right") - 1
-    return doc, first - word_off[doc], count, grams[at[first]], sequence
+    return doc, first - word_off[doc], count, grams[at[first]], first
 
 
-PATHS = "anchor long, sequence long, did long, th long, start int, edges int"
+PATHS = "anchor long, sequence binary, did long, th long, start int, edges int"
 
 
-def _paths(window: int, anchor: int):
+def _paths(window: int, anchor: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for rows, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(2)):
                 starts, ends, word_off = split(data, offsets)
-                found = paths(word_hashes(data, starts, ends), word_off, window, anchor)
+                found = paths(word_hashes(data, starts, ends, key), word_off, window, anchor)
                 if found is not None:
-                    doc, start, count, a, s = found
+                    doc, start, count, a, first = found
                     at = rows[doc]
-                    cols = [a.view(np.int64), s.view(np.int64), did[at], th[at], start.astype(np.int32), count.astype(np.int32)]
+                    text, begin = joined(data, starts, ends)
+                    cols = [a.view(np.int64), pa.array(digests(text, begin[first], begin[first + count + window - 1]), pa.binary()), did[at], th[at], start.astype(np.int32), count.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["anchor", "sequence", "did", "th", "start", "edges"])
 
     return run
 
 
-EDGES = "anchor long, edge long, did long, th long, at int, n int"
+EDGES = "anchor long, edge binary, did long, th long, at int, n int"
 
 
 def _edges(window: int):
@@ -121,7 +121,7 @@ def _edges(window: int):
             did, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for rows, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(2)):
                 starts, ends, word_off = split(data, offsets)
-                edge = window_hashes(word_hashes(data, starts, ends), window, 11)
+                text, place = joined(data, starts, ends)
                 lo, hi = first[done], first[done + len(rows)]
                 owner = np.repeat(np.arange(len(rows)), sizes[done : done + len(rows)])
                 count = field["edges"][lo:hi].astype(np.int64)
@@ -130,7 +130,7 @@ def _edges(window: int):
                 at = np.repeat(begin, count) + step
                 where = np.repeat(word_off[owner], count) + at
                 row = np.repeat(rows[owner], count)
-                cols = [np.repeat(field["anchor"][lo:hi], count), edge[where].view(np.int64), did[row], th[row], at.astype(np.int32), np.repeat(field["n"][lo:hi], count).astype(np.int32)]
+                cols = [np.repeat(field["anchor"][lo:hi], count), pa.array(digests(text, place[where], place[where + window]), pa.binary()), did[row], th[row], at.astype(np.int32), np.repeat(field["n"][lo:hi], count).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["anchor", "edge", "did", "th", "at", "n"])
                 done += len(rows)
 
@@ -140,7 +140,7 @@ def _edges(window: int):
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(did, th, start, edges): coordinates of repeated edges."""
     rows = keyed(docs.select("doc_id", "text")).select(*_KEY, "text")
-    runs = scratch.write(rows.mapInArrow(_paths(window, anchor), PATHS), "paths")
+    runs = scratch.write(rows.mapInArrow(_paths(window, anchor, fresh_key()), PATHS), "paths")
     again = scratch.write(runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     kept = scratch.write(runs.join(again, "anchor", "left_semi"), "kept")
     scratch.drop(runs, again)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import Scratch, table, text_batches
-from murmur.llm.words import chunks, word_hashes
+from murmur.llm.words import chunks, fresh_key, same_bytes, word_hashes
 
 CAPACITY = 2048
 END_ID = 0
@@ -117,11 +117,12 @@ class PretokenEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
+        self.key = fresh_key()
         self.flat, self.at, self.size = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, keys: list[bytes], words: list[str]) -> None:
         lists = [self.single(w.encode()) for w in words]
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))
@@ -150,11 +151,16 @@ class PretokenEncoder:
         starts = pretoken_starts(cp, docs[:-1][docs[:-1] < len(cp)], self.classes)
         ends = np.append(starts[1:], len(cp))
         place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        h = word_hashes(data, place[starts], place[ends])
-        keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.index) + len(keys) > CACHE_ENTRIES:
+        lo, hi = place[starts], place[ends]
+        _, where, inverse = np.unique(word_hashes(data, lo, hi, self.key), return_index=True, return_inverse=True)
+        # The hash only gathers equal pretokens; what is equal, and what is known, is told by their bytes.
+        if not same_bytes(data, lo, hi, lo[where[inverse]], hi[where[inverse]]).all():
+            where = np.arange(len(lo))
+            inverse = where
+        if len(self.index) + len(where) > CACHE_ENTRIES:
             self.clear()
-        listed = keys.tolist()
+        raw = data.tobytes()
+        listed = [raw[x:y] for x, y in zip(lo[where].tolist(), hi[where].tolist())]
         known = [*map(self.index.get, listed)]
         new = [i for i, x in enumerate(known) if x is None]
         if new:

@@ -22,6 +22,9 @@ A document's set holds its distinct word shingles.  Documents link when
    than it has members.  Gatherings are rows of one sorted stream; none is collected.
 6. *Components* of the links (Spark joins, see ``common.components``).
 
+Shingles are compared as 64-bit hashes under a key drawn for each run (see ``words``), so no text can be built against them; two
+given shingles are taken for one with a chance of 2**-64.
+
 Defined cases: no text or no words: an empty set, linked with nothing, n_shingles 0, own component;
 fewer words than a shingle: the whole sequence is the one shingle; rows that repeat link; rows of one doc_id with different
 texts are documents of their own; a row without doc_id links like any other, and its component_id is the smallest doc_id that
@@ -40,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.common import Scratch, components, divided, fresh, keyed, table, text_batches, texts_of, thinned
-from murmur.llm.words import LOWER, chunks, mix, split, window_hashes, word_hashes
+from murmur.llm.words import LOWER, chunks, fresh_key, mix, split, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 4, 85
 #: A shingle in so many candidate prefixes counts as frequent.
@@ -59,11 +62,11 @@ def prefix_length(n: np.ndarray | int, threshold: int = THRESHOLD):
     return n - -(-threshold * n // 100) + 1
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, key: bytes) -> Iterator[np.ndarray]:
     """For each document its shingle hashes, distinct and ascending."""
     data = LOWER[data]
     starts, ends, off = split(data, offsets)
-    h = word_hashes(data, starts, ends)
+    h = word_hashes(data, starts, ends, key)
     s = window_hashes(h, k, 1)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
         if b - a >= k:
@@ -108,12 +111,12 @@ class Order:
         return np.concatenate([np.sort(place), rare])
 
 
-def _count_tokens(k: int, threshold: int):
+def _count_tokens(k: int, threshold: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0), batch.column(1)):
                 # Frequent ones move to the end of the order, so prefixes reach further than without them.
-                out = [s[: prefix_length(len(s), threshold) * 8 // 5] for s in shingle_sets(data, offsets, k) if len(s)]
+                out = [s[: prefix_length(len(s), threshold) * 8 // 5] for s in shingle_sets(data, offsets, k, key) if len(s)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["token"])
 
@@ -123,13 +126,13 @@ def _count_tokens(k: int, threshold: int):
 SETS = "doc_id long, did long, th long, n int, k1 long, k2 long, prefix array<long>"
 
 
-def _prefixes(order, k: int, threshold: int):
+def _prefixes(order, k: int, threshold: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         for batch in batches:
             for rows, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(3)):
                 n, k1, k2, toks, sizes = [], [], [], [], [0]
-                for s in shingle_sets(data, offsets, k):
+                for s in shingle_sets(data, offsets, k, key):
                     n.append(len(s))
                     k1.append(mix(s + np.uint64(0x1234567)).sum(dtype=np.uint64))
                     k2.append(mix(s ^ np.uint64(0xABCDEF987654321)).sum(dtype=np.uint64))
@@ -269,7 +272,7 @@ def _links(rows: list[tuple[int, int, int, np.ndarray]], threshold: int) -> list
     return [(probe[x][1], member[y][1]) for x, y in found]
 
 
-def _join(order, k: int, threshold: int):
+def _join(order, k: int, threshold: int, key: bytes):
     """From rows (gathering, role, cls, comp, text), sorted by gathering, to links; a gathering may go on in the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +281,7 @@ def _join(order, k: int, threshold: int):
         for batch in batches:
             sets, found = [], []
             for _, data, offsets in chunks(pa.array(range(batch.num_rows)), batch.column(4)):
-                sets += [o.tree_keys(s) for s in shingle_sets(data, offsets, k)]
+                sets += [o.tree_keys(s) for s in shingle_sets(data, offsets, k, key)]
             for g, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), sets):
                 if g != open_:
                     found += _links(rows, threshold)
@@ -300,17 +303,18 @@ class _Join:
         self.spark = docs.sparkSession
         text_batches(self.spark)
         self.scratch, self.k, self.threshold = Scratch(self.spark, "jaccard"), k, threshold
+        self.key = fresh_key()
         self.docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "did", "th", "text")
 
     def order(self) -> None:
-        counts = self.docs.select("did", "text").mapInArrow(_count_tokens(self.k, self.threshold), "token long").groupBy("token").count().where(f"count >= {FREQUENT}")
+        counts = self.docs.select("did", "text").mapInArrow(_count_tokens(self.k, self.threshold, self.key), "token long").groupBy("token").count().where(f"count >= {FREQUENT}")
         frequent = counts.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).collect()
         self.order_ = self.spark.sparkContext.broadcast(Order([(r[0], r[1]) for r in frequent]))
 
     def classes(self) -> None:
         """sets: one row for each row of docs; classes: (cls, n, members, nul, did, th, prefix) of equal sets."""
         w = self.scratch.write
-        self.sets = w(self.docs.mapInArrow(_prefixes(self.order_, self.k, self.threshold), SETS), "sets")
+        self.sets = w(self.docs.mapInArrow(_prefixes(self.order_, self.k, self.threshold, self.key), SETS), "sets")
         one = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "did", "th")).alias("one")
         c = self.sets.where("n > 0").groupBy("k1", "k2", "n").agg(one, F.count("*").alias("members"), F.first("prefix").alias("prefix"))
         # Numbered once, as the table is written.
@@ -371,7 +375,7 @@ class _Join:
         rows = gathered.join(texts_of(self.docs, gathered), ["did", "th"]).select("gathering", "role", "cls", "comp", "text")
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(tasks, "gathering").sortWithinPartitions("gathering")
-        out = w(rows.mapInArrow(_join(self.order_, self.k, self.threshold), "a long, b long"), "links")
+        out = w(rows.mapInArrow(_join(self.order_, self.k, self.threshold, self.key), "a long, b long"), "links")
         self.scratch.drop(gathered, *done)
         return out
 

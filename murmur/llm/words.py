@@ -4,18 +4,24 @@ One Arrow batch is handled as one flat byte array, so that the cost per document
 numpy operations and not a Python loop.  Batches are cut into chunks of ``CHUNK_BYTES`` (a
 document is never cut), which bounds the size of the temporary arrays.
 
+Hashes of words have a key, drawn anew for each run of an operator on the driver (``fresh_key``), and are sums of products of the
+key's numbers with a word's parts, of which the upper halves count: two different words collide with a chance of 2**-64 over the
+keys, whatever the words are.  Nobody can build texts against a key that does not exist yet.  Where equal words decide a result for good, they are compared by
+their bytes (``same_bytes``) or by a cryptographic digest of them (``digests``).
+
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``; all bytes of a multi-byte UTF-8 character
 are outside that class, so splitting bytes and splitting characters agree.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 CHUNK_BYTES = 1 << 20
 
@@ -26,7 +32,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Words of more bytes are hashed one by one.
 LONG = 64
-_SEED, _ODD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The low n bytes of eight.
 _LOW = np.asarray([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
@@ -84,28 +90,85 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: eight bytes at a time through ``mix``, so no sum of powers that a text could be built to cancel.
+def fresh_key() -> bytes:
+    """A key for ``word_hashes``; all tasks of a run must have the same."""
+    return os.urandom(32)
+
+
+def _numbers(key: bytes) -> np.ndarray:
+    """The key's numbers: two rows, each with one for the size and one for every four bytes of a word."""
+    raw = hashlib.shake_256(key).digest(2 * (LONG // 4 + 2) * 8)
+    return np.frombuffer(raw, dtype="<u8").reshape(2, -1)
+
 
-    Words of the same size of at most eight bytes never collide.
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """A 64-bit hash of each word under a key: two multilinear sums over its four-byte parts and its size, the upper half of each.
+
+    Longer words than ``LONG`` bytes go through keyed BLAKE2 one by one.
     """
     size = ends - starts
-    h = mix(size.astype(np.uint64) + _SEED)
-    if not len(h):
-        return h
+    if not len(size):
+        return size.astype(np.uint64)
+    k = _numbers(key)
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
-    h = mix(h ^ (eight[starts] & _LOW[np.minimum(size, 8)]))
-    live, step = np.flatnonzero((size > 8) & (size <= LONG)), 8
-    while len(live):
-        left = size[live] - step
-        h[live] = chain(h[live], eight[starts[live] + step] & _LOW[np.minimum(left, 8)])
-        live, step = live[left > 8], step + 8
+    n = size.astype(np.uint64)
+    sums = [k[r, 0] + k[r, 1] * n for r in (0, 1)]
+    live, step, low = None, 0, np.uint64(0xFFFFFFFF)
+    while live is None or len(live):
+        at, left = (starts, size) if live is None else (starts[live] + step, size[live] - step)
+        c = eight[at] & _LOW[np.minimum(left, 8)]
+        i = 2 + step // 4
+        for r in (0, 1):
+            part = k[r, i] * (c & low) + k[r, i + 1] * (c >> np.uint64(32))
+            if live is None:
+                sums[r] += part
+            else:
+                sums[r][live] += part
+        step += 8
+        live = np.flatnonzero((size > step) & (size <= LONG)) if live is None else live[left > 8]
+    h = mix(sums[0] & ~low | sums[1] >> np.uint64(32))
     for i in np.flatnonzero(size > LONG).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
     return h
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Are the bytes a..a_end those of b..b_end? For each pair of places."""
+    size = a_end - a
+    same = size == b_end - b
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    live, step = np.flatnonzero(same & (a != b)), 0
+    while len(live):
+        left = size[live] - step
+        if step > LONG:  # few are so long
+            for i in live.tolist():
+                same[i] = bool((data[a[i] : a_end[i]] == data[b[i] : b_end[i]]).all())
+            break
+        differ = ((eight[a[live] + step] ^ eight[b[live] + step]) & _LOW[np.clip(left, 0, 8)]) != 0
+        same[live[differ]] = False
+        live, step = live[~differ & (left > 8)], step + 8
+    return same
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words with one space after each, and where each begins (one more place at the end)."""
+    size = ends - starts
+    begin = np.zeros(len(size) + 1, dtype=np.int64)
+    np.cumsum(size + 1, out=begin[1:])
+    out = np.full(int(begin[-1]), 0x20, dtype=np.uint8)
+    letters = data[~_SPACE[data]]
+    out[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+    return out.tobytes(), begin
+
+
+def digests(text: bytes, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """A 128-bit cryptographic digest of each stretch of joined words: equal only if the words are."""
+    view, h = memoryview(text), hashlib.blake2b
+    return [h(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())]
+
+
 def window_hashes(h: np.ndarray, k: int, salt: int) -> np.ndarray:
     """A 64-bit hash of each run of k consecutive word hashes (crossing documents too: mask those).
 
