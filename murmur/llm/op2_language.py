@@ -272,7 +272,7 @@ def samples(docs: DataFrame) -> list[tuple[str, str]]:
     Copies of a text count once.  Ranks are those of hashes; only the rows that are picked bring their texts.
     """
     scratch = Scratch(docs.sparkSession, "samples")
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64(F.sha2("text", 256)).alias("h"), "text")
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"), "text")
     texts = scratch.write(rows.groupBy("lang", "h").agg(F.count("*").alias("rows")), "texts")
     most = texts.groupBy("lang").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).select("lang")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
@@ -294,21 +294,15 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["lang", "h", "text"])
 
 
-_models: dict[int, Model] = {}
+def shared(spark: SparkSession, texts: list[tuple[str, str]]) -> Broadcast:
+    """The model and the tables of characters, built once on the driver: their size follows from the bounded sample, not from the corpus."""
+    return spark.sparkContext.broadcast((Model(texts), *_tables()))
 
 
-def model(texts: list[tuple[str, str]]) -> Model:
-    """Built once in each worker: the samples are far smaller than the tables."""
-    key = hash(tuple(texts))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(texts)
-    return _models[key]
-
-
-def _predict(texts: list[tuple[str, str]], keep_text: bool, added: tuple[str, str] = ("_lang_pred", "_score")):
+def _predict(held: Broadcast, keep_text: bool, added: tuple[str, str] = ("_lang_pred", "_score")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(texts)
+        global _letters, _lower
+        m, _letters, _lower = held.value
         names = np.asarray([*m.languages, UNKNOWN], dtype=object)
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
@@ -341,7 +335,7 @@ def identify(docs: DataFrame, texts: list[tuple[str, str]] | None = None, names:
     text_batches(docs.sparkSession)
     texts = samples(docs) if texts is None else texts
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return docs.mapInArrow(_predict(texts, True, names), schema)
+    return docs.mapInArrow(_predict(shared(docs.sparkSession, texts), True, names), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,4 +343,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     texts = samples(docs)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(_predict(texts, False), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared(spark, texts), False), "doc_id long, held_out boolean, lang_pred string, score double")

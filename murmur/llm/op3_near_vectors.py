@@ -190,7 +190,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = left.select(cols).unionByName(right.select(cols)).groupBy("cell", "i", "j").applyInPandas(_links(kind, threshold), "a long, h long, b long, n long")
     found = scratch.write(found, "found")
     links = found.where("b is null").groupBy(F.col("a").alias("id"), "h").agg(F.sum("n").alias("n"))
-    comp = components(found.where("b is not null").select("a", "b"), scratch)
+    # A vec_id that names several vectors joins their classes, also where it is not the one that names a class.
+    shared = packed.where("vec is not null").groupBy("vec_id").agg(F.min("vec").alias("least"), F.max("vec").alias("most")).where("least <> most").select("vec_id")
+    shared = scratch.write(shared, "shared")
+    bonds = packed.where("vec is not null").join(shared, "vec_id", "left_semi").distinct() if shared.limit(1).count() else None
+    edges = found.where("b is not null").select("a", "b")
+    comp = components(edges if bonds is None else edges.unionByName(bonds.join(classes, "vec").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))), scratch)
     per = classes.withColumn("h", F.xxhash64("vec")).join(links, ["id", "h"], "left").join(comp, F.col("id") == F.col("node"), "left").select(
         "vec", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )

@@ -2,15 +2,15 @@
 
 Native: DataFrame functions only.
 
-* ``expand`` turns a URL into (host suffix, path prefix) expressions: every suffix of the host
-  that starts at a label, and the path prefixes whose lengths occur among the rules.
+* ``expand`` turns a URL into (host suffix, path prefix) expressions: the suffixes of the host
+  that have as many labels as some rule's host, and the path prefixes whose lengths occur among the rules.
 * Expressions and rules meet in an equi-join on the first four bytes of SHA-256; the full digest
   is confirmed afterwards.  The rule table is broadcast only if its counted size is small.
 * The longest rule wins (longer host, then longer path, then ``block``), else the default.
 
 Defined cases: a null or empty URL or one without ``://`` has an empty host and path and gets the default
 verdict; rows that repeat are judged once and come back as often as they came; rows of one page_id with different URLs are judged
-each; a null page_id stays null; very long URLs are expanded whole (their path only at the lengths that rules have); other columns are
+each; a null page_id stays null; very long URLs are judged whole (host and path are expanded only at the depths and lengths that rules have); of equally long rules the one of the longer host counts, then block; other columns are
 ignored; an empty table gives no rows; an empty rule table leaves the default verdict.
 """
 
@@ -55,29 +55,30 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
     )
 
 
-def expand(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds one row for each expression: columns xhost, xpath, digest, short."""
-    labels = F.split("host", r"\.", -1)
-    n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+def expand(urls: DataFrame, lengths: list[int], depths: list[int]) -> DataFrame:
+    """Adds one row for each expression: columns xhost, xpath, digest, short; depths: numbers of labels of rules' hosts."""
+    urls = urls.withColumn("_labels", F.split("host", r"\.", -1))
+    labels, n = F.col("_labels"), F.size("_labels")
+    deep = F.filter(F.array(*[F.lit(k) for k in depths]).cast("array<int>"), lambda k: k <= n)
+    hosts = F.transform(deep, lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
     fit = F.filter(F.array(*[F.lit(k) for k in lengths]).cast("array<int>"), lambda k: k <= F.length("path"))
     exprs = F.flatten(
         F.transform(hosts, lambda h: F.transform(fit, lambda k: F.struct(h.alias("xhost"), F.substring(F.col("path"), F.lit(1), k).alias("xpath"))))
     )
-    out = urls.withColumn("x", F.explode_outer(exprs)).select("*", "x.xhost", "x.xpath").drop("x")
+    out = urls.withColumn("x", F.explode_outer(exprs)).select("*", "x.xhost", "x.xpath").drop("x", "_labels")
     d = _digest(F.col("xhost"), F.col("xpath"))
     return out.withColumn("digest", d).withColumn("short", F.substring(d, 1, 8))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url)."""
-    stats = rules.agg(F.count("*"), F.collect_set(F.length("rpath"))).first()
-    n_rules, lengths = stats[0], sorted(stats[1])
+    stats = rules.agg(F.count("*"), F.collect_set(F.length("rpath")), F.collect_set(F.size(F.split("rhost", r"\.", -1)))).first()
+    n_rules, lengths, depths = stats[0], sorted(stats[1]), sorted(stats[2])
     # A fixed number of tasks: by their bytes alone the rows would be gathered into few, but each becomes many expressions.
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     urls = pages.groupBy("page_id", "url").agg(F.count("*").alias("copies")).repartition(tasks, "page_id", "url")
     urls = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    x = expand(urls, lengths)
+    x = expand(urls, lengths, depths)
     r = maybe_broadcast(rules, n_rules, 512)
     hit = x.join(r, "short", "left")
     same = (F.col("digest") == F.col("rdigest")) & (F.col("xhost") == F.col("rhost")) & (F.col("xpath") == F.col("rpath"))
