@@ -42,6 +42,13 @@ class Sum:
     of: Column
 
 
+@dataclass(frozen=True)
+class Least:
+    """The smallest value up to this row, itself included."""
+
+    of: Column
+
+
 @dataclass(frozen=True)
 class Last:
     """The last value that is not null before this row (with it, if inclusive)."""
@@ -92,7 +99,7 @@ class Ranges:
         out = self._placed(df).join(small(self.table, self.cells + self.n), F.col(self.key).eqNullSafe(F.col("_key")) & (F.col("_cell") == F.col("_c")), "left")
         return out.drop("_key", "_cell", "_c")
 
-    def scan(self, df: DataFrame, order: list[str], **results: Sum | Last | Next) -> DataFrame:
+    def scan(self, df: DataFrame, order: list[str], **results: Sum | Least | Last | Next) -> DataFrame:
         """df with one more column for each result, over the rows of a key in order (total within a key, or ties are taken in any order)."""
         key, x = self.key, self.attach(df)
         w = Window.partitionBy(key, "_range").orderBy(*order)
@@ -105,6 +112,10 @@ class Ranges:
                 inner[name] = F.coalesce(F.sum(r.of).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
                 total.append(F.coalesce(F.sum(r.of), F.lit(0)).alias(name))
                 carry[name] = F.coalesce(F.sum(name).over(before), F.lit(0))
+            elif isinstance(r, Least):
+                inner[name] = F.min(r.of).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                total.append(F.min(r.of).alias(name))
+                carry[name] = F.min(name).over(before)
             elif isinstance(r, Last):
                 inner[name] = F.last(r.of, True).over(w.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1))
                 total.append(F.max_by(r.of, F.when(r.of.isNotNull(), place)).alias(name))
@@ -118,7 +129,8 @@ class Ranges:
             sums = x.where("_range is not null").groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(*total)
             sums = written(sums.select("_key", "_r", *[c.alias(f"_c_{n}") for n, c in carry.items()]), "carries")
             y = y.join(small(sums, sums.count(), 256), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")), "left")
-            full = [(F.col(n) + F.coalesce(f"_c_{n}", F.lit(0)) if isinstance(r, Sum) else F.coalesce(n, f"_c_{n}")).alias(n) for n, r in results.items()]
+            join = {Sum: lambda n: F.col(n) + F.coalesce(f"_c_{n}", F.lit(0)), Least: lambda n: F.least(n, f"_c_{n}")}
+            full = [join.get(type(r), lambda n: F.coalesce(n, f"_c_{n}"))(n).alias(n) for n, r in results.items()]
             y = y.select(*[F.col(f"`{c}`") for c in x.columns], *full)
         return y if "_range" in df.columns else y.drop("_range")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import rules as R
+from murmur.operators.scan import Last, Least, Next, Ranges, Sum, row_numbers, small, written
 
 
 #: Frames of a span, in which split points are found by one task.
@@ -114,25 +116,98 @@ def chunk_bounds(points: DataFrame, lengths: DataFrame, key="doc_id", point="at"
     return edge.withColumn("chunk", F.row_number().over(w).cast("long") - 1).withColumn("s1", F.lead("s0").over(w)).where("s1 is not null").select(key, "chunk", "s0", "s1")
 
 
+def _moves(silences: list[tuple], ends: list[tuple], plain: bool) -> dict:
+    """Which boundary each silence moves: {place: (t0, t1)}, the last silence counting; ends: (end, place) in order.
+
+    Silences that do not overlap come in order, so the nearest current end is the last one before a silence's middle, moved or not, or the
+    first one after it, which no silence has moved yet.  plain: overlapping ones; all ends are looked at.
+    """
+    out: dict = {}
+    if plain:
+        at = dict((i, e) for e, i in ends)
+        for t0, t1 in silences:
+            if at:
+                i = min(at, key=lambda i: (abs(at[i] - (t0 + t1) / 2), i))
+                at[i], out[i] = t0, (t0, t1)
+        return out
+    before: list[tuple] = []  # (end, -place): the last one is nearest, the smaller place of equal ends
+    nxt = 0
+    for t0, t1 in silences:
+        mid = (t0 + t1) / 2
+        while nxt < len(ends) and ends[nxt][0] < mid:
+            insort(before, (ends[nxt][0], -ends[nxt][1]))
+            nxt += 1
+        options = [(mid - before[-1][0], -before[-1][1], True)] if before else []
+        options += [(ends[nxt][0] - mid, ends[nxt][1], False)] if nxt < len(ends) else []
+        if options:
+            _, i, left = min(options)
+            if left:
+                before.pop()
+            else:
+                nxt += 1
+            insort(before, (t0, -i))
+            out[i] = (t0, t1)
+    return out
+
+
 def apply_silence_breaks(segments: DataFrame, windows: DataFrame, key="doc_id", order="seg_idx") -> DataFrame:
     """Segments whose boundaries are moved to real silences, one silence after the other.
 
     For each silence in order, the boundary whose current end is nearest to the silence's middle (the first among
     equals) gets the silence: that segment ends at t0 and the next starts at t1.  Later silences see
-    earlier moves, so a document is a fold in one task; fewer than two segments stay as they are.
+    earlier moves; fewer than two segments stay as they are.
+
+    Silences only depend on each other in chains.  A silence takes at most one end from beyond its middle, always the first that is left.
+    So if u ends may be gone beyond the silence before, and n lie between the two, at most max(0, u - n) + 1 may be gone beyond this
+    one: a running sum less its running minimum.  Where more ends than that lie before the next silence, the last of them (with its equals) is sure to be untouched, it is
+    nearer to the next silence than all before it, and a new chain begins.  A task folds one chain over the ends that it can reach, and no document as a whole.
+    Silences of a document that overlap each other are one chain.
     """
-    cols = [c for c in segments.columns if c not in (key, order, "start", "end")]
-    schema = segments.select(key, order, "start", "end", *cols).schema
-    both = segments.groupBy(key).cogroup(windows.groupBy(key))
-
-    def run(segs: pd.DataFrame, wins: pd.DataFrame) -> pd.DataFrame:
-        segs = segs.sort_values(order).reset_index(drop=True)
-        if len(segs) > 1 and len(wins):
-            starts, ends = segs["start"].to_numpy(copy=True), segs["end"].to_numpy(copy=True)
-            for t0, t1 in wins.sort_values("t0")[["t0", "t1"]].itertuples(index=False):
-                at = int(abs(ends[:-1] - (t0 + t1) / 2).argmin())
-                ends[at], starts[at + 1] = t0, t1
-            segs["start"], segs["end"] = starts, ends
-        return segs[[key, order, "start", "end", *cols]]
-
-    return both.applyInPandas(run, schema)
+    kind = dict(segments.dtypes)
+    s = row_numbers(segments.select(key, order, "start", "end"), key, [order], "_i")
+    last = s.groupBy(F.col(key).alias("_key")).agg(F.max("_i").alias("_n"))
+    ends = s.join(last, F.col(key).eqNullSafe(F.col("_key"))).where("_i < _n").select(key, F.col("end").alias("_x"), F.lit(1).alias("_kind"), "_i", F.lit(None).cast(kind["end"]).alias("t0"), F.lit(None).cast(kind["end"]).alias("t1"))
+    mid = ((F.col("t0") + F.col("t1")) / 2).cast("double")
+    w = windows.select(key, mid.alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_i"), F.col("t0").cast(kind["end"]).alias("t0"), F.col("t1").cast(kind["end"]).alias("t1"))
+    both = written(ends.withColumn("_x", F.col("_x").cast("double")).unionByName(w), "breaks")
+    r = Ranges(both, key, "_x")
+    # An end at the very middle counts as one after it.
+    placed = r.scan(r.attach(both), ["_x", "_kind", "_i", "t0"], _e=Sum(F.col("_kind").cast("long")), _p=Sum((1 - F.col("_kind")).cast("long")))
+    # Of equal ends the first is taken: _f is the rank of the first end that equals the last one so far.
+    placed = r.scan(placed, ["_x", "_kind", "_i", "t0"], _last=Last(F.when(F.col("_kind") == 1, F.struct("_x"))))
+    new = (F.col("_kind") == 1) & F.coalesce(F.col("_last._x") < F.col("_x"), F.lit(True))
+    placed = r.scan(placed, ["_x", "_kind", "_i", "t0"], _f=Last(F.when(new, F.col("_e")), True)).drop("_last")
+    placed = written(placed.withColumn("_f", F.coalesce("_f", F.lit(0).cast("long"))), "breaks")
+    sil = placed.where("_kind = 0").withColumn("_t", F.col("_p") - F.col("_e"))
+    sil = r.scan(sil, ["_x", "t0"], _low=Least(F.col("_t")), _past=Last(F.struct("t1")), _next=Next(F.struct("_f")))
+    sil = sil.withColumn("_u", F.col("_t") - F.col("_low") + 1).withColumn("_ends_chain", F.coalesce(F.col("_next._f") - F.col("_e") > F.col("_u"), F.lit(True)))
+    sil = r.scan(sil, ["_x", "t0"], _chain=Sum(F.col("_ends_chain").cast("long")))
+    sil = written(sil.withColumn("_chain", F.col("_chain") - F.col("_ends_chain").cast("long")), "silences")
+    odd = sil.where(F.col("_past.t1") > F.col("t0")).select(F.col(key).alias("_key")).distinct()
+    odd = written(odd.withColumn("_odd", F.lit(True)), "overlapping")
+    sil = sil.join(small(odd, odd.count()), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("_odd", F.coalesce("_odd", F.lit(False)))
+    sil = sil.withColumn("_chain", F.when(F.col("_odd"), F.lit(0).cast("long")).otherwise(F.col("_chain")))
+    chains = sil.groupBy(key, "_chain", "_odd").agg(
+        F.min("_f").alias("_lo"), F.max(F.col("_e") + F.col("_u")).alias("_hi"), F.array_sort(F.collect_list(F.struct("t0", "t1"))).alias("silences")
+    )
+    reach = chains.where(~F.col("_odd")).select(F.col(key).alias("_key"), "_chain", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("_lo")), F.col("_hi"))).alias("_q"))
+    own = placed.where("_kind = 1").select(key, "_e", F.struct(F.col("_x").alias("x"), F.col("_i").alias("i")).alias("end"))
+    near = own.join(reach, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_e") == F.col("_q"))).select(key, "_chain", "end")
+    every = own.join(small(odd, 1 << 30), F.col(key).eqNullSafe(F.col("_key"))).select(key, F.lit(0).cast("long").alias("_chain"), "end")
+    near = near.unionByName(every).groupBy(F.col(key).alias("_key"), F.col("_chain").alias("_c")).agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    rows = chains.join(near, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chain") == F.col("_c"))).select(key, "_odd", "silences", "ends")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, plain, silences, ends in zip(b[key], b["_odd"], b["silences"], b["ends"]):
+                got = _moves([(x["t0"], x["t1"]) for x in silences], [(x["x"], x["i"]) for x in ends], plain)
+                out += [(k, i, *t) for i, t in got.items()]
+            yield pd.DataFrame(out, columns=["_key", "_at", "_t0", "_t1"])
+
+    moved = written(rows.mapInPandas(fold, f"_key {kind[key]}, _at long, _t0 {kind['end']}, _t1 {kind['end']}"), "moved")
+    one, two = moved.select("_key", "_at", F.col("_t0").alias("_end")), moved.select("_key", (F.col("_at") + 1).alias("_at"), F.col("_t1").alias("_start"))
+    at = lambda m: F.col(key).eqNullSafe(m["_key"]) & (F.col("_i") == m["_at"])
+    out = row_numbers(segments, key, [order], "_i").join(one, at(one), "left").drop("_key", "_at").join(two, at(two), "left").drop("_key", "_at")
+    rest = [F.col(f"`{c}`") for c in segments.columns if c not in (key, order, "start", "end")]
+    return out.select(key, order, F.coalesce("_start", "start").cast(kind["start"]).alias("start"), F.coalesce("_end", "end").cast(kind["end"]).alias("end"), *rest)

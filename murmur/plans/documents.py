@@ -31,9 +31,8 @@ def _each(docs: DataFrame, key: str, cleaned: DataFrame) -> DataFrame:
 
 
 def strip_fillers(texts: DataFrame, column: str = "text", names: Names = Names()) -> DataFrame:
-    """The column cleaned sentence by sentence; native but for the number words, which are one Arrow UDF."""
-    kept = texts.withColumn(column, T.strip_filler_sentences(F.col(column), names))
-    return N.map_text(kept, column, N.normalize_numbers).withColumn(column, T.after_numbers(F.col(column)))
+    """The column cleaned sentence by sentence."""
+    return texts.withColumn(column, T.after_numbers(N.normalize_numbers(T.strip_filler_sentences(F.col(column), names))))
 
 
 def strip_fillers_rendered(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> DataFrame:
@@ -50,7 +49,7 @@ def gate_paragraphs(paras: DataFrame, names: Names = Names()) -> DataFrame:
 def denoise_paragraphs(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> DataFrame:
     """(key, para_idx, text) of the first-generation cleaner."""
     p = gate_paragraphs(paragraph_rows(docs, key), names)
-    p = N.map_text(p, "text", N.collapse_spoken_digits)
+    p = p.withColumn("text", N.collapse_spoken_digits(F.col("text")))
     phone = F.col("text").rlike(java(PHONE, ignore_case=False))
     p = p.withColumn("_phone", phone).withColumn("text", F.when(F.col("_phone"), T.strip_phone_numbers(F.col("text"))).otherwise(F.col("text")))
     p = p.where(~F.col("_phone") | (T.trim(T.content(F.col("text"))) != "")).drop("_phone")
@@ -74,9 +73,8 @@ def prepass(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> Dat
 def normalize_paragraphs(p: DataFrame, column: str = "text") -> DataFrame:
     c = F.col(column)
     p = p.withColumn(column, T.phrase_stutter(T.dedup_stutter(T.its_stutter(T.letter_stutter(T.strip_disfluencies(c))))))
-    p = N.map_text(p, column, N.collapse_spoken_digits).withColumn(column, T.strip_phone_numbers(c))
-    p = N.map_text(p, column, N.normalize_numbers)
-    return p.withColumn(column, T.trim(F.regexp_replace(T.after_numbers(c), " {2,}", " ")))
+    p = p.withColumn(column, T.strip_phone_numbers(N.collapse_spoken_digits(c)))
+    return p.withColumn(column, T.trim(F.regexp_replace(T.after_numbers(N.normalize_numbers(c)), " {2,}", " ")))
 
 
 def regroup(sentences: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -247,7 +247,14 @@ def chunk_bounds(spark, d):
     return splits.chunk_bounds(li, n)
 
 
-@query()
+@query(f"""with recursive {B.SEGMENTS}, w as (select doc_id, "end" as t0, "end" + 1000000 as t1, row_number() over (partition by doc_id order by "end", seg_idx) as k from seg where speaker = 'click'),
+l as (select doc_id, list(seg_idx order by seg_idx) as ids, list("start" order by seg_idx) as s, list("end" order by seg_idx) as e from seg group by doc_id),
+r as (select doc_id, 0::bigint as k, ids, s, e from l union all
+  select doc_id, k, ids, list_transform(s, lambda x, i: case when i = place + 1 then t1 else x end), list_transform(e, lambda x, i: case when i = place then t0 else x end)
+  from (select *, list_position(dist, list_min(dist)) as place from (
+    select r.doc_id, w.k, ids, s, e, t0, t1, list_transform(e[:-2], lambda x: abs(x - (t0 + t1) / 2)) as dist from r join w on w.doc_id = r.doc_id and w.k = r.k + 1))),
+f as (select * from r qualify row_number() over (partition by doc_id order by k desc) = 1)
+select doc_id, unnest(ids) as seg_idx, unnest(s) as "start", unnest(e) as "end" from f""")
 def apply_silence_breaks(spark, d):
     s = B.segments(spark, d)
     w = s.where("speaker = 'click'").select("doc_id", F.col("end").alias("t0"), (F.col("end") + 1_000_000).alias("t1"))
@@ -441,12 +448,14 @@ def episode_by_number(spark, d):
 # ---------------------------------------------------------------- text: replacements
 
 
-def _replaced(name: str, f, sql: str, source: str = B.SENTENCE) -> None:
+def _replaced(name: str, f, sql: str, source: str = B.SENTENCE, columns: str = "p_partkey") -> None:
+    """A query of f over sentences; sql says what becomes of the sentence t (or of the columns named)."""
+
     def run(spark, d):
         return B.from_parts(spark, d, source).select("p_partkey", f(F.col("text")).alias("out"))
 
     run.__name__ = name
-    query(sql and f"select p_partkey, {sql} as out from (select p_partkey, {source} as t from part)")(run)
+    query(f"select p_partkey, {sql} as out from (select {columns}, {source} as t from part)")(run)
 
 
 def _re(x: str, p: str, to: str, flags: str = "gi") -> str:
@@ -483,8 +492,19 @@ _held = _re(_re("t", f"\\b({'|'.join(R.SEMANTIC_PRECEDES)}) you (know|see)\\b",
 _gone = _re(_held, "\\b(" + "|".join(sorted(R.LEXICAL_FILLERS, key=len, reverse=True)) + ")\\b\\s*", "")
 _lexical = _re(_re(_re(f"trim({_gone})", " {2,}", " ", "g"), " ([.,!?;:])", "\\1", "g"), "^[,;:\\s]+", "", "g")
 _lexical = f"(select replace(replace(upper(x[1]) || substr(x, 2), 'you_', 'you '), 'I_', 'I ') from (select {_lexical} as x))"
-_replaced("collapse_spoken_digits", lambda c: N.collapse_spoken_digits_udf()(c), "replace(t, 'seven one eight', '718')", "'call seven one eight ' || p_name || ' one'")
-_replaced("normalize_numbers", lambda c: N.normalize_numbers_udf()(c), "replace(replace(t, 'sixty three', '63'), 'two hundred five', '205')", "'take sixty three ' || p_name || ' and two hundred five, or a hundred'")
+#: The number words of p_partkey % 1000, and of its digits one by one, as SQL of both engines.
+_words = lambda of, x: f"case {x} " + " ".join(f"when {i} then '{w}'" for w, i in of.items()) + " else '' end"
+_SMALL = {w: i for i, w in enumerate(R.DIGIT_WORDS + R.TEEN_WORDS)}
+_TENS = {w: i + 2 for i, w in enumerate(R.TENS_WORDS)}
+_hundreds, _below = "cast(floor(p_partkey % 1000 / 100) as int)", "p_partkey % 100"
+_CARDINAL = (
+    f"trim(case when {_hundreds} > 0 then {_words(_SMALL, _hundreds)} || ' hundred ' else '' end || case when {_below} between 1 and 19 or p_partkey % 1000 = 0 then {_words(_SMALL, _below)} "
+    f"when {_below} > 0 then {_words(_TENS, f'cast(floor({_below} / 10) as int)')} || case when p_partkey % 10 > 0 then ' ' || {_words(_SMALL, 'p_partkey % 10')} else '' end else '' end)"
+)
+_EACH = f"{_words(_SMALL, _hundreds)} || '  ' || {_words(_SMALL, f'cast(floor({_below} / 10) as int)')} || ' ' || upper({_words(_SMALL, 'p_partkey % 10')})"
+_replaced("collapse_spoken_digits", N.collapse_spoken_digits, "'call ' || lpad(cast(p_partkey % 1000 as string), 3, '0') || ' ' || p_name || ' one'", f"'call ' || {_EACH} || ' ' || p_name || ' one'", columns="p_partkey, p_name")
+_replaced("normalize_numbers", N.normalize_numbers, "'take ' || cast(p_partkey % 1000 as string) || ', ' || p_name || ' or ' || cast(p_partkey % 1000 * 1000 as string) || '.'",
+  f"'take ' || {_CARDINAL} || ', ' || p_name || '  or ' || case when p_partkey % 1000 = 0 then 'zero' else {_CARDINAL} || ' thousand' end || '.'", columns="p_partkey, p_name")
 _replaced("spoken_url", T.spoken_urls, "replace(t, 'w w w dot f n y c dot org', 'www.fnyc.org')", "'visit w w w dot f n y c dot org for ' || p_name || ' and a b'")
 _replaced("letter_stutter", T.letter_stutter, _letters, "'f floral ' || p_name || ' s something a apple'")
 _replaced("phrase_stutter", T.phrase_stutter, "replace(replace(t, 'before we before we', 'before we'), 'with a with a', 'with a')", "'before we before we ' || p_name || ' with a with a spoon'")

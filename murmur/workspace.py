@@ -168,7 +168,7 @@ class Workspace:
 
         todo = stages.run_stage(episodes, self.path("transcripts"), STORED, "slug", work)
         if learn:
-            self._learn(speakers)
+            self._learn(episodes, speakers)
         return todo
 
     def _names(self, s: DataFrame, todo: DataFrame, speakers: list[str] | None) -> DataFrame:
@@ -183,10 +183,12 @@ class Workspace:
         key = F.from_json("cluster", "slug string, speaker string")
         return out.select(key.alias("k"), F.when(F.col("name") != F.col("cluster"), F.col("name")).alias("name")).select("k.slug", "k.speaker", "name")
 
-    def _learn(self, speakers: list[str]) -> None:
-        done = self.read("transcripts", STORED).select("slug", F.posexplode("segments").alias("seg_idx", "s")).select("slug", "seg_idx", "s.*")
-        names = seg.first_appearance_map(done, speakers, "slug").where("name is not null")
-        new = self._voices(done.select("slug").distinct()).join(names, ["slug", "speaker"]).groupBy("name").agg(F.max_by("embedding", "slug").alias("embedding"))
+    def _learn(self, episodes: DataFrame, speakers: list[str]) -> None:
+        """The voices of these episodes under the names given; of several episodes the last one's count."""
+        done = self.read("transcripts", STORED).join(episodes.select("slug"), "slug", "left_semi")
+        s = done.select("slug", F.posexplode("segments").alias("seg_idx", "s")).select("slug", "seg_idx", "s.*")
+        names = seg.first_appearance_map(s, speakers, "slug").where("name is not null")
+        new = self._voices(done.select("slug")).join(names, ["slug", "speaker"]).groupBy("name").agg(F.max_by("embedding", "slug").alias("embedding"))
         stages.append(new.withColumn("learnt_at", F.lit(time.time())), self.path("speakers", True))
 
     def render(self, episodes: DataFrame, gap: float = R.PARAGRAPH_GAP_S, diarize: bool = False, speakers: list[str] | None = None, strip_fillers: bool = False) -> DataFrame:

@@ -138,3 +138,36 @@ def test_split_points_of_a_million_middles(spark):
         pos = min((x for x in mids[max(i - 2, 0) : i + 2] if abs(x - pos - 4500) <= 500), key=lambda x: (abs(x - pos - 4500), x), default=pos + 4500)
         want.append(pos)
     assert got == want
+
+
+def breaks_loop(segs, wins):
+    segs = sorted(segs)
+    starts, ends = [s for _, s, _ in segs], [e for _, _, e in segs]
+    if len(segs) > 1:
+        for t0, t1 in sorted(wins):
+            at = min(range(len(ends) - 1), key=lambda i: (abs(ends[i] - (t0 + t1) / 2), i))
+            ends[at], starts[at + 1] = t0, t1
+    return [(i, a, b) for (i, _, _), a, b in zip(segs, starts, ends)]
+
+
+@pytest.mark.parametrize("seed, overlap", [(1, False), (2, False), (3, True)])
+def test_silence_breaks_equal_the_loop(spark, small_ranges, seed, overlap):
+    r = random.Random(seed)
+    segs, wins = [], []
+    for d in range(14):
+        t, n = 0.0, r.choice([1, 2, 5, 40, 80])
+        for i in range(n):
+            e = t + r.choice([0, 1, 2, 6, 30])
+            segs.append((d, i * 2, t, e, "x"))
+            t = e + r.choice([0, 0, 1])
+        x = -3.0
+        for _ in range(r.choice([0, 1, 5, 30, 90])):
+            x += r.choice([0.5, 1, 2, 9, 40])
+            stop = x + r.choice([0.25, 1, 4])
+            wins.append((d, x, stop))
+            x = stop - 2 if overlap and r.random() < 0.3 else stop
+    wins.append((99, 1.0, 2.0))
+    df = spark.createDataFrame(segs, "doc_id long, seg_idx long, start double, end double, text string")
+    got = rows(splits.apply_silence_breaks(df, spark.createDataFrame(wins, "doc_id long, t0 double, t1 double")))
+    want = [(d, *x, "x") for d in range(14) for x in breaks_loop([s[1:4] for s in segs if s[0] == d], [w[1:] for w in wins if w[0] == d])]
+    assert got == sorted(want, key=repr)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from murmur import models as M
 from murmur.functions import numbers as N
+from murmur.functions import rules as R
 from murmur.functions import text as T
 from murmur.functions.rules import Names
 from murmur.plans import documents as D
@@ -126,15 +127,72 @@ def test_sentences(spark):
 @pytest.mark.parametrize(
     "text, want",
     [("sixty three eggs", "63 eggs"), ("two hundred five, ok", "205, ok"), ("a hundred eggs", "a hundred eggs"), ("one million two thousand three", "1002003"),
-     ("two thousand three thousand", "two thousand 3000"), ("a  b\nc", "a b c"), ("", "")],
+     ("two thousand three thousand", "two thousand 3000"), ("a  b\nc", "a b c"), ("", ""), ("one two three", "5"), ("hundred five", "500"), ("one two three four five", "1"),
+     ("thousand five", "thousand 5"), ("million thousand", "million thousand"), ("five million thousand six", "five million thousand 6"), ("sevenx one twox", "sevenx 1 twox"),
+     ("one  hundred, thousand million two.", "one hundred, thousand million 2."), ("a hundred and Twenty three!", "a hundred and 23!"), ("thousand", "thousand"), ("twenty-one two", "twenty-one 2")],
 )
-def test_numbers(text, want):
-    assert N.normalize_numbers(text) == want
-
-
-@pytest.mark.parametrize("text, want", [("seven one Eight now", "718 now"), ("one day", "one day"), ("sixty three", "sixty three")])
-def test_digits(text, want):
-    assert N.collapse_spoken_digits(text) == want
+def test_numbers(spark, text, want):
+    assert apply(spark, N.normalize_numbers, text) == want
+
+
+@pytest.mark.parametrize("text, want", [("seven one Eight now", "718 now"), ("one day", "one day"), ("sixty three", "sixty three"), ("one two threex", "12 threex"), ("\ue000 one\n two \ue000", "\ue000 12 \ue000")])
+def test_digits(spark, text, want):
+    assert apply(spark, N.collapse_spoken_digits, text) == want
+
+
+def plain_numbers(text):
+    """As the definition goes: from left to right, a run's value or one word that stays."""
+    values = {w: i for i, w in enumerate(R.DIGIT_WORDS + R.TEEN_WORDS)} | {w: 20 + 10 * i for i, w in enumerate(R.TENS_WORDS)} | R.MULTIPLIERS
+
+    def section(v):
+        if len(v) in (3, 4):
+            return v[0] * v[1] + sum(v[2:])
+        return v[0] * v[1] if len(v) == 2 and 100 in v else sum(v) if len(v) == 2 else v[0]
+
+    def number(ws):
+        v = [values[w] for w in ws]
+        if v.count(1000) > 1 or v.count(10**6) > 1 or len(v) == 1 and ws[0] in R.MULTIPLIERS:
+            raise ValueError
+        if 1000 in v and 10**6 in v and v.index(1000) < v.index(10**6):
+            raise ValueError
+        if len(v) == 1:
+            return v[0]
+        total = 0
+        for scale in (10**6, 1000):
+            if scale in v:
+                i = v.index(scale)
+                total += section(v[:i]) * scale
+                v = v[i + 1 :]
+        return total + (section(v) if v else 0)
+
+    words, out, i = text.split(), [], 0
+    bare = [w.lower().rstrip(".,!?;:") for w in words]
+    while i < len(words):
+        j = i
+        while j < len(words) and bare[j] in values:
+            j += 1
+        try:
+            if i == j:
+                raise ValueError
+            out.append(f"{number(bare[i:j])}{words[j - 1][len(words[j - 1].rstrip('.,!?;:')):]}")
+            i = j
+        except (ValueError, IndexError):
+            out.append(words[i])
+            i += 1
+    return " ".join(out)
+
+
+def test_numbers_equal_the_definition(spark):
+    """All runs of up to three words of a small table, and longer ones by chance."""
+    from itertools import product
+    from random import Random
+
+    few = ["one", "twenty", "hundred", "thousand", "million", "x"]
+    r = Random(1)
+    texts = [" ".join(w) for n in (1, 2, 3, 4) for w in product(few, repeat=n)]
+    texts += [" ".join(r.choice(["seven", "Nineteen,", "fifty", "hundred", "thousand.", "million", "zero"]) for _ in range(r.randint(5, 9))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", N.normalize_numbers(F.col("t")).alias("o"))
+    assert [x["o"] for x in df.orderBy("i").collect()] == [plain_numbers(t) for t in texts]
 
 
 def test_gates(spark):
@@ -164,14 +222,6 @@ def test_sentence_dedup_keeps_the_longest(spark):
     assert D.denoise2(docs, threshold=0.999).first()["text"].count("\n\n") == 1
 
 
-def test_number_runs_keep_what_is_no_number():
-    from murmur.functions.numbers import normalize_numbers as n
-
-    assert n("one  hundred, thousand million two.") == "one hundred, thousand 1000002."
-    assert n("a hundred and Twenty three!") == "a hundred and 23!"
-    assert n("thousand") == "thousand" and n("") == "" and n("twenty-one two") == "twenty-one 2"
-
-
 def test_documents_of_which_nothing_is_left(spark):
     from murmur.plans import documents as D
 
