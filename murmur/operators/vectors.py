@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import rules as R
 from murmur.functions.vectors import cosine
+from murmur.operators.scan import small, written
 
 
 def cluster_means(turns: DataFrame, keys: list[str], least_s: float | None = R.LEAST_TURN_S) -> DataFrame:
@@ -87,30 +88,69 @@ def _units(v: pd.Series) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
-def link_components(nodes: DataFrame, pairs: DataFrame, scope: str, index: str) -> DataFrame:
-    """(scope, index, component): smallest index reachable over pairs (scope, i, j).
+#: Links of a scope up to which one task joins them.
+LOCAL_LINKS = 200_000
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node that each reaches) over links u, v, by union of trees with short paths."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = np.arange(len(nodes))
+    a, b = at[: len(u)], at[len(u) :]
+    while True:
+        low = np.minimum(parent[a], parent[b])
+        before = parent.copy()
+        for x in (a, b):
+            np.minimum.at(parent, before[x], low)
+            np.minimum.at(parent, x, low)
+        parent = parent[parent]
+        if (parent == before).all():
+            return nodes, nodes[parent]
+
 
-    Smallest labels spread over the links, with the label's own label as a short cut; each
-    round is checkpointed, so the plan does not grow and lost executors can read it back.
+def _stars(links: DataFrame, scope: str) -> DataFrame:
+    """(scope, _n, component) over links (scope, u > v): alternating large-star and small-star steps (Kiveris et al., 2014).
+
+    Every step is an aggregation and an equi-join, rounds are logarithmic in number, and each is written, so that lost executors can read it back.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        from murmur.operators.stages import shared_dir
-
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    links = pairs.select(scope, F.col("i").alias("_u"), F.col("j").alias("_v"))
-    links = links.unionByName(links.select(scope, F.col("_v").alias("_u"), F.col("_u").alias("_v"))).distinct().checkpoint()
-    state = links.select(scope, F.col("_u").alias("_n")).distinct().withColumn("_c", F.col("_n")).checkpoint()
+    e, last = written(links, "links"), None
     while True:
-        near = links.join(state.select(scope, F.col("_n").alias("_v"), "_c"), [scope, "_v"]).groupBy(scope, F.col("_u").alias("_n")).agg(F.min("_c").alias("_m"))
-        step = state.join(near, [scope, "_n"]).select(scope, "_n", "_c", F.least("_c", "_m").alias("_m"))
-        jump = step.select(scope, F.col("_n").alias("_m"), F.col("_m").alias("_j"))
-        step = step.join(jump, [scope, "_m"]).select(scope, "_n", "_c", F.least("_m", "_j").alias("_d")).checkpoint()
-        changed = step.where("_d <> _c").limit(1).count()
-        state = step.select(scope, "_n", F.col("_d").alias("_c"))
-        if not changed:
+        state = e.agg(F.count("*"), F.sum(F.xxhash64(scope, "u", "v").cast("decimal(38,0)"))).first()
+        if state == last or not state[0]:
             break
-    named = state.select(scope, F.col("_n").alias(index), F.col("_c").alias("component"))
+        last = state
+        both = e.select(scope, "u", "v").union(e.select(scope, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(scope, "u").agg(F.min("v").alias("m")).select(scope, "u", F.least("u", "m").alias("m"))
+        large = written(both.join(low, [scope, "u"]).where("v > u").select(scope, F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        least = large.groupBy(scope, "u").agg(F.min("v").alias("m"))
+        small_ = large.join(least, [scope, "u"])
+        small_ = small_.select(scope, "u", F.col("m").alias("v")).union(small_.select(scope, F.col("v").alias("u"), F.col("m").alias("v")))
+        e = written(small_.where("u <> v").distinct(), "links")
+    roots = e.select(scope, F.col("v").alias("_n"), F.col("v").alias("component")).distinct()
+    return e.select(scope, F.col("u").alias("_n"), F.col("v").alias("component")).union(roots)
+
+
+def link_components(nodes: DataFrame, pairs: DataFrame, scope: str, index: str, local: int | None = None) -> DataFrame:
+    """(scope, index, component): smallest index reachable over pairs (scope, i, j).
+
+    Scopes with few links are joined side by side, each by one task; links of larger scopes take star steps over the whole cluster.
+    """
+    links = written(pairs.where("i <> j").select(scope, F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct(), "links")
+    many = links.groupBy(scope).agg(F.count("*").alias("_l")).where(F.col("_l") > (local or LOCAL_LINKS)).select(F.col(scope).alias("_scope"))
+    many = written(many, "large-scopes")
+    n = many.count()
+    kinds = dict(links.dtypes)
+
+    def join(b: pd.DataFrame) -> pd.DataFrame:
+        at, low = _forest(b["u"].to_numpy(), b["v"].to_numpy())
+        return pd.DataFrame({scope: b[scope].iloc[0], "_n": at, "component": low})
+
+    same = F.col(scope).eqNullSafe(F.col("_scope"))
+    few = links.join(small(many, n), same, "left_anti") if n else links
+    named = few.groupBy(scope).applyInPandas(join, f"{scope} {kinds[scope]}, _n {kinds['u']}, component {kinds['u']}")
+    if n:
+        named = named.unionByName(_stars(links.join(small(many, n), same, "left_semi"), scope))
+    named = named.select(scope, F.col("_n").alias(index), "component")
     return nodes.select(scope, index).join(named, [scope, index], "left").select(scope, index, F.coalesce("component", index).alias("component"))
 
 

@@ -111,8 +111,9 @@ def test_components_and_longest(spark):
             label[d, i] = label[d, j] = min(label[d, i], label[d, j])
     n = spark.createDataFrame(nodes, "doc_id long, i long, words long")
     pairs = spark.createDataFrame(links, "doc_id long, i long, j long")
-    comps = vectors.link_components(n, pairs, "doc_id", "i")
-    assert {(d, i): c for d, i, c in comps.collect()} == label
+    for local in (5, None):
+        comps = vectors.link_components(n, pairs, "doc_id", "i", local)
+        assert {(d, i): c for d, i, c in comps.collect()} == label
     kept = {(d, i) for d, i, *_ in vectors.keep_longest(n, comps, "doc_id", "i").select("doc_id", "i").collect()}
     want = set()
     for key in set((d, c) for (d, _), c in label.items()):
@@ -130,3 +131,15 @@ def test_stages(spark, tmp_path):
     stages.run_stage(inputs.where("k = 1"), path, schema, "k", work)
     stages.run_stage(inputs, path, schema, "k", work)
     assert rows(stages.read_or_empty(spark, path, schema)) == [(1, "done"), (2, "done")]
+
+
+def test_long_chains_of_links(spark):
+    chain = [(0, i, i + 1) for i in range(60)] + [(1, i, i + 2) for i in range(0, 60, 2)]
+    nodes = spark.createDataFrame([(d, i) for d in (0, 1) for i in range(62)], "doc_id long, i long")
+    pairs = spark.createDataFrame(chain, "doc_id long, i long, j long")
+    want = {(0, i): 0 if i < 61 else 61 for i in range(62)} | {(1, i): i if i % 2 else 0 for i in range(62)}
+    want[1, 60] = 0
+    want[1, 61] = 61
+    for local in (1, None):
+        assert {(d, i): c for d, i, c in vectors.link_components(nodes, pairs, "doc_id", "i", local).collect()} == want
+    assert vectors.link_components(nodes, pairs.limit(0), "doc_id", "i").where("component = i").count() == 124

@@ -56,10 +56,23 @@ def test_speakers_are_named_and_learnt(made):
 def test_voices_are_replaced_by_name(made):
     w, e = made
     w.produce(e, 1, diarize=True, speakers=["Ana", "Bo"], learn=True)
-    w._learn(["Bo", "Cy"])
+    w._learn(e.where("number = 1"), ["Bo", "Cy"])
     assert rows(w.speakers()) == [("Ana", [1.0, 0.0]), ("Bo", [1.0, 0.0]), ("Cy", [0.0, 1.0])]
 
 
+def test_voices_are_those_of_the_episode_named(made):
+    """Both episodes are stored; naming the first one's speakers learns from its own audio."""
+    w, e = made
+
+    def voices_of(xs):
+        return [[{"speaker": "S1", "start": 0.0, "end": 2.0, "embedding": [float(bytes(x)), 0.0]}, {"speaker": "S2", "start": 2.0, "end": 8.0, "embedding": [0.0, float(bytes(x))]}] for x in xs]
+
+    w.tools.turn_vectors = lambda: voices_of
+    w.produce(e, 2, diarize=True)
+    w.produce(e, 1, diarize=True, speakers=["Ana", "Bo"], learn=True)
+    assert rows(w.speakers()) == [("Ana", [1.0, 0.0]), ("Bo", [0.0, 1.0])]
+
+
 def test_tables_are_replaced_as_a_whole(spark, tmp_path):
     path, one = str(tmp_path / "t"), "x long"
     stages.replace(spark.createDataFrame([(1,), (2,)], one), path)
