@@ -455,7 +455,8 @@ def _replaced(name: str, f, sql: str, source: str = B.SENTENCE, columns: str = "
         return B.from_parts(spark, d, source).select("p_partkey", f(F.col("text")).alias("out"))
 
     run.__name__ = name
-    query(f"select p_partkey, {sql} as out from (select {columns}, {source} as t from part)")(run)
+    t = source.replace("\\'", "''")
+    query(f"select p_partkey, {sql} as out from (select {columns}, {t} as t from part)")(run)
 
 
 def _re(x: str, p: str, to: str, flags: str = "gi") -> str:
@@ -505,9 +506,11 @@ _EACH = f"{_words(_SMALL, _hundreds)} || '  ' || {_words(_SMALL, f'cast(floor({_
 _replaced("collapse_spoken_digits", N.collapse_spoken_digits, "'call ' || lpad(cast(p_partkey % 1000 as string), 3, '0') || ' ' || p_name || ' one'", f"'call ' || {_EACH} || ' ' || p_name || ' one'", columns="p_partkey, p_name")
 _replaced("normalize_numbers", N.normalize_numbers, "'take ' || cast(p_partkey % 1000 as string) || ', ' || p_name || ' or ' || cast(p_partkey % 1000 * 1000 as string) || '.'",
   f"'take ' || {_CARDINAL} || ', ' || p_name || '  or ' || case when p_partkey % 1000 = 0 then 'zero' else {_CARDINAL} || ' thousand' end || '.'", columns="p_partkey, p_name")
-_replaced("spoken_url", T.spoken_urls, "replace(t, 'w w w dot f n y c dot org', 'www.fnyc.org')", "'visit w w w dot f n y c dot org for ' || p_name || ' and a b'")
+_replaced("spoken_url", T.spoken_urls, "'visit ' || w || '.' || o || ' and a b'", "'visit ' || rtrim(regexp_replace(split_part(p_name, ' ', 1), '(.)', '$1 ')) || ' dot ' || split_part(p_name, ' ', 2) || ' and a b'",
+  columns="p_partkey, p_name, split_part(p_name, ' ', 1) as w, split_part(p_name, ' ', 2) as o")
 _replaced("letter_stutter", T.letter_stutter, _letters, "'f floral ' || p_name || ' s something a apple'")
-_replaced("phrase_stutter", T.phrase_stutter, "replace(replace(t, 'before we before we', 'before we'), 'with a with a', 'with a')", "'before we before we ' || p_name || ' with a with a spoon'")
+_replaced("phrase_stutter", T.phrase_stutter, "'before we ' || p_name || ' now ' || p_name || ' with a spoon'",
+  "repeat('before we ', 1 + cast(p_partkey % 5 as int)) || repeat(p_name || ' ', 1 + cast(p_partkey % 7 as int)) || 'now ' || p_name || ' with a with a spoon'", columns="p_partkey, p_name")
 _replaced("clean_sentence", T.clean_sentence, _cleaned)
 _replaced("strip_lexical_fillers", T.strip_lexical_fillers, _lexical, "'I mean, ' || p_name || ' is kind of good, do you know, by the way.'")
 _replaced("recapitalize", lambda c: T.recapitalize(F.substring(c, 4, 1000), c), "case when substr(t, 4, 1) between 'a' and 'z' and substr(t, 1, 1) between 'A' and 'Z' then upper(substr(t, 4, 1)) || substr(t, 5) else substr(t, 4, 1000) end", "case p_partkey % 2 when 0 then 'So ' else 'so ' end || p_name")
@@ -516,6 +519,33 @@ _replaced("strip_phones", T.strip_phone_numbers,
   "'Call ' || p_name || ' at 718-497-2128, that''s 7184972128. Or 718.497.2128 now'")
 
 
+#: Sentences of the rules that a single one does not show, and what is left of them; {} is the part's name.
+_CASES = [
+    ("it''s it, {} said", "it''s, {} said"), ("it''s a it''s {}", "it''s {}"), ("You know, {} is here", "{} is here"), ("We bake, you know, {} bread", "We bake {} bread"),
+    ("Do you know {} well", "Do you know {} well"), ("If you know {} then go", "If you know {} then go"), ("We bake, you see, {}", "We bake {}"), ("You see, {} rises", "{} rises"), ("I mean, {} is fine", "{} is fine"),
+    ("I mean it with {}", "I mean it with {}"), ("By the way, {} is fine", "{} is fine"), ("It is, by the way, {}", "It is {}"), ("Let me just tell you, {} is fine", "{} is fine"), ("I think {} is fine", "{} is fine"),
+    ("I think about {} daily", "I think about {} daily"), ("Nice, {} is fine", "{} is fine"), ("Bake {}, basically, today", "Bake {} today"), ("Bake {} or something.", "Bake {}."), ("Bake {} or something like that", "Bake {}"),
+    ("Or something like {}", "Or something like {}"), ("The problem is, {} rises", "Problem is {} rises"), ("very, very good {}", "very good {}"), ("We we we bake {}", "We bake {}"), ("Well, um, {} is um good", "{} is good"),
+    ("That is {}, right? ", "That is {}."), ("so, like, well {}", "{}"),
+]
+
+
+def _case(texts: list[str]) -> str:
+    """The text of a part, by its number, as SQL."""
+
+    def full(t: str) -> str:
+        before, after = t.split("{}")
+        return " || ".join([*[f"'{x}'" for x in [before] if x], "p_name", *[f"'{x}'" for x in [after] if x]])
+
+    return f"case p_partkey % {len(texts)} " + " ".join(f"when {i} then {full(t)}" for i, t in enumerate(texts)) + " end"
+
+
+#: The first letter is upper-case again where the sentence's was.
+_kept = _case([want for _, want in _CASES])
+_upper = "p_partkey % {} in ({})".format(len(_CASES), ", ".join(str(i) for i, (t, w) in enumerate(_CASES) if w.startswith("{}") and t[0].isupper()))
+_replaced("sentence_cases", T.clean_sentence, f"case when {_upper} then upper(kept[1]) || substr(kept, 2) else kept end", _case([t for t, _ in _CASES]).replace("''", "\\'"), columns=f"p_partkey, p_name, {_kept} as kept")
+
+
 @query("select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\.+', '.', 'g'), '!+', '!', 'g'), '\\?+', '?', 'g') as out from documents")
 def normalize_punct(spark, d):
     return B.table(spark, d, "documents").select("doc_id", T.normalize_punctuation(F.col("text")).alias("out"))

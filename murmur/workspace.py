@@ -1,13 +1,16 @@
 """A show's corpus as tables, and the commands on it.
 
 Each stage has one table below ``root/<show>/<backend>``; a stage works on the episodes that its input has and
-its output lacks, over all episodes in one plan, and appends what it made.  Models, downloads and transcoding
+its output lacks, over all episodes in one plan, and appends what it made, stamped with the time and a mark of the driver.  Of an episode's rows the
+latest counts, so drivers that run at once duplicate nothing; what is to be done again is put on a list of episodes whose earlier rows do not count,
+so no table is rewritten for one episode.  ``compact`` takes such rows out.  Models, downloads and transcoding
 are injected (``Tools``).
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -30,6 +33,11 @@ TEXT = "slug string, diarized boolean, text string"
 CLEAN = "slug string, text string"
 NOTES = "slug string, model string, notes string"
 LEARNT = f"{S.SPEAKERS}, learnt_at double"
+FORGOTTEN = "slug string, forgotten_at double"
+#: Columns that tell an episode's rows apart, of tables with more than one for each.
+PARTS = {"texts": ["diarized"]}
+#: Tables whose earlier rows of forgotten episodes do not count.
+CACHED = {"raw": RAW, "turns": TURNS, "transcripts": STORED, "texts": TEXT}
 #: Seconds of a time bucket, in which segments meet turns.
 BUCKET_S = 60.0
 
@@ -76,7 +84,7 @@ def check_options(command: str, learn: bool = False, speakers: list[str] | None
 class Workspace:
     def __init__(self, spark: SparkSession, root: str, show: Show, backend: str = "default", tools: Tools | None = None):
         self.spark, self.show, self.backend, self.tools = spark, show, backend, tools or Tools()
-        self.root = f"{root.rstrip('/')}/{show.slug}"
+        self.root, self.mark = f"{root.rstrip('/')}/{show.slug}", uuid.uuid4().hex
 
     # ------------------------------------------------------------ tables
 
@@ -84,7 +92,27 @@ class Workspace:
         return f"{self.root}/{table}" if shared else f"{self.root}/{self.backend}/{table}"
 
     def read(self, table: str, schema: str, shared: bool = False) -> DataFrame:
-        return stages.read_or_empty(self.spark, self.path(table, shared), schema)
+        """What counts of a table: of each episode (and part) the latest rows, and of forgotten ones only later rows."""
+        t = stages.read_or_empty(self.spark, self.path(table, shared), f"{schema}, made_at double, made_by string")
+        if "slug" not in t.columns:
+            return t.drop("made_at", "made_by")
+        stamp = F.struct(F.coalesce("made_at", F.lit(0.0)).alias("at"), F.coalesce("made_by", F.lit("")).alias("by"))
+        on = ["slug", *[c for c in PARTS.get(table, []) if c in t.columns]]
+        latest = t.groupBy(*on).agg(F.max(stamp).alias("_latest"))
+        if table in CACHED:
+            gone = stages.read_or_empty(self.spark, self.path("forgotten"), FORGOTTEN).groupBy("slug").agg(F.max("forgotten_at").alias("_gone"))
+            latest = latest.join(gone, "slug", "left").where(F.col("_latest.at") > F.coalesce("_gone", F.lit(-1.0))).drop("_gone")
+        return t.join(latest, on).where(stamp == F.col("_latest")).drop("made_at", "made_by", "_latest")
+
+    def _stamped(self, work: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        return lambda todo: work(todo).withColumn("made_at", F.lit(time.time())).withColumn("made_by", F.lit(self.mark))
+
+    def _stage(self, inputs: DataFrame, table: str, schema: str, work: Callable[[DataFrame], DataFrame], shared: bool = False, dry_run: bool = False) -> DataFrame:
+        """Runs work on the inputs that the table lacks and appends; dry_run only returns what would run."""
+        todo = stages.pending(inputs, self.read(table, schema, shared), "slug")
+        if not dry_run:
+            stages.append(self._stamped(work)(todo), self.path(table, shared))
+        return todo
 
     def audio(self) -> DataFrame:
         return self.read("audio", "slug string, audio binary", shared=True)
@@ -120,7 +148,7 @@ class Workspace:
             one = self.tools.transcode
             return M.map_model(got, "audio", "_opus", lambda: lambda xs: [one(x) for x in xs], "binary").select("slug", F.col("_opus").alias("audio"))
 
-        return stages.run_stage(episodes, self.path("audio", True), "slug string, audio binary", "slug", work, dry_run=dry_run)
+        return self._stage(episodes, "audio", "slug string, audio binary", work, True, dry_run)
 
     def recognise(self, episodes: DataFrame, dry_run: bool = False) -> DataFrame:
         kind = f"struct<text:string,language:string,segments:array<{S.RAW_SEGMENT}>>"
@@ -129,14 +157,14 @@ class Workspace:
             rows = self.audio().join(todo.select("slug"), "slug", "left_semi")
             return M.map_model(rows, "audio", "_r", self.tools.asr, kind).select("slug", "_r.*")
 
-        return stages.run_stage(episodes, self.path("raw"), RAW, "slug", work, dry_run=dry_run)
+        return self._stage(episodes, "raw", RAW, work, dry_run=dry_run)
 
     def find_turns(self, episodes: DataFrame, dry_run: bool = False) -> DataFrame:
         def work(todo: DataFrame) -> DataFrame:
             rows = self.audio().join(todo.select("slug"), "slug", "left_semi")
             return M.map_model(rows, "audio", "turns", self.tools.diarizer, f"array<{S.TURN}>").select("slug", "turns")
 
-        return stages.run_stage(episodes, self.path("turns"), TURNS, "slug", work, dry_run=dry_run)
+        return self._stage(episodes, "turns", TURNS, work, dry_run=dry_run)
 
     def _voices(self, slugs: DataFrame) -> DataFrame:
         """(slug, speaker, embedding): a mean vector for each voice of an episode."""
@@ -166,7 +194,7 @@ class Workspace:
                 full = full.join(m, "slug", "left")
             return full.select("slug", "text", "language", F.lit(self.backend).alias("backend"), "speaker_mapping", F.coalesce("segments", F.array().cast(f"array<{S.SEGMENT}>")).alias("segments"))
 
-        todo = stages.run_stage(episodes, self.path("transcripts"), STORED, "slug", work)
+        todo = self._stage(episodes, "transcripts", STORED, work)
         if learn:
             self._learn(episodes, speakers)
         return todo
@@ -205,7 +233,7 @@ class Workspace:
             return lines.groupBy("slug").agg(seg.ordered_join(F.col("line"), F.col("para_idx"), "\n\n").alias("text")).select("slug", F.lit(diarize).alias("diarized"), "text")
 
         todo = stages.pending(episodes.join(self.read("transcripts", STORED), "slug", "left_semi"), self.texts(diarize), "slug")
-        stages.append(work(todo), self.path("texts"))
+        stages.append(self._stamped(work)(todo), self.path("texts"))
         return todo
 
     def produce(
@@ -234,9 +262,14 @@ class Workspace:
         return out
 
     def forget(self, episodes: DataFrame) -> None:
-        """Drops cached results of episodes; audio stays."""
-        for table, schema in (("raw", RAW), ("turns", TURNS), ("transcripts", STORED), ("texts", TEXT)):
-            stages.replace(self.read(table, schema).join(episodes.select("slug"), "slug", "left_anti"), self.path(table))
+        """Cached results of episodes do not count any more; audio stays.  Only their names are written."""
+        stages.append(episodes.select("slug", F.lit(time.time()).alias("forgotten_at")), self.path("forgotten"))
+
+    def compact(self) -> None:
+        """Takes rows out that do not count, and the list of forgotten episodes; for times when no other driver runs."""
+        for table, schema in CACHED.items():
+            stages.replace(self.read(table, schema), self.path(table))
+        stages.replace(self.spark.createDataFrame([], FORGOTTEN), self.path("forgotten"))
 
     def savings(self, table: str) -> DataFrame:
         """(slug, chars_before, chars_after, pct_removed) of a cleaner's table."""
@@ -249,7 +282,7 @@ class Workspace:
             return D.strip_fillers_rendered(D.denoise(t, "slug", self.show.names), "slug", self.show.names).select("slug", "text")
 
         e = stages.select_episode(episodes, number).join(self.texts(), "slug", "left_semi")
-        return stages.run_stage(e, self.path("denoised"), CLEAN, "slug", work)
+        return self._stage(e, "denoised", CLEAN, work)
 
     def denoise2(self, episodes: DataFrame, number: int | None = None, threshold: float = R.SENTENCE_SIMILARITY) -> DataFrame:
         def work(todo: DataFrame) -> DataFrame:
@@ -257,7 +290,7 @@ class Workspace:
             return D.denoise2(t, "slug", self.show.names, self.tools.corrector, self.tools.embedder, self.tools.parser, threshold).select("slug", "text")
 
         e = stages.select_episode(episodes, number).join(self.texts(), "slug", "left_semi")
-        return stages.run_stage(e, self.path("denoised2"), CLEAN, "slug", work)
+        return self._stage(e, "denoised2", CLEAN, work)
 
     def _notes(self, table: str, source: DataFrame, column: str, prompt: str, model: str, episodes: DataFrame) -> DataFrame:
         def work(todo: DataFrame) -> DataFrame:
@@ -265,7 +298,7 @@ class Workspace:
             return D.complete(t, "_in", prompt, self.tools.complete).select("slug", F.lit(model).alias("model"), "notes")
 
         e = episodes.join(source, "slug", "left_semi")
-        return stages.run_stage(e, self.path(f"{table}/{file_slug(model)}"), NOTES, "slug", work)
+        return self._stage(e, f"{table}/{file_slug(model)}", NOTES, work)
 
     def extract(self, episodes: DataFrame, number: int | None = None, model: str = "small") -> DataFrame:
         return self._notes("extracted", self.read("denoised2", CLEAN), "text", self.show.extract_prompt, model, stages.select_episode(episodes, number))

@@ -228,3 +228,19 @@ def test_documents_of_which_nothing_is_left(spark):
     docs = spark.createDataFrame([(1, "[0:40] Yeah."), (2, "")], "doc_id long, text string")
     for clean in (D.strip_fillers_rendered, D.denoise, D.denoise2):
         assert sorted(tuple(r) for r in clean(docs).collect()) == [(1, ""), (2, "")]
+
+
+def test_guarded_correction_equals_the_rule(spark):
+    from random import Random
+
+    r = Random(3)
+    words = ["bread", "Bread", "breads", "salt", "kneading", "knead", "a", "oven,", "\u00e9t\u00e9s", "x"]
+    pairs = [("", ""), ("a", ""), ("", "a"), ("long " * 400, "long " * 399 + "song")]
+    for _ in range(400):
+        t = [r.choice(words) for _ in range(r.randint(1, 12))]
+        c = [w if r.random() < 0.9 else r.choice(words) for w in t if r.random() < 0.95]
+        pairs.append((" ".join(t), " ".join(c)))
+    answers = dict(pairs)
+    df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(answers.items())] + [(-1, None, None)], "i int, t string, c string")
+    got = {x["i"]: x["o"] for x in M.guarded_correction(df, "t", "o", lambda: lambda xs: [answers.get(x) for x in xs]).collect()}
+    assert got == {i: c if M.accepts(t, c) else t for i, (t, c) in enumerate(answers.items())} | {-1: None}

@@ -60,6 +60,36 @@ def test_voices_are_replaced_by_name(made):
     assert rows(w.speakers()) == [("Ana", [1.0, 0.0]), ("Bo", [1.0, 0.0]), ("Cy", [0.0, 1.0])]
 
 
+def test_redoing_an_episode_rewrites_no_table(made, tmp_path):
+    w, e = made
+    w.produce(e)
+    files = lambda: {p: p.stat().st_mtime_ns for t in ("raw", "transcripts", "texts") for p in (tmp_path / "ws/s/default" / t).glob("part-*")}
+    before = files()
+    w.tools.asr = lambda: lambda xs: [{"text": "new", "language": "en", "segments": [{"start": 0.0, "end": 2.0, "text": "another text of it."}]} for _ in xs]
+    assert w.produce(e, 1, redo=True) == {"download": 0, "recognised": 1, "render": 1}
+    assert {p: t for p, t in files().items() if p in before} == before
+    want = [("001-first-one", "[0:00] another text of it."), ("002-second", "[0:00] example institute is 2 and cooking is fine today.\n\n[0:09] bye for now")]
+    assert rows(w.texts().select("slug", "text")) == want
+    w.compact()
+    assert rows(w.texts().select("slug", "text")) == want and w.spark.read.parquet(w.path("texts")).count() == 2
+    assert w.produce(e) == {"download": 0, "recognised": 0, "render": 0}
+
+
+def test_two_drivers_at_once(made):
+    """Both find the same work pending; each appends; one row of each episode counts."""
+    w, e = made
+    other = Workspace(w.spark, w.root.rsplit("/", 1)[0], w.show, tools=w.tools)
+    pending = {t: w.read(t, s) for t, s in (("audio", "slug string, audio binary"), ("raw", "slug string, text string"))}
+    for d in (w, other):
+        d.read, real = (lambda t, s, shared=False, d=d: pending[t].limit(0) if t in pending and d.blind else Workspace.read(d, t, s, shared)), d.read
+        d.blind = True
+        d.download(e)
+        d.blind, d.read = False, real
+    assert w.spark.read.parquet(w.path("audio", True)).count() == 4
+    assert w.audio().count() == other.audio().count() == 2
+    assert w.produce(e) == {"download": 0, "recognised": 2, "render": 2} and other.texts().count() == 2
+
+
 def test_voices_are_those_of_the_episode_named(made):
     """Both episodes are stored; naming the first one's speakers learns from its own audio."""
     w, e = made
