@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from murmur.functions.rules import PARAGRAPH_GAP_S, SENTENCE_SIMILARITY
 from murmur.session import build_session
 from murmur.sources.feed import read_feeds
-from murmur.workspace import Show, Tools, Workspace, check_options
+from murmur.workspace import Show, Tools, Workspace, check_options, recognise_file
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="murmur", description=__doc__)
-    p.add_argument("--root", required=True, help="folder of the tables")
+    p.add_argument("--root", help="folder of the tables")
     p.add_argument("--show", default="show", help="slug of the show")
     p.add_argument("--feeds", action="append", help="a feed file; repeat for more, in order")
     p.add_argument("--feed-url", action="append", help="a feed to download when its copy is not fresh; repeat for more, in order")
@@ -38,6 +38,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--speakers", help="names in order of appearance, with commas between")
         c.add_argument("--learn", action="store_true")
         c.add_argument("--strip-fillers", action="store_true")
+    c = sub.add_parser("file", help="recognise one audio file without a show")
+    c.add_argument("audio")
+    c.add_argument("output")
+    c.add_argument("--diarize", action="store_true")
     for name in ("denoise", "denoise2", "extract", "distill"):
         c = sub.add_parser(name)
         c.add_argument("number", type=int, nargs="?")
@@ -60,8 +64,8 @@ def _print(table: DataFrame) -> None:
 def main(argv: list[str] | None = None) -> None:
     p = parser()
     a = p.parse_args(argv)
-    if not a.feeds and not a.feed_url:
-        p.error("name --feeds or --feed-url")
+    if a.command != "file" and not (a.root and (a.feeds or a.feed_url)):
+        p.error("name --root, and --feeds or --feed-url")
     speakers = [s.strip() for s in a.speakers.split(",")] if getattr(a, "speakers", None) else None
     diarize = a.command == "diarize" or getattr(a, "diarize", False)
     try:
@@ -73,6 +77,9 @@ def main(argv: list[str] | None = None) -> None:
         module, _, name = a.tools.partition(":")
         tools = getattr(import_module(module), name)
     spark = build_session()
+    if a.command == "file":
+        print(f"{recognise_file(spark, tools, a.audio, a.output, a.diarize)} segments")
+        return
     w = Workspace(spark, a.root, Show(a.show, a.show, a.feed_url or []), a.backend, tools)
     episodes = w.episodes(read_feeds(spark, a.feeds)) if a.feeds else w.load_episodes()
     if a.command == "episodes":

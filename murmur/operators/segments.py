@@ -82,5 +82,7 @@ def concat_chunks(chunks: DataFrame, key="doc_id", order="i") -> DataFrame:
     return chunks.where(t != "").groupBy(key).agg(ordered_join(t, F.col(order)).alias("text"))
 
 
-def offset_segments(segments: DataFrame, offset: str = "offset_s") -> DataFrame:
-    return segments.withColumn("start", F.col("start") + F.col(offset)).withColumn("end", F.col("end") + F.col(offset))
+def offset_segments(segments: DataFrame, offset: str = "offset_s", aligned: bool = False) -> DataFrame:
+    """Segments of a chunk moved by its offset; aligned: sentences of an aligning recogniser, whose texts get one space before them."""
+    out = segments.withColumn("start", F.col("start") + F.col(offset)).withColumn("end", F.col("end") + F.col(offset))
+    return out.withColumn("text", F.concat(F.lit(" "), T.trim(F.col("text")))) if aligned else out

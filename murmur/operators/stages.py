@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base or os.path.join(tempfile.gettempdir(), "murmur-checkpoints")
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """df fixed as a table in the shared folder, so that what is read from it later does not change with what is appended meanwhile."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/todo-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pending(inputs: DataFrame, outputs: DataFrame, on: str | list[str], redo: bool = False) -> DataFrame:
     """Inputs that have no output yet; all of them with redo."""
     return inputs if redo else inputs.join(outputs, on, "left_anti")
@@ -73,6 +81,14 @@ def _files(spark: SparkSession, *paths: str):
     return ps[0].getFileSystem(spark._jsc.hadoopConfiguration()), *ps
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file on any file system."""
+    fs, p = _files(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stage's table, empty before its first run; the path may be on any file system."""
     fs, p, old = _files(spark, path, path + ".old")

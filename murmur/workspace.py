@@ -308,6 +308,24 @@ class Workspace:
         return self._notes(f"distilled/{file_slug(extractor)}", notes, "notes", self.show.distill_prompt, model, stages.select_episode(episodes, number))
 
 
+def recognise_file(spark: SparkSession, tools: Tools, audio: str, output: str, diarize: bool = False) -> int:
+    """Recognises one audio file without a show and writes the transcript (text, language, segments) as JSON; how many segments it has."""
+    rows = spark.read.format("binaryFile").load(audio).select(F.lit("file").alias("slug"), F.col("content").alias("audio"))
+    raw = M.map_model(rows, "audio", "_r", tools.asr, f"struct<text:string,language:string,segments:array<{S.RAW_SEGMENT}>>").select("slug", "audio", "_r.*").persist()
+    s = raw.select("slug", F.posexplode("segments").alias("seg_idx", "s")).select("slug", "seg_idx", "s.*")
+    if diarize:
+        t = M.map_model(raw.select("slug", "audio"), "audio", "turns", tools.diarizer, f"array<{S.TURN}>")
+        t = t.select("slug", F.posexplode("turns").alias("turn_idx", "t")).select("slug", "turn_idx", "t.*")
+        s = overlap_join(s, t, key="slug", width=BUCKET_S)
+    fields = ["start", "end", "text", *(["speaker"] if diarize else [])]
+    one = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.struct(*fields).alias("s")))), lambda x: x["s"])
+    full = raw.select("slug", "text", "language").join(s.groupBy("slug").agg(one.alias("segments")), "slug", "left")
+    text, n = full.select(F.to_json(F.struct("text", "language", "segments"), {"ignoreNullFields": "false", "pretty": "true"}), F.coalesce(F.size("segments"), F.lit(0))).first()
+    raw.unpersist()
+    stages.write_text(spark, output, text)
+    return n
+
+
 def file_slug(name: str) -> str:
     import re
 
