@@ -12,7 +12,7 @@ from murmur.functions import numbers as N
 from murmur.functions import rules as R
 from murmur.functions import text as T
 from murmur.functions.vectors import cosine
-from murmur.operators import intervals, runs, segments as S, splits, stages, vectors as V
+from murmur.operators import intervals, phrases, runs, segments as S, splits, stages, vectors as V
 from murmur.plans import bindings as B
 from murmur.plans import documents as D
 from murmur.sources import feed, transcripts
@@ -585,6 +585,24 @@ def stutter_dedup(spark, d):
     return t.select("doc_id", F.size(F.split(T.dedup_stutter(F.col("t")), " ")).cast("long").alias("words"))
 
 
+@query("""with recursive b as (select string_split_regex(lower(text), '\\s+') as w from benchmark), ph as (select distinct p from (select w[1:2] as p from b union all select w[1:3] from b union all select w[2:5] from b) where len(p) >= 2),
+d as (select doc_id, string_split_regex(lower(text), '\\s+') as w from documents where text is not null),
+g as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (values (2), (3), (4)) s(n) where len(w) >= n),
+c as (select doc_id, i as a, i + n - 1 as z, row_number() over (partition by doc_id order by n desc, i) as k from g join ph on ph.p = w[i:i + n - 1] and len(ph.p) = n),
+r as (select distinct doc_id, 0::bigint as k, []::struct(a bigint, z bigint)[] as kept from c union all
+  select r.doc_id, c.k, case when len(list_filter(kept, lambda x: x.a <= c.z and x.z >= c.a)) = 0 then list_append(kept, {'a': c.a, 'z': c.z}) else kept end from r join c on c.doc_id = r.doc_id and c.k = r.k + 1),
+f as (select doc_id, kept from r qualify row_number() over (partition by doc_id order by k desc) = 1)
+select d.doc_id, len(w) as before, len(w) - coalesce(list_sum(list_transform(kept, lambda x: x.z - x.a + 1)), 0)::bigint as after from d left join f on f.doc_id = d.doc_id""")
+def phrase_removal(spark, d):
+    words = F.split(F.lower("text"), r"\s+")
+    b = B.table(spark, d, "benchmark").select(words.alias("w"))
+    p = b.select(F.explode(F.array(F.slice("w", 1, 2), F.slice("w", 1, 3), F.slice("w", 2, 4))).alias("phrase")).where(F.size("phrase") >= 2)
+    none = F.lit(None).cast("array<string>")
+    t = B.texts(spark, d).select("doc_id", words.alias("tokens"))
+    out = phrases.remove_phrases(t, p.withColumn("not_after", none).withColumn("not_before", none))
+    return t.select("doc_id", F.size("tokens").cast("long").alias("before")).join(out.select("doc_id", F.size("tokens").cast("long").alias("after")), "doc_id")
+
+
 # ---------------------------------------------------------------- whole documents
 
 
