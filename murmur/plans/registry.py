@@ -587,11 +587,18 @@ def stutter_dedup(spark, d):
 
 @query("""with recursive b as (select string_split_regex(lower(text), '\\s+') as w from benchmark), ph as (select distinct p from (select w[1:2] as p from b union all select w[1:3] from b union all select w[2:5] from b) where len(p) >= 2),
 d as (select doc_id, string_split_regex(lower(text), '\\s+') as w from documents where text is not null),
-g as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (values (2), (3), (4)) s(n) where len(w) >= n),
-c as (select doc_id, i as a, i + n - 1 as z, row_number() over (partition by doc_id order by n desc, i) as k from g join ph on ph.p = w[i:i + n - 1] and len(ph.p) = n),
-r as (select distinct doc_id, 0::bigint as k, []::struct(a bigint, z bigint)[] as kept from c union all
-  select r.doc_id, c.k, case when len(list_filter(kept, lambda x: x.a <= c.z and x.z >= c.a)) = 0 then list_append(kept, {'a': c.a, 'z': c.z}) else kept end from r join c on c.doc_id = r.doc_id and c.k = r.k + 1),
-f as (select doc_id, kept from r qualify row_number() over (partition by doc_id order by k desc) = 1)
+t as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as a1 from d),
+u as (select *, lead(a1) over o as a2, lead(a1, 2) over o as a3, lead(a1, 3) over o as a4 from t window o as (partition by doc_id order by i)),
+g as (select doc_id, 2 as n, i, [a1, a2] as gram from u where a2 is not null union all select doc_id, 3, i, [a1, a2, a3] from u where a3 is not null union all select doc_id, 4, i, [a1, a2, a3, a4] from u where a4 is not null),
+m as (select doc_id, i as a, i + n - 1 as z from g join ph on ph.p = gram),
+e as (select *, coalesce(a > max(z) over (partition by doc_id order by a, z rows between unbounded preceding and 1 preceding), true) as new from m),
+q as (select doc_id, a, z, sum(new::int) over (partition by doc_id order by a, z) as isl from e),
+c as (select *, row_number() over (partition by doc_id, isl order by z - a desc, a) as k from q),
+r as (select distinct doc_id, isl, 0::bigint as k, []::struct(a bigint, z bigint)[] as kept from c union all
+  select r.doc_id, r.isl, c.k, case when len(list_filter(kept, lambda x: x.a <= c.z and x.z >= c.a)) = 0 then list_append(kept, {'a': c.a, 'z': c.z}) else kept end
+  from r join c on c.doc_id = r.doc_id and c.isl = r.isl and c.k = r.k + 1),
+i as (select doc_id, isl, kept from r qualify row_number() over (partition by doc_id, isl order by k desc) = 1),
+f as (select doc_id, flatten(list(kept)) as kept from i group by doc_id)
 select d.doc_id, len(w) as before, len(w) - coalesce(list_sum(list_transform(kept, lambda x: x.z - x.a + 1)), 0)::bigint as after from d left join f on f.doc_id = d.doc_id""")
 def phrase_removal(spark, d):
     words = F.split(F.lower("text"), r"\s+")
