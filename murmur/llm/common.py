@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -44,7 +45,7 @@ class Scratch:
     """Intermediate tables of one operator call, written to the shared folder.
 
     A written table cuts the lineage: a lost executor costs the tasks it ran and not the stages
-    before.  ``drop`` removes a table that no later step reads.
+    before.  ``drop`` removes a table that no later step reads; what is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -52,13 +53,16 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}  # holds the frames, so that no other one gets their ids
-        if _blocks:
-            _blocks[-1].append(self)
+        if _open():
+            _open()[-1].append(self)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}-{name}"
         df.write.mode("overwrite").parquet(path)
+        if self._n == 1:
+            fs, p = self._files(self.root)
+            fs.deleteOnExit(p)  # a lazy result may read them until the driver ends
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = out, path
         return out
@@ -72,22 +76,33 @@ class Scratch:
         self._paths.clear()
         self._delete(self.root)
 
-    def _delete(self, path: str) -> None:
+    def _files(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._files(path)
+        fs.delete(p, True)
+
+
+_local = threading.local()
 
 
-_blocks: list[list[Scratch]] = []
+def _open() -> list[list[Scratch]]:
+    """The open blocks of this thread."""
+    if not hasattr(_local, "blocks"):
+        _local.blocks = []
+    return _local.blocks
 
 
 @contextmanager
 def temporary() -> Iterator[None]:
     """The scratch tables that are made inside go at the end of the block: its result must have been written by then."""
-    _blocks.append([])
+    _open().append([])
     try:
         yield
     finally:
-        for s in _blocks.pop():
+        for s in _open().pop():
             s.drop_all()
 
 
