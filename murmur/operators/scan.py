@@ -11,25 +11,17 @@ timelines are cut evenly; rows of one value stay together.  Rows without a value
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.operators.stages import shared_dir
+from murmur.operators.stages import written
 
 RANGE_ROWS, CELLS = 1_000_000, 32
 BROADCAST_BYTES = 8 << 20
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a table in the shared folder: later jobs start from it, and a lost executor costs only its tasks."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """A broadcast hint only if the counted size is below the bound."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

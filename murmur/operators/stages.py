@@ -20,11 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base or os.path.join(tempfile.gettempdir(), "murmur-checkpoints")
 
 
-def written_once(df: DataFrame) -> DataFrame:
-    """df fixed as a table in the shared folder, so that what is read from it later does not change with what is appended meanwhile."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/todo-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str = "t") -> DataFrame:
+    """df as a table in the shared folder: later jobs start from it, a lost executor costs only its tasks, and what is appended to its sources meanwhile
+    does not change it.  It goes when the driver ends, as a lazy result may read it until then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _files(spark, path)
+    fs.deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pending(inputs: DataFrame, outputs: DataFrame, on: str | list[str], redo: bool = False) -> DataFrame:

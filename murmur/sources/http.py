@@ -171,7 +171,7 @@ def download_parts(
     todo = urls.select("key", "url").join(whole, "key", "left_anti")
     sizes = stored.where("data is not null").groupBy("key", "part").agg(F.max(F.length("data")).cast("long").alias("n"), F.max("at").alias("at"))
     have = sizes.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "at", "n"))).alias("have"))  # a few numbers for each part
-    todo = stages.written_once(todo.join(have, "key", "left").repartition(parallel))
+    todo = stages.written(todo.join(have, "key", "left").repartition(parallel))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
