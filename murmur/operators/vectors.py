@@ -92,7 +92,7 @@ def _units(v: pd.Series) -> np.ndarray:
 LOCAL_LINKS = 200_000
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, smallest node that each reaches) over links u, v, by union of trees with short paths."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     parent = np.arange(len(nodes))
@@ -142,7 +142,7 @@ def link_components(nodes: DataFrame, pairs: DataFrame, scope: str, index: str,
     kinds = dict(links.dtypes)
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
-        at, low = _forest(b["u"].to_numpy(), b["v"].to_numpy())
+        at, low = forest(b["u"].to_numpy(), b["v"].to_numpy())
         return pd.DataFrame({scope: b[scope].iloc[0], "_n": at, "component": low})
 
     same = F.col(scope).eqNullSafe(F.col("_scope"))

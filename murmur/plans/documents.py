@@ -10,6 +10,7 @@ from murmur.functions import numbers as N
 from murmur.functions import text as T
 from murmur.functions.rules import PHONE, SENTENCE_SIMILARITY, Names, java
 from murmur.operators import runs, vectors
+from murmur.operators.clusters import near_components
 from murmur.operators.scan import Ranges, row_numbers, written
 from murmur.operators.segments import ordered_join
 from murmur.sources.transcripts import paragraph_rows
@@ -97,7 +98,7 @@ def denoise2(
     s = s.withColumn("sent_idx", F.row_number().over(Window.partitionBy(key).orderBy("para_idx", "_s")).cast("long") - 1).drop("_s", "_parse")
     s = M.map_model(s, "text", "embedding", embedder or M.hashed_embedder(), "array<double>")
     s = written(s.withColumn("words", T.word_count(F.col("text"))), "sentences")  # read by the comparison and by what it leaves
-    comps = vectors.link_components(s, vectors.similarity_pairs(s, key, "sent_idx", threshold), key, "sent_idx")
+    comps = near_components(s, key, "sent_idx", threshold)
     return _each(docs, key, regroup(vectors.keep_longest(s, comps, key, "sent_idx"), key))
 
 

@@ -13,6 +13,7 @@ from murmur.functions import rules as R
 from murmur.functions import text as T
 from murmur.functions.vectors import cosine
 from murmur.operators import intervals, phrases, runs, segments as S, splits, stages, vectors as V
+from murmur.operators.clusters import near_components
 from murmur.plans import bindings as B
 from murmur.plans import documents as D
 from murmur.sources import feed, transcripts
@@ -346,17 +347,14 @@ comps as (select u as i, min(v) as component from reach group by u)"""
 
 @query(f"with recursive {_COMPS} select label, i, component from comps join embeddings on vec_id = i")
 def near_dup_components(spark, d):
-    s = _sentences(spark, d)
-    links = V.similarity_pairs(s, "label", "i", 0.3)
-    return V.link_components(s, links, "label", "i")
+    return near_components(_sentences(spark, d), "label", "i", 0.3)
 
 
 @query(f"""with recursive {_COMPS}, r as (select label, i, component, row_number() over (partition by component order by (i * 7) % 11 desc, i) as rn from comps join embeddings on vec_id = i)
 select label, i, component from r where rn = 1""")
 def dedup_keep_longest(spark, d):
     s = _sentences(spark, d)
-    comps = V.link_components(s, V.similarity_pairs(s, "label", "i", 0.3), "label", "i")
-    return V.keep_longest(s, comps, "label", "i").select("label", "i", "component")
+    return V.keep_longest(s, near_components(s, "label", "i", 0.3), "label", "i").select("label", "i", "component")
 
 
 @query(f"""with {B.LINES}, kept as (select doc_id, para_idx // 3 as para, para_idx, line from lines where line <> ''),
