@@ -38,23 +38,18 @@ def near_components(rows: DataFrame, scope: str, index: str, threshold: float =
     large = written(sizes, "large-scopes")
     n = large.count()
     few = classes.join(small(large.select("_s"), n), "_s", "left_anti") if n else classes
-    links = few.groupBy("_s").applyInPandas(_meet(threshold), _link_type(classes))
+    kinds = dict(classes.dtypes)
+    named = few.groupBy("_s").applyInPandas(_whole(threshold), f"_s {kinds['_s']}, _v array<double>, component {kinds['_i']}")
     if n:
-        links = links.unionByName(_large_links(classes.join(small(large, n), "_s"), threshold, block))
-    comps = link_components(classes.select("_s", "_i"), links, "_s", "_i")
-    named = classes.join(comps, ["_s", "_i"]).select("_s", "_v", "component")
+        big = written(classes.join(small(large, n), "_s"), "large")
+        comps = link_components(big.select("_s", "_i"), _large_links(big, threshold, block), "_s", "_i")
+        named = named.unionByName(big.join(comps, ["_s", "_i"]).select("_s", "_v", "component"))
     out = nodes.join(named, ["_s", "_v"], "left")
     return out.select(F.col("_s").alias(scope), F.col("_i").alias(index), F.coalesce("component", "_i").alias("component"))
 
 
-def _link_type(classes: DataFrame) -> str:
-    kinds = dict(classes.dtypes)
-    return f"_s {kinds['_s']}, i {kinds['_i']}, j {kinds['_i']}"
-
-
 def _large_links(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     """(_s, i, j): forests of the links of scopes with many classes; rows: (_s, _i, _v, _n, _first)."""
-    rows = written(rows, "large")
     kinds = dict(rows.dtypes)
     # About one pivot for each block, drawn by a hash; the first class is one in any case.
     draw = F.pmod(F.xxhash64("_i", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
@@ -76,7 +71,7 @@ def _large_links(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     live = at.where("_own").withColumn("_x", place("_a", "x")).withColumn("_y", every("_b")).withColumn("_home", F.lit(True))
     call = at.withColumn("_x", every("_a")).withColumn("_y", place("_b", "y")).withColumn("_home", F.lit(False))
     both = live.unionByName(call).select("_s", "_cell", "_x", "_y", "_home", "_i", "_v")
-    return both.groupBy("_s", "_cell", "_x", "_y").applyInPandas(_meet(threshold), _link_type(rows))
+    return both.groupBy("_s", "_cell", "_x", "_y").applyInPandas(_meet(threshold), f"_s {kinds['_s']}, i {kinds['_i']}, j {kinds['_i']}")
 
 
 def _units(*sides: pd.Series) -> list[np.ndarray]:
@@ -107,16 +102,32 @@ def _dealer(angle: float):
     return deal
 
 
+def _links(near: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node that each reaches) where rows i and columns j are near."""
+    at, to = np.nonzero(near)
+    i, j = i[at], j[to]
+    return forest(i[i != j], j[i != j])
+
+
+def _whole(threshold: float):
+    """Components of a scope that one task holds."""
+
+    def name(b: pd.DataFrame) -> pd.DataFrame:
+        (x,), own = _units(b["_v"]), b["_i"].to_numpy()
+        node, low = _links(x @ x.T >= threshold, own, own)
+        known = dict(zip(node.tolist(), low.tolist()))
+        return pd.DataFrame({"_s": b["_s"], "_v": b["_v"], "component": [known.get(k, k) for k in own.tolist()]})
+
+    return name
+
+
 def _meet(threshold: float):
-    """Forest of the links between residents and callers, or of all rows where none are told apart."""
+    """A spanning forest of the links between residents and callers."""
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
-        home, call = (b[b["_home"]], b[~b["_home"]]) if "_home" in b else (b, b)
+        home, call = b[b["_home"]], b[~b["_home"]]
         x, y = _units(home["_v"], call["_v"])
-        at, to = np.nonzero(x @ y.T >= threshold)
-        i, j = home["_i"].to_numpy()[at], call["_i"].to_numpy()[to]
-        other = i != j
-        node, low = forest(i[other], j[other])
+        node, low = _links(x @ y.T >= threshold, home["_i"].to_numpy(), call["_i"].to_numpy())
         keep = node != low
         return pd.DataFrame({"_s": np.repeat(b["_s"].to_numpy()[:1], keep.sum()), "i": node[keep], "j": low[keep]})
 
