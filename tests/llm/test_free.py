@@ -552,6 +552,21 @@ def test_pipeline(spark, sf_dir):
     assert n == packed
 
 
+def test_pipeline_mixes_in_the_order_of_the_hash(spark, sf_dir):
+    """The copies are ordered over the whole corpus, in what the stage gives and in the table that is written from it."""
+    import corpus_pipeline as P
+
+    docs = spark.range(400).repartition(5).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "if(id % 10 = 0, 'few', 'many') as source", "8L as n_chars")
+    mixed = P.mix_sources(spark, docs, sf_dir)
+    got = [r["doc_id"] for r in mixed.collect()]
+    counts = Counter(got)
+    assert max(counts.values()) > 1
+    want = sorted((hashlib.md5(f"17:{i}:{c}".encode()).hexdigest(), i) for i, n in counts.items() for c in range(1, n + 1))
+    assert got == [i for _, i in want]
+    written = Scratch(spark, "test").write(mixed, "mixed").withColumn("file", F.input_file_name()).collect()
+    assert [r["doc_id"] for r in sorted(written, key=lambda r: r["file"])] == got
+
+
 def test_pipeline_near_duplicates(spark, sf_dir):
     """Five words and 80 %: copies of 400 words with 72 to 96 more go, with 104 more they stay."""
     import corpus_pipeline as P
