@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur import models as M
@@ -33,13 +33,22 @@ def _each(docs: DataFrame, key: str, cleaned: DataFrame) -> DataFrame:
 
 def strip_fillers(texts: DataFrame, column: str = "text", names: Names = Names()) -> DataFrame:
     """The column cleaned sentence by sentence."""
-    return texts.withColumn(column, T.after_numbers(N.normalize_numbers(T.strip_filler_sentences(F.col(column), names))))
+    return texts.withColumn(column, _stripped(F.col(column), names))
+
+
+def _stripped(c: Column, names: Names) -> Column:
+    return T.after_numbers(N.normalize_numbers(T.strip_filler_sentences(c, names)))
+
+
+def _computed(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """The column with a costly value, computed once for each row: a filter on a plain column would be moved below it with a copy of the value."""
+    return rows.select(*[F.col(c) for c in rows.columns if c != column], F.explode(F.array(value)).alias(column))
 
 
 def strip_fillers_rendered(docs: DataFrame, key: str = "doc_id", names: Names = Names()) -> DataFrame:
     """(key, text): stamps go, each paragraph is cleaned, empty ones go."""
-    p = paragraph_rows(docs, key, strip=False).withColumn("text", T.content(F.col("text")))
-    p = strip_fillers(p, "text", names).where("text <> ''")
+    p = paragraph_rows(docs, key, strip=False)
+    p = _computed(p, "text", _stripped(T.content(F.col("text")), names)).where("text <> ''")
     return _each(docs, key, p.groupBy(key).agg(ordered_join(F.col("text"), F.col("para_idx"), "\n\n").alias("text")))
 
 

@@ -244,3 +244,33 @@ def test_guarded_correction_equals_the_rule(spark):
     df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(answers.items())] + [(-1, None, None)], "i int, t string, c string")
     got = {x["i"]: x["o"] for x in M.guarded_correction(df, "t", "o", lambda: lambda xs: [answers.get(x) for x in xs]).collect()}
     assert got == {i: c if M.accepts(t, c) else t for i, (t, c) in enumerate(answers.items())} | {-1: None}
+
+
+def test_hints_never_decide(spark, monkeypatch):
+    """Rules behind hints give what they give without, also for the characters outside ASCII that are cases of ASCII letters."""
+    import random
+
+    r = random.Random(3)
+    words = ["it's", "it", "right?", "you know", "Youİ", "rİght?", "I mean,", "ı mean", "by the way", "very", "BASICALLY", "baſically", "uh", "éuh", "a-um", "er.", "over", "5", "degrees", "C", "percent"]
+    words += ["teaſpoons", "2 and a half", "ounces", "dot", "a", "b", "c", "", "pain in the ass", "some of them", "!!", "..", ",", "  ", " ", "\n", "like", "wor wor", "don't 't", "example radio", "thank our sponsors", "Kilograms"]
+    texts = [(i, r.choice(["", ", ", " "]) + " ".join(r.choices(words, k=r.randint(1, 12))) + r.choice(["", " ", "."])) for i in range(600)]
+    df = spark.createDataFrame(texts, "i int, t string").repartition(4)
+    both = lambda: df.select("i", T.clean_sentence(F.col("t")).alias("a"), T.after_numbers(F.col("t")).alias("b"), T.tidy(F.col("t")).alias("c"), F.col("t").rlike(R.java(R.noise(R.Names()))).alias("d"))
+    got = {x["i"]: x for x in both().collect()}
+    monkeypatch.setattr(T, "if_any", lambda c, hints, body: T.let(c, body))
+    monkeypatch.setattr(R, "EDGE", "")
+    monkeypatch.setattr(R, "DISFLUENCY_HINT", "")
+    monkeypatch.setattr(T, "trim", lambda c: T._sub(c, r"^\s++|(?<!\s)\s++$", ""))
+    monkeypatch.setattr(R, "noise", lambda names: R.CALL_IN + "|" + R.intro(names))
+    want = {x["i"]: x for x in both().collect()}
+    assert got == want and len({x["a"] for x in want.values()}) > 300
+
+
+def test_text_queries_spread_and_clean_once(spark, sf_dir):
+    """Costly functions of a file with one row group run in many tasks, and no filter computes them a second time."""
+    from murmur.plans import registry
+
+    for name in ("clean_sentence", "strip_fillers"):
+        assert registry.queries()[name](spark, sf_dir).rdd.getNumPartitions() > 1
+    plan = registry.queries()["strip_fillers_rendered"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tablespoon") > 0 and not [x for x in plan.split("\n") if "Filter" in x and "tablespoon" in x]
