@@ -3,7 +3,7 @@
 Rows of one vector are one class, compared once, so a sentence that is said a million times costs one row.  Scopes of up to ``BLOCK_ROWS``
 classes are compared by one task each.  Larger scopes are dealt into cells, each class to the nearest of its scope's pivots; if two
 classes in cells x and y lie within the angle t of the threshold, the triangle inequality gives angle(a, y) <= angle(a, x) + 2 t, so
-a class calls only at cells for which this holds.  A cell deals its residents and its callers into blocks, which meet in
+a class calls only at cells for which this holds.  Python names the cells of a class; Spark repeats its row for them.  A cell deals its residents and its callers into blocks, which meet in
 matrix products; each meeting hands on a spanning forest of its links, so what leaves a task is bounded by the rows that entered it.
 """
 
@@ -57,10 +57,12 @@ def _large_links(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     parts = F.ceil(F.col("_n") / (block * DEALT_BLOCKS)).cast("int")
     pivots = rows.where(drawn).select("_s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_c"), F.col("_i").alias("_p"), F.col("_v").alias("_pv"))
     dealt = rows.select("_s", F.pmod(F.xxhash64("_i"), parts).cast("int").alias("_c"), "_i", "_v")
-    to_cells = _dealer(float(np.arccos(np.clip(threshold, -1, 1))))
+    to_cells = _dealer(float(np.arccos(np.clip(threshold, -1, 1))), block)
+    cell = f"array<{kinds['_i']}>"
     calls = dealt.groupBy("_s", "_c").cogroup(pivots.groupBy("_s", "_c")).applyInPandas(
-        to_cells, f"_s {kinds['_s']}, _cell {kinds['_i']}, _own boolean, _i {kinds['_i']}, _v array<double>"
+        to_cells, f"_s {kinds['_s']}, _own {kinds['_i']}, _cells {cell}, _i {kinds['_i']}, _v array<double>"
     )
+    calls = written(calls, "visits").select("_s", F.explode("_cells").alias("_cell"), "_own", "_i", "_v").withColumn("_own", F.col("_own") == F.col("_cell"))
     calls = written(calls, "calls")
     blocks = lambda x: F.ceil(x / block).cast("int")
     cells = calls.groupBy("_s", "_cell").agg(blocks(F.sum(F.col("_own").cast("int"))).alias("_a"), blocks(F.count("*")).alias("_b"))
@@ -87,17 +89,21 @@ def _units(*sides: pd.Series) -> list[np.ndarray]:
     return out
 
 
-def _dealer(angle: float):
+def _dealer(angle: float, block: int):
+    """Each class with its own cell and the cells that it visits: one row, whose vector is repeated for the cells only outside of Python."""
+
     def deal(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         pivots = pivots.sort_values("_p")
-        x, p = _units(rows["_v"], pivots["_pv"])
-        far = np.arccos(np.clip(x @ p.T, -1, 1))
-        own = far.argmin(1)
-        # Of two cells the one with the smaller pivot is called at; a pair in one cell meets there.
-        visit = (far <= far[np.arange(len(x)), own][:, None] + 2 * angle + SLACK) & (np.arange(len(p)) <= own[:, None])
-        at, to = np.nonzero(visit)
-        picked = rows.iloc[at]
-        return pd.DataFrame({"_s": picked["_s"].to_numpy(), "_cell": pivots["_p"].to_numpy()[to], "_own": own[at] == to, "_i": picked["_i"].to_numpy(), "_v": picked["_v"].to_numpy()})
+        names, cells, owns = pivots["_p"].to_numpy(), [], [pivots["_p"].to_numpy()[:0]]
+        for lo in range(0, len(rows), block):
+            x, p = _units(rows["_v"].iloc[lo : lo + block], pivots["_pv"])
+            far = np.arccos(np.clip(x @ p.T, -1, 1))
+            own = far.argmin(1)
+            # Of two cells the one with the smaller pivot is called at; a pair in one cell meets there.
+            visit = (far <= far[np.arange(len(x)), own][:, None] + 2 * angle + SLACK) & (np.arange(len(p)) <= own[:, None])
+            cells += [names[to] for to in visit]
+            owns.append(names[own])
+        return pd.DataFrame({"_s": rows["_s"], "_own": np.concatenate(owns), "_cells": cells, "_i": rows["_i"], "_v": rows["_v"]})
 
     return deal
 

@@ -72,3 +72,21 @@ def test_copies_and_a_hot_scope(spark):
 
 def test_empty(spark):
     assert near_components(spark.createDataFrame([], "s int, i long, embedding array<float>"), "s", "i").count() == 0
+
+
+def test_a_task_hands_on_its_classes_once():
+    """Where nothing is pruned a class visits half of all cells, but what leaves Python has one row for each class."""
+    import numpy as np
+    import pandas as pd
+
+    from murmur.operators.clusters import _dealer
+
+    r = np.random.default_rng(5)
+    frame = lambda n, **names: pd.DataFrame({"_s": 1, "_c": 0, names["at"]: np.arange(n), names["of"]: list(r.normal(size=(n, 8)))})
+    rows, pivots = frame(500, at="_i", of="_v"), frame(40, at="_p", of="_pv")
+    for block in (64, 1000):
+        out = _dealer(1.3, block)(rows, pivots)
+        assert out["_i"].tolist() == rows["_i"].tolist() and len(out) == 500
+        assert all(own in cells and max(cells) == own for own, cells in zip(out["_own"], out["_cells"]))
+        assert out["_cells"].map(len).sum() > 5000
+    assert len(_dealer(1.3, 64)(rows.iloc[:0], pivots)) == 0
