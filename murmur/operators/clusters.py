@@ -1,7 +1,7 @@
 """Clusters of near vectors within a scope, by links instead of pairs.
 
 Rows of one vector are one class, compared once, so a sentence that is said a million times costs one row.  Scopes of up to ``BLOCK_ROWS``
-classes are compared by one task each.  Larger scopes are dealt into cells, each class to the nearest of its scope's pivots; if two
+classes are compared whole, many of them in one call.  Larger scopes are dealt into cells, each class to the nearest of its scope's pivots; if two
 classes in cells x and y lie within the angle t of the threshold, the triangle inequality gives angle(a, y) <= angle(a, x) + 2 t, so
 a class calls only at cells for which this holds.  Python names the cells of a class; Spark repeats its row for them.  A cell deals its residents and its callers into blocks, which meet in
 matrix products; each meeting hands on a spanning forest of its links, so what leaves a task is bounded by the rows that entered it.
@@ -39,7 +39,9 @@ def near_components(rows: DataFrame, scope: str, index: str, threshold: float =
     n = large.count()
     few = classes.join(small(large.select("_s"), n), "_s", "left_anti") if n else classes
     kinds = dict(classes.dtypes)
-    named = few.groupBy("_s").applyInPandas(_whole(threshold), f"_s {kinds['_s']}, _v array<double>, component {kinds['_i']}")
+    bundles = -(-classes.count() // (block * DEALT_BLOCKS)) or 1
+    bundled = few.withColumn("_c", F.pmod(F.xxhash64("_s"), F.lit(bundles)).cast("int"))
+    named = bundled.groupBy("_c").applyInPandas(_whole(threshold), f"_s {kinds['_s']}, _v array<double>, component {kinds['_i']}")
     if n:
         big = written(classes.join(small(large, n), "_s"), "large")
         comps = link_components(big.select("_s", "_i"), _large_links(big, threshold, block), "_s", "_i")
@@ -116,13 +118,22 @@ def _links(near: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 
 
 def _whole(threshold: float):
-    """Components of a scope that one task holds."""
+    """Components of the scopes of a bundle, one after the other."""
 
     def name(b: pd.DataFrame) -> pd.DataFrame:
-        (x,), own = _units(b["_v"]), b["_i"].to_numpy()
-        node, low = _links(x @ x.T >= threshold, own, own)
-        known = dict(zip(node.tolist(), low.tolist()))
-        return pd.DataFrame({"_s": b["_s"], "_v": b["_v"], "component": [known.get(k, k) for k in own.tolist()]})
+        order = pd.factorize(b["_s"])[0].argsort(kind="stable")
+        b = b.iloc[order]
+        s, own = pd.factorize(b["_s"])[0], b["_i"].to_numpy()
+        out = own.copy()
+        cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo > 1:
+                (x,) = _units(b["_v"].iloc[lo:hi])
+                node, low = _links(x @ x.T >= threshold, own[lo:hi], own[lo:hi])
+                if len(node):
+                    at = np.minimum(np.searchsorted(node, own[lo:hi]), len(node) - 1)
+                    out[lo:hi] = np.where(node[at] == own[lo:hi], low[at], own[lo:hi])
+        return pd.DataFrame({"_s": b["_s"], "_v": b["_v"], "component": out})
 
     return name
 

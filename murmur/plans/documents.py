@@ -98,11 +98,11 @@ def denoise2(
     parser: M.Factory = M.keyword_parser, threshold: float = SENTENCE_SIMILARITY,
 ) -> DataFrame:
     """(key, text) of the second-generation cleaner; the three models are injected."""
-    p = normalize_paragraphs(prepass(docs, key, names)).where("text <> ''")
+    p = _computed(normalize_paragraphs(prepass(docs, key, names)), "text", F.col("text")).where("text <> ''")
     p = M.guarded_correction(p, "text", "fixed", corrector).select(key, "para_idx", F.col("fixed").alias("text"))
     s = p.select(key, "para_idx", F.posexplode(T.sentences_v2(F.col("text"))).alias("_s", "text")).withColumn("text", T.trim(F.col("text"))).where("text <> ''")
     s = M.map_model(s, "text", "_parse", parser, M.PARSE)
-    s = s.withColumn("text", T.strip_parsed_fillers(F.col("text"), F.col("_parse.tokens"))).where("text <> ''")
+    s = _computed(s, "text", T.strip_parsed_fillers(F.col("text"), F.col("_parse.tokens"))).where("text <> ''")
     s = s.where(T.keep_turn(F.col("text"), F.col("_parse")))
     s = s.withColumn("sent_idx", F.row_number().over(Window.partitionBy(key).orderBy("para_idx", "_s")).cast("long") - 1).drop("_s", "_parse")
     s = M.map_model(s, "text", "embedding", embedder or M.hashed_embedder(), "array<double>")

@@ -90,3 +90,15 @@ def test_a_task_hands_on_its_classes_once():
         assert all(own in cells and max(cells) == own for own, cells in zip(out["_own"], out["_cells"]))
         assert out["_cells"].map(len).sum() > 5000
     assert len(_dealer(1.3, 64)(rows.iloc[:0], pivots)) == 0
+
+
+def test_scopes_of_one_bundle_stay_apart():
+    """One call takes many scopes, and links are found within each alone."""
+    import pandas as pd
+
+    from murmur.operators.clusters import _whole
+
+    b = pd.DataFrame({"_s": ["b", "a", "b", "a", "c"], "_i": [7, 3, 2, 9, 1], "_v": [[1.0, 0.0], [1.0, 0.1], [1.0, 0.05], [0.0, 1.0], [1.0, 0.0]]})
+    out = _whole(0.9)(b)
+    found = {(s, tuple(v)): c for s, v, c in zip(out["_s"], out["_v"], out["component"])}
+    assert found == {("b", (1.0, 0.0)): 2, ("b", (1.0, 0.05)): 2, ("a", (1.0, 0.1)): 3, ("a", (0.0, 1.0)): 9, ("c", (1.0, 0.0)): 1}
