@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import text as T
+from murmur.session import one_off
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +27,8 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with one_off(spark):
+        df.write.parquet(path)
     fs, p = _files(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from murmur import session as S
 from murmur.llm import op2_language as O2
 from murmur.llm import op3_near_vectors as O3
 from murmur.llm import op4_substrings as O4
@@ -20,6 +22,7 @@ from murmur.llm import op6_jaccard as O6
 from murmur.llm import op9_topk as O9
 from murmur.llm import words as W
 from murmur.llm.common import Scratch, components
+from murmur.operators.stages import written
 
 NASTY = [None, "", " \n\t ", "a", "a b", "a b c", "\u00e9\u00e8 x\u00a0y \u2003z", "w\x0bx\x0cy\rz", "long " * 3000, "X" * 20000, "A b C d e F g", "a b c d e f g"]
 
@@ -599,3 +602,32 @@ def test_pipeline_of_odd_tables(spark, sf_dir):
     for name, stage in P.STAGES:
         none = stage(spark, none, sf_dir)
         assert none.count() == 0
+
+
+# ---------------------------------------------------------------- disk
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files that there are."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",")
+    return sum(os.path.getsize(f) for f in files if "shuffle_" in f and os.path.exists(f))
+
+
+def test_shuffle_files_go_with_the_table_that_they_made(spark):
+    before, own = shuffled(spark), spark.conf.get(S.CLEANUP, None)
+    spread = spark.range(20_000).repartition(4, "id")
+    for write in (Scratch(spark, "t").write, written):
+        assert write(spread.groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert shuffled(spark) < before + 50_000
+    assert spark.conf.get(S.CLEANUP, None) == own
+    with S.one_off(spark), S.one_off(spark):
+        assert spark.conf.get(S.CLEANUP) == "true"
+    assert spark.conf.get(S.CLEANUP, None) == own
+
+
+def test_the_order_of_shingles_leaves_no_shuffle(spark):
+    texts = [(i, " ".join(f"w{random.Random(i).randrange(10**6)}x{j}" for j in range(60))) for i in range(4000)]
+    join = O6._Join(Scratch(spark, "t").write(spark.createDataFrame(texts, "doc_id long, text string")), 4, 85)
+    before = shuffled(spark)
+    join.order()
+    assert shuffled(spark) < before + 50_000
