@@ -604,6 +604,19 @@ def test_pipeline_of_odd_tables(spark, sf_dir):
         assert none.count() == 0
 
 
+def test_topk_sends_no_block_through_the_driver(spark):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    found = O9.search(v, v.where("vec_id % 20 = 0"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 200
+    for blocks, qblocks in ((1, 1), (3, 5), (7, 2), (40, 30)):
+        index = spark.range(blocks).selectExpr("int(id) as block", "id as ids", "id as vecs", "id as step", "id as heads", "id as places")
+        asked = spark.range(qblocks).selectExpr("int(id) as qblock", "id as qids", "id as qvecs")
+        met = O9.meetings(index, asked, blocks, qblocks).select("ids", "qids").collect()
+        assert sorted(map(tuple, met)) == [(x, y) for x in range(blocks) for y in range(qblocks)]
+
+
 # ---------------------------------------------------------------- disk
 
 
