@@ -1,5 +1,6 @@
 """Language ID, vectors, substring dedup, packing and the Jaccard join, against brute force."""
 
+import glob
 import hashlib
 import math
 import os
@@ -21,7 +22,7 @@ from murmur.llm import op5_packing as O5
 from murmur.llm import op6_jaccard as O6
 from murmur.llm import op9_topk as O9
 from murmur.llm import words as W
-from murmur.llm.common import Scratch, components
+from murmur.llm.common import Scratch, components, shared_dir
 from murmur.operators.stages import written
 
 NASTY = [None, "", " \n\t ", "a", "a b", "a b c", "\u00e9\u00e8 x\u00a0y \u2003z", "w\x0bx\x0cy\rz", "long " * 3000, "X" * 20000, "A b C d e F g", "a b c d e f g"]
@@ -644,3 +645,13 @@ def test_the_order_of_shingles_leaves_no_shuffle(spark):
     before = shuffled(spark)
     join.order()
     assert shuffled(spark) < before + 50_000
+
+
+def test_pipeline_drops_the_table_of_a_stage_once_the_next_is_written(spark, sf_dir):
+    import corpus_pipeline as P
+
+    tables = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/corpus-*/*"))
+    before = tables()
+    out = P.run(spark, sf_dir)
+    assert [t.rsplit("-", 1)[1] for t in tables() - before] == ["mix_sources"]
+    assert out.count()
