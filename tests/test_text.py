@@ -274,3 +274,36 @@ def test_text_queries_spread_and_clean_once(spark, sf_dir):
         assert registry.queries()[name](spark, sf_dir).rdd.getNumPartitions() > 1
     plan = registry.queries()["strip_fillers_rendered"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("tablespoon") > 0 and not [x for x in plan.split("\n") if "Filter" in x and "tablespoon" in x]
+
+
+def test_second_cleaner_looks_for_strings_before_patterns(spark):
+    texts = [
+        "You know what I mean, I THINK so.", "It was K\u0131nd of it , sort  of ; \u212aind of", ",; leading", "no such thing", "", "  two  spaces .", "like, well, it's it.", "It's a it's here",
+        "i mean it", "or something like that", "caught by  the way !", "Actually, okay, like, this", "call 555-123-4567 , . now", "That's 555.123.4567, ok ,  .", "\u0665\u0665\u0665\u0661\u0662\u0663\u0664\u0665\u0666\u0667 x",
+        "--- a1 \u00e9 -b- \u2003 9", "-" * 5000, "You are listening to the Example Radio now", "SPON\u017fORED BY us", "brought to you by x", "I'm Ana of here", "\u0130'm like, it'\u017f foo it's",
+    ]
+    df = M.map_model(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "p", M.keyword_parser, M.PARSE)
+    c = F.col("t")
+    clean = lambda x: T.let(T.dedup_stutter(T._subs(x, [R.ITS_STUTTER, R.ITS_IT])), lambda y: T.recapitalize(y, c))
+    bare = lambda x: clean(T._sub(T._sub(T._sub(T.trim(T._sub(x, T._filler_pattern(), "")), r" {2,}", " "), r" ([.,!?;:])", "$1"), r"^[,;:\s]+", ""))
+    phone = T._sub(T._sub(c, R.PHONE_REPEAT, "", ignore_case=False), R.PHONE, "", ignore_case=False)
+    phone = T.trim(T._sub(T._sub(T._sub(phone, r",\s*\.", "."), r" {2,}", " "), r" ([.,])", "$1"))
+    words = F.size(F.filter(F.split(T.trim(c), R.java(r"\s+"), -1), lambda w: w.rlike("[a-zA-Z0-9]")))
+    names = Names()
+    pairs = [
+        (T.strip_lexical_fillers(c), bare(c)), (T.its_stutter(c), T._subs(c, [R.ITS_STUTTER, R.ITS_IT])), (T.strip_phone_numbers(c), phone), (T.alnum_words(c), words),
+        (T.is_bumper(c, names), c.rlike(R.java(R.bumper(names)))), (T.is_sponsor(c), c.rlike(R.java(R.SPONSOR))),
+    ]
+    for r in df.select("t", *[F.struct(a.alias("a"), b.alias("b")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).collect():
+        assert all(x["a"] == x["b"] for x in r[1:]), r
+    # The costly patterns stand behind a look for strings.
+    plan = df.select(T.strip_parsed_fillers(c, F.col("p.tokens")))._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"(?i)contains\(.{1,80}guess\)", plan)
+
+
+def test_models_answer_in_arrow(spark):
+    df = spark.createDataFrame([("Well, it is not so.", 1), (None, None), ("", 3)], "t string, n long")
+    out = M.map_model(df.where("t is not null"), "t", "p", M.keyword_parser, M.PARSE)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["t"], r["n"], tuple(x["text"] + x["ws"] for x in r["p"]["tokens"])) for r in out.collect()} == {("Well, it is not so.", 1, ("Well", ", ", "it ", "is ", "not ", "so", ".")), ("", 3, ())}
+    assert [tuple(r) for r in M.map_model(df, "n", "m", lambda: lambda xs: [None if x is None else x * 0.5 for x in xs], "double").select("n", "m").orderBy("n").collect()] == [(None, None), (1, 0.5), (3, 1.5)]
